@@ -155,7 +155,7 @@ def _bounded(hubs: DataFrame, weight: str) -> DataFrame:
     )
 
 
-def _hub_heads(hubs: DataFrame, min_score: float) -> DataFrame:
+def _hub_heads(hubs: DataFrame, min_score: float, n_members: int) -> DataFrame:
     """(mid_id, member_id) of the hub memberships outside their user's tail.
 
     A user's bounds are first summed per slot of the global order, which
@@ -176,7 +176,7 @@ def _hub_heads(hubs: DataFrame, min_score: float) -> DataFrame:
         .agg(F.max("slot").alias("last_slot"))
     )
     sizes = per_slot.groupBy("member_id").agg(F.sum("n_rows").alias("n_rows"))
-    hot = hot_keys(sizes, "member_id")
+    hot = hot_keys(sizes, "member_id", total=n_members)
     return (
         salted_join(placed, ends, ["member_id"], hot, ["mid_id"])
         .where("slot <= last_slot")
@@ -185,13 +185,14 @@ def _hub_heads(hubs: DataFrame, min_score: float) -> DataFrame:
 
 
 def _pairs_within(heads: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Distinct (user1, user2) that meet in a group of ``heads``.
+    """Distinct (user1, user2) that meet in a group of the stored ``heads``.
 
     A group is cut into blocks and each two blocks meet in a task of their
     own, so that one huge group is spread over many tasks.
     """
     sizes = count_rows(heads, "mid_id")
-    placed = salted_join(heads, sizes, ["mid_id"], hot_keys(sizes, "mid_id"), ["member_id"])
+    hot = hot_keys(sizes, "mid_id", total=heads.count())
+    placed = salted_join(heads, sizes, ["mid_id"], hot, ["member_id"])
     n_blocks = F.ceil(F.col("n_rows") / block_size).cast("int")
     placed = placed.select(
         "mid_id",
@@ -221,17 +222,16 @@ def _pairs_within(heads: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
 
 def _wedges_of(keys: DataFrame, members: DataFrame) -> DataFrame:
     """The wedges of given pairs.  Looks up the groups of the user who is in
-    fewer of them, then whether the other user is there too."""
+    fewer of them, then whether the other user is there too.
+
+    ``keys`` and ``members`` should be stored tables, or filters of such."""
     members = members.select("mid_id", "member_id", "mask", "degree")
     sizes = count_rows(members, "member_id", "n_groups")
     users = keys.select(F.explode(F.array("user1", "user2")).alias("user"))
-    hot = hot_keys(count_rows(users, "user"), "user")
-
+    hot = hot_keys(count_rows(users, "user"), "user", total=2 * keys.count())
     for user in ("user1", "user2"):
         named = sizes.withColumnsRenamed({"member_id": user, "n_groups": f"n_{user}"})
-        keys = salted_join(
-            keys, named, [user], hot.withColumnRenamed("user", user), ["user1", "user2"]
-        )
+        keys = salted_join(keys, named, [user], hot, ["user1", "user2"])
     first_is_less = F.col("n_user1") <= F.col("n_user2")
     keys = keys.select(
         "user1",
@@ -243,16 +243,8 @@ def _wedges_of(keys: DataFrame, members: DataFrame) -> DataFrame:
     prepared = _prepared(members)
     one = prepared.select("member_id", "mid_id", "degree", side.alias("a"))
     other = prepared.select(F.col("member_id").alias("other_id"), "mid_id", side.alias("b"))
-    found = salted_join(
-        keys, one, ["member_id"], hot.withColumnRenamed("user", "member_id"), ["other_id"]
-    )
-    both = salted_join(
-        found,
-        other,
-        ["other_id", "mid_id"],
-        hot.withColumnRenamed("user", "other_id"),
-        ["member_id", "mid_id"],
-    )
+    found = salted_join(keys, one, ["member_id"], hot, ["other_id"])
+    both = salted_join(found, other, ["other_id", "mid_id"], hot, ["member_id", "mid_id"])
     return both.select("user1", "user2", "mid_id", "degree", _bucket_of("a", "b").alias("bucket"))
 
 
@@ -267,13 +259,13 @@ def pair_totals(
 ) -> DataFrame:
     """(user1, user2, score, n_<bucket>...) of all pairs that reach the cut.
 
-    ``members`` should be a stored table: it is looked at once up front to see
-    whether there are hubs at all.
+    ``members`` should be a stored table: it is looked at up front to see
+    whether there are hubs at all, and read several times if there are.
     """
     small = members.where(F.col("degree") <= hub_degree)
     hubs = members.where(F.col("degree") > hub_degree)
     if not hubs.isEmpty():
-        totals = _totals_with_hubs(small, hubs, min_score, weight)
+        totals = _totals_with_hubs(small, hubs, members.count(), min_score, weight)
     else:
         totals = _reduce(wedges(small), weight)
     return totals.withColumn("score", F.round("score", SCORE_DIGITS)).where(
@@ -282,14 +274,14 @@ def pair_totals(
 
 
 def _totals_with_hubs(
-    small: DataFrame, hubs: DataFrame, min_score: float, weight: str
+    small: DataFrame, hubs: DataFrame, n_members: int, min_score: float, weight: str
 ) -> DataFrame:
     hubs = _bounded(hubs, weight)
     in_hubs = hubs.groupBy("member_id").agg(F.sum("bound").alias("in_hubs"))
-    sizes = count_rows(small, "member_id")
-    small = salted_join(
-        small, in_hubs, ["member_id"], hot_keys(sizes, "member_id"), ["mid_id"], "left"
-    ).fillna(0.0, ["in_hubs"])
+    hot = hot_keys(count_rows(small, "member_id"), "member_id", total=n_members)
+    small = salted_join(small, in_hubs, ["member_id"], hot, ["mid_id"], "left").fillna(
+        0.0, ["in_hubs"]
+    )
     from_small = stored(
         _reduce(wedges(small, ["in_hubs"]), weight, F.max("in_hubs").alias("in_hubs")).where(
             F.col("score") + F.col("in_hubs") >= min_score - SLACK
@@ -297,8 +289,8 @@ def _totals_with_hubs(
         "small_group_pairs",
     )
     keys = from_small.where("in_hubs > 0").select("user1", "user2")
-    heads = stored(_hub_heads(hubs, min_score), "hub_heads")
-    if not heads.isEmpty():
+    if not in_hubs.where(F.col("in_hubs") >= min_score - SLACK).isEmpty():
+        heads = stored(_hub_heads(hubs, min_score, n_members), "hub_heads")
         keys = stored(keys.union(_pairs_within(heads)).distinct(), "hub_pairs")
     from_hubs = _reduce(_wedges_of(keys, hubs), weight)
     sums = [F.sum(c).alias(c) for c in ["score", *COUNT_COLUMNS]]

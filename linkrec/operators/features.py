@@ -46,14 +46,18 @@ FEATURE_SETS = {"aa": SCORE_FEATURES, "type": RELATION_FEATURES, "user": PROFILE
 
 
 def with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Add both users' profile fields (suffix 1 and 2); 0 where unknown."""
+    """Add both users' profile fields (suffix 1 and 2); 0 where unknown.
+
+    ``pairs`` should be a stored table."""
+    sizes = {u: count_rows(pairs, u) for u in ("user1", "user2")}
+    n_pairs = pairs.count()
     for n in ("1", "2"):
         user = f"user{n}"
         named = profiles.select(
             F.col("user_id").alias(user), *[F.col(c).alias(f"{c}{n}") for c in PROFILE_FIELDS]
         )
         other = "user2" if n == "1" else "user1"
-        hot = hot_keys(count_rows(pairs.select(user), user), user)
+        hot = hot_keys(sizes[user], user, total=n_pairs)
         joined = salted_join(pairs, named, [user], hot, [other], "left")
         pairs = joined.fillna(0, [f"{c}{n}" for c in PROFILE_FIELDS])
     return pairs

@@ -35,8 +35,13 @@ def list_owners(edges: DataFrame) -> DataFrame:
     return edges.select("user_id").distinct()
 
 
-def active_owner_edges(edges: DataFrame, min_friends: int = MIN_FRIENDS) -> DataFrame:
-    """Edges of owners who list at least ``min_friends``."""
+def active_owner_edges(
+    edges: DataFrame, min_friends: int = MIN_FRIENDS, n_edges: int | None = None
+) -> DataFrame:
+    """Edges of owners who list at least ``min_friends``.
+
+    Here and below ``n_edges`` may give the number of edges if it is known.
+    """
     sizes = edges.groupBy("user_id").agg(
         F.count("*").alias("n_rows"), F.max("friend_id").alias("friend_id")
     )
@@ -47,7 +52,7 @@ def active_owner_edges(edges: DataFrame, min_friends: int = MIN_FRIENDS) -> Data
         singles = sizes.where("n_rows = 1").select("user_id", "friend_id")
         return edges.join(singles, ["user_id", "friend_id"], "left_anti")
     owners = sizes.where(F.col("n_rows") >= min_friends).select("user_id")
-    hot = hot_keys(sizes, "user_id")
+    hot = hot_keys(sizes, "user_id", total=n_edges)
     return salted_join(edges, owners, ["user_id"], hot, ["friend_id"], "left_semi")
 
 
@@ -60,10 +65,12 @@ def reverse_edges(edges: DataFrame, inversion: str = "canonical") -> DataFrame:
     )
 
 
-def with_degree(reversed_edges: DataFrame, min_degree: int = MIN_DEGREE) -> DataFrame:
+def with_degree(
+    reversed_edges: DataFrame, min_degree: int = MIN_DEGREE, n_edges: int | None = None
+) -> DataFrame:
     """Add the group size ``degree`` and drop groups below ``min_degree``."""
     degrees = count_rows(reversed_edges, "mid_id", "degree")
-    hot = hot_keys(degrees, "mid_id", "degree")
+    hot = hot_keys(degrees, "mid_id", "degree", n_edges)
     kept = degrees.where(F.col("degree") >= min_degree)
     return salted_join(reversed_edges, kept, ["mid_id"], hot, ["member_id"])
 
@@ -73,11 +80,11 @@ def group_members(
     min_friends: int = MIN_FRIENDS,
     min_degree: int = MIN_DEGREE,
     inversion: str = "canonical",
+    n_edges: int | None = None,
 ) -> DataFrame:
     """members(mid_id, member_id, mask, degree): the groups in flat form."""
-    return with_degree(
-        reverse_edges(active_owner_edges(edges, min_friends), inversion), min_degree
-    )
+    active = active_owner_edges(edges, min_friends, n_edges)
+    return with_degree(reverse_edges(active, inversion), min_degree, n_edges)
 
 
 def group_lists(members: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:

@@ -15,12 +15,12 @@ SPLIT_SEED = 11
 BASE, ENSEMBLE, VALIDATION = 0, 1, 2
 
 
-def positive_pairs(edges: DataFrame) -> DataFrame:
+def positive_pairs(edges: DataFrame, n_edges: int | None = None) -> DataFrame:
     """(user1, user2, label = 1.0) for listed friends, smaller id first, where
     both are list owners."""
     owners = list_owners(edges).withColumnRenamed("user_id", "friend_id")
     forward = edges.where("friend_id > user_id").select("user_id", "friend_id")
-    hot = hot_keys(count_rows(forward, "friend_id"), "friend_id")
+    hot = hot_keys(count_rows(forward, "friend_id"), "friend_id", total=n_edges)
     known = salted_join(forward, owners, ["friend_id"], hot, ["user_id"], "left_semi")
     return known.select(
         F.col("user_id").alias("user1"), F.col("friend_id").alias("user2"), F.lit(1.0).alias("label")

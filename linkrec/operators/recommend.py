@@ -13,9 +13,13 @@ TOP_K = 100
 
 def both_directions(scored: DataFrame, score: str) -> DataFrame:
     """(user_id, friend_id, score): each pair once for either user, in one scan."""
-    ends = F.array(F.struct("user1", "user2"), F.struct("user2", "user1"))
+    one, two = F.col("user1"), F.col("user2")
+    ends = F.array(
+        F.struct(one.alias("user_id"), two.alias("friend_id")),
+        F.struct(two.alias("user_id"), one.alias("friend_id")),
+    )
     return scored.select(F.explode(ends).alias("e"), F.col(score).alias("score")).select(
-        F.col("e.user1").alias("user_id"), F.col("e.user2").alias("friend_id"), "score"
+        "e.user_id", "e.friend_id", "score"
     )
 
 

@@ -17,14 +17,18 @@ MIN_HOT_ROWS = 1_000_000
 
 
 def hot_keys(
-    counts: DataFrame,
-    key: str,
-    rows: str = "n_rows",
-    share: int = HOT_SHARE,
-    min_rows: int = MIN_HOT_ROWS,
-) -> DataFrame:
-    """(key, n_salts) for at most ``share`` keys, from one row count per key."""
-    limit = F.greatest(counts.agg(F.sum(rows) / share).scalar(), F.lit(float(min_rows)))
+    counts: DataFrame, key: str, rows: str = "n_rows", total: int | None = None
+) -> DataFrame | None:
+    """(key, n_salts) for at most HOT_SHARE keys, from one row count per key.
+
+    ``total`` is the number of all rows or more, where that is known: of a
+    stored Parquet table the footers tell it.  If it shows that no key can be
+    hot, the answer is None.  Otherwise the counts are summed in the plan.
+    """
+    if total is not None and total <= MIN_HOT_ROWS:
+        return None
+    all_rows = counts.agg(F.sum(rows)).scalar() if total is None else F.lit(total)
+    limit = F.greatest(all_rows / HOT_SHARE, F.lit(float(MIN_HOT_ROWS)))
     hot = counts.withColumn("n_salts", F.ceil(F.col(rows) / limit).cast("int"))
     return hot.where("n_salts > 1").select(key, "n_salts")
 
@@ -37,7 +41,7 @@ def salted_join(
     facts: DataFrame,
     other: DataFrame,
     on: list[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     spread: list[str],
     how: str = "inner",
 ) -> DataFrame:
@@ -45,8 +49,10 @@ def salted_join(
 
     ``spread`` names columns of ``facts`` that tell its rows of one key apart.
     """
+    if hot is None:
+        return facts.join(other, on, how)
     key = on[0]
-    listed = F.broadcast(hot.select(key, "n_salts"))
+    listed = F.broadcast(hot.toDF(key, "n_salts"))
     salt = F.pmod(F.xxhash64(*spread), F.coalesce("n_salts", F.lit(1))).cast("int")
     left = facts.join(listed, key, "left").withColumn("salt", salt).drop("n_salts")
     salts = F.sequence(F.lit(0), F.coalesce("n_salts", F.lit(1)) - 1)
