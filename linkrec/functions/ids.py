@@ -1,10 +1,7 @@
-"""Arithmetic on user ids: hold-out users, slices and repeatable splits."""
+"""SQL expressions on user ids: hold-out users, slices and repeatable splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Users whose id has this remainder are held out for testing.
 HOLDOUT_MODULUS = 11
 HOLDOUT_REMAINDER = 7
@@ -16,30 +13,25 @@ SPLIT_RANGE = 1000003
 SPLIT_FACTORS = (7919, 104729)
 
 
-def is_holdout(user: Column) -> Column:
-    return F.pmod(user, F.lit(HOLDOUT_MODULUS)) == HOLDOUT_REMAINDER
+def is_holdout(user: str) -> str:
+    return f"(pmod({user}, {HOLDOUT_MODULUS}) = {HOLDOUT_REMAINDER})"
 
 
-def id_slice(user: Column, slices: int = PAIR_SLICES) -> Column:
-    return F.pmod(user, F.lit(slices)).cast("int")
+def id_slice(user: str, slices: int = PAIR_SLICES) -> str:
+    return f"cast(pmod({user}, {slices}) AS INT)"
 
 
-def split_hash(user1: Column, user2: Column, seed: int = 11) -> Column:
+def split_hash(user1: str, user2: str, seed: int = 11) -> str:
     """A number in [0, SPLIT_RANGE) that depends only on the pair and the seed."""
-    a = F.pmod(user1, F.lit(SPLIT_RANGE)) * SPLIT_FACTORS[0]
-    b = F.pmod(user2, F.lit(SPLIT_RANGE)) * SPLIT_FACTORS[1]
-    return F.pmod(a + b + seed, F.lit(SPLIT_RANGE))
+    a = f"pmod({user1}, {SPLIT_RANGE}) * {SPLIT_FACTORS[0]}"
+    b = f"pmod({user2}, {SPLIT_RANGE}) * {SPLIT_FACTORS[1]}"
+    return f"pmod({a} + {b} + {seed}, {SPLIT_RANGE})"
 
 
-def split_number(user1: Column, user2: Column, weights: list[float], seed: int = 11) -> Column:
+def split_number(user1: str, user2: str, weights: list[float], seed: int = 11) -> str:
     """Number of the split (from 0) the pair falls in, by weights."""
-    total, bound = sum(weights), 0.0
-    value = split_hash(user1, user2, seed)
-    choice = F.lit(len(weights) - 1)
-    limits = []
-    for w in weights[:-1]:
-        bound += w
-        limits.append(round(bound / total * SPLIT_RANGE))
-    for i in reversed(range(len(limits))):
-        choice = F.when(value < limits[i], i).otherwise(choice)
-    return choice
+    value, share, cases = split_hash(user1, user2, seed), 0.0, []
+    for i, w in enumerate(weights[:-1]):
+        share += w / sum(weights)
+        cases.append(f"WHEN {value} < {round(share * SPLIT_RANGE)} THEN {i}")
+    return f"CASE {' '.join(cases)} ELSE {len(weights) - 1} END"

@@ -1,4 +1,8 @@
-"""Relation bitmasks as Column functions.
+"""Relation bitmasks as SQL expressions.
+
+Each function takes SQL expressions (most often column names) and returns one,
+for use in ``selectExpr`` or ``expr``.  Text is parsed once per expression,
+where nested Column calls cost a round trip to the JVM for every operator.
 
 A friendship carries an int mask: bit 0 is noise, bits 1..20 are raw relation
 types.  Two friendships that meet at one person are combined into one of eight
@@ -7,11 +11,6 @@ buckets (family, school, ...), and buckets are counted per pair.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Raw relation types by bit, with every bucket a type belongs to
 # and its one main bucket.
 RELATION_TYPES = [
@@ -106,105 +105,94 @@ MAIN_SOURCES = {
 }
 
 
-def _has(mask: Column, bits: int) -> Column:
-    return mask.bitwiseAND(F.lit(bits)) != 0
+DIRECTED_BITS = sum(MASKS[a] | MASKS[b] for a, b in DIRECTED)
+
+
+def _has(mask: str, bits: int) -> str:
+    return f"({mask}) & {bits} <> 0"
+
+
+def _flags(options: list[tuple[str, int]]) -> str:
+    """OR of the values whose condition holds."""
+    return "(" + " | ".join(f"if({condition}, {value}, 0)" for condition, value in options) + ")"
 
 
-def normalize(mask: Column) -> Column:
+def normalize(mask: str) -> str:
     """Clear the noise bit."""
-    return mask - mask % 2
+    return f"({mask}) - ({mask}) % 2"
 
 
-def invert(mask: Column, mode: str = "canonical") -> Column:
+def invert(mask: str, mode: str = "canonical") -> str:
     """The mask as seen from the other end of the friendship.
 
     ``canonical`` folds both directions of a relation into one type, so that a
     parent and a child look the same.  ``swap`` exchanges the two directions.
     """
-    if mode not in ("canonical", "swap"):
+    pairs = [(MASKS[a], MASKS[b]) for a, b in DIRECTED]
+    if mode == "canonical":
+        turned = _flags([(_has(mask, a | b), a) for a, b in pairs])
+    elif mode == "swap":
+        both_ways = pairs + [(b, a) for a, b in pairs]
+        turned = _flags([(_has(mask, a), b) for a, b in both_ways])
+    else:
         raise ValueError(f"unknown inversion mode: {mode}")
-    for first, second in DIRECTED:
-        a, b = MASKS[first], MASKS[second]
-        rest = mask.bitwiseAND(F.lit(~(a | b)))
-        if mode == "canonical":
-            mask = F.when(_has(mask, a | b), rest.bitwiseOR(F.lit(a))).otherwise(mask)
-        else:
-            to_b = F.when(_has(mask, a), b).otherwise(0)
-            to_a = F.when(_has(mask, b), a).otherwise(0)
-            mask = rest.bitwiseOR(to_b).bitwiseOR(to_a)
-    return mask
+    return f"(({mask}) & {~DIRECTED_BITS} | {turned})"
 
 
-def _bucket_mask(mask: Column, sources: dict[str, int]) -> Column:
-    flags = [F.when(_has(mask, sources[b]), code).otherwise(0) for b, code in BUCKETS.items()]
-    return reduce(lambda x, y: x.bitwiseOR(y), flags)
-
-
-def full_buckets(mask: Column) -> Column:
+def full_buckets(mask: str) -> str:
     """Every bucket the mask belongs to."""
-    return _bucket_mask(mask, FULL_SOURCES)
+    return _flags([(_has(mask, FULL_SOURCES[b]), code) for b, code in BUCKETS.items()])
 
 
-def main_buckets(mask: Column) -> Column:
+def main_buckets(mask: str) -> str:
     """The main buckets of the mask's types."""
-    return _bucket_mask(mask, MAIN_SOURCES)
+    return _flags([(_has(mask, MAIN_SOURCES[b]), code) for b, code in BUCKETS.items()])
 
 
-def first_bucket(buckets: Column) -> Column:
+def first_bucket(buckets: str) -> str:
     """The bucket of highest priority in a bucket mask, 0 if there is none."""
-    choice = None
-    for name in BUCKET_PRIORITY:
-        code = BUCKETS[name]
-        hit = _has(buckets, code)
-        choice = F.when(hit, code) if choice is None else choice.when(hit, code)
-    return choice.otherwise(0)
+    codes = [BUCKETS[b] for b in BUCKET_PRIORITY]
+    cases = " ".join(f"WHEN {_has(buckets, code)} THEN {code}" for code in codes)
+    return f"CASE {cases} ELSE 0 END"
 
 
-def combine(mask1: Column, mask2: Column) -> Column:
+def combine(mask1: str, mask2: str) -> str:
     """The one bucket two friendships have in common, 0 if none.
 
     A mask of 0 belongs to no bucket, so it never matches.
     """
-    return combine_prepared(
-        mask1, mask2, first_bucket(main_buckets(mask1)), full_buckets(mask1), full_buckets(mask2)
-    )
+    main1 = first_bucket(main_buckets(mask1))
+    return combine_prepared(mask1, mask2, main1, full_buckets(mask1), full_buckets(mask2))
 
 
-def combine_prepared(
-    mask1: Column, mask2: Column, main1: Column, full1: Column, full2: Column
-) -> Column:
+def combine_prepared(mask1: str, mask2: str, main1: str, full1: str, full2: str) -> str:
     """``combine`` over per-friendship columns worked out beforehand."""
-    return F.when(mask1 == mask2, main1).otherwise(first_bucket(full1.bitwiseAND(full2)))
+    shared = first_bucket(f"({full1}) & ({full2})")
+    return f"CASE WHEN {mask1} = {mask2} THEN {main1} ELSE {shared} END"
 
 
-def typed_weight(buckets: Column) -> Column:
+def typed_weight(buckets: str) -> str:
     """Weight of a shared bucket mask from the fixed table."""
-    extra = [
-        F.when(_has(buckets, BUCKETS[b]), F.lit(w)).otherwise(F.lit(0.0))
-        for b, w in TYPED_WEIGHTS.items()
-    ]
-    return reduce(lambda x, y: x + y, extra, F.lit(BASE_WEIGHT))
+    extra = [f"if({_has(buckets, BUCKETS[b])}, {w}D, 0D)" for b, w in TYPED_WEIGHTS.items()]
+    return f"({BASE_WEIGHT}D + {' + '.join(extra)})"
 
 
-def edge_weight(bucket: Column, weight: str = "flat") -> Column:
+def edge_weight(bucket: str, weight: str = "flat") -> str:
     """Weight of one shared neighbour: ``flat`` (always 1) or ``typed``."""
     if weight == "flat":
-        return F.lit(BASE_WEIGHT)
+        return f"{BASE_WEIGHT}D"
     if weight == "typed":
         return typed_weight(bucket)
     raise ValueError(f"unknown weight: {weight}")
 
 
-def max_edge_weight(full: Column, weight: str = "flat") -> Column:
+def max_edge_weight(full: str, weight: str = "flat") -> str:
     """Largest ``edge_weight`` a friendship in these buckets can take part in."""
     if weight == "flat":
-        return F.lit(BASE_WEIGHT)
+        return f"{BASE_WEIGHT}D"
     if weight == "typed":
-        options = [
-            F.when(_has(full, BUCKETS[b]), F.lit(BASE_WEIGHT + w)).otherwise(F.lit(BASE_WEIGHT))
-            for b, w in TYPED_WEIGHTS.items()
-        ]
-        return F.greatest(*options)
+        extra = [f"if({_has(full, BUCKETS[b])}, {w}D, 0D)" for b, w in TYPED_WEIGHTS.items()]
+        return f"({BASE_WEIGHT}D + greatest({', '.join(extra)}))"
     raise ValueError(f"unknown weight: {weight}")
 
 
@@ -215,30 +203,28 @@ def count_name(bucket: str) -> str:
 COUNT_COLUMNS = [count_name(b) for b in BUCKETS]
 
 
-def bucket_counter(bucket: Column) -> Column:
+def bucket_counter(bucket: str) -> str:
     """A packed counter holding 1 in the field of this bucket."""
-    parts = [
-        F.when(_has(bucket, code), 1 << COUNTER_OFFSETS[b]).otherwise(0)
-        for b, code in BUCKETS.items()
-    ]
-    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+    return _flags([(_has(bucket, c), 1 << COUNTER_OFFSETS[b]) for b, c in BUCKETS.items()])
 
 
-def pack_counts(counts: dict[str, Column]) -> Column:
+def pack_counts(counts: dict[str, str]) -> str:
     """Pack per-bucket counts, each capped at 7, into one int."""
-    parts = [
-        F.shiftleft(F.least(counts[b], F.lit(COUNTER_CAP)).cast("int"), COUNTER_OFFSETS[b])
-        for b in counts
+    fields = [
+        f"shiftleft(cast(least({n}, {COUNTER_CAP}) AS INT), {COUNTER_OFFSETS[b]})"
+        for b, n in counts.items()
     ]
-    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+    return "(" + " | ".join(fields) + ")"
 
 
-def read_counter(packed: Column, bucket: str) -> Column:
+def read_counter(packed: str, bucket: str) -> str:
     """The count of one bucket in a packed int."""
     offset = COUNTER_OFFSETS[bucket]
-    return F.shiftright(packed.bitwiseAND(F.lit(COUNTER_CAP << offset)), offset)
+    return f"shiftright(({packed}) & {COUNTER_CAP << offset}, {offset})"
 
 
-def merge_counters(packed1: Column, packed2: Column) -> Column:
+def merge_counters(packed1: str, packed2: str) -> str:
     """Field-wise sum of two packed ints, each field capped at 7."""
-    return pack_counts({b: read_counter(packed1, b) + read_counter(packed2, b) for b in BUCKETS})
+    return pack_counts(
+        {b: f"{read_counter(packed1, b)} + {read_counter(packed2, b)}" for b in BUCKETS}
+    )

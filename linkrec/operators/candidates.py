@@ -55,25 +55,17 @@ SLACK = 1e-5
 
 def _prepared(members: DataFrame) -> DataFrame:
     """Bucket work that depends on one friendship only, done once per member."""
-    mask = F.col("mask")
-    return members.select(
-        "*", first_bucket(main_buckets(mask)).alias("main"), full_buckets(mask).alias("full")
+    return members.selectExpr(
+        "*", f"{first_bucket(main_buckets('mask'))} AS main", f"{full_buckets('mask')} AS full"
     )
 
 
-def _bucket_of(first: str, second: str) -> Column:
-    return combine_prepared(
-        F.col(f"{first}.mask"),
-        F.col(f"{second}.mask"),
-        F.col(f"{first}.main"),
-        F.col(f"{first}.full"),
-        F.col(f"{second}.full"),
-    )
+BUCKET_OF_A_AND_B = combine_prepared("a.mask", "b.mask", "a.main", "a.full", "b.full")
 
 
 def wedge_weight(weight: str = "flat") -> Column:
     """Weight of a wedge from its columns ``bucket`` and ``degree``."""
-    return edge_weight(F.col("bucket"), weight) / F.ln("degree")
+    return F.expr(f"{edge_weight('bucket', weight)} / ln(degree)")
 
 
 def wedges(members: DataFrame, carry: list[str] | None = None) -> DataFrame:
@@ -84,13 +76,13 @@ def wedges(members: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """
     prepared = _prepared(members)
     a, b = prepared.alias("a"), prepared.drop("degree").alias("b")
-    return a.join(b, F.expr("a.mid_id = b.mid_id and a.member_id < b.member_id")).select(
-        F.col("a.member_id").alias("user1"),
-        F.col("b.member_id").alias("user2"),
-        F.col("a.mid_id").alias("mid_id"),
-        F.col("a.degree").alias("degree"),
-        _bucket_of("a", "b").alias("bucket"),
-        *[F.least(f"a.{c}", f"b.{c}").alias(c) for c in carry or []],
+    return a.join(b, F.expr("a.mid_id = b.mid_id and a.member_id < b.member_id")).selectExpr(
+        "a.member_id AS user1",
+        "b.member_id AS user2",
+        "a.mid_id",
+        "a.degree",
+        f"{BUCKET_OF_A_AND_B} AS bucket",
+        *[f"least(a.{c}, b.{c}) AS {c}" for c in carry or []],
     )
 
 
@@ -102,27 +94,19 @@ def wedge_counts(members: DataFrame) -> DataFrame:
     masks with the same buckets are therefore counted together, and pairs of
     equal masks, which take their main bucket, are moved over afterwards.
     """
-    by_mask = (
-        members.groupBy("mid_id", "degree", "mask")
-        .agg(F.count("*").alias("n"))
-        .withColumn("main", first_bucket(main_buckets(F.col("mask"))))
-        .withColumn("full", full_buckets(F.col("mask")))
-    )
-    choose2 = F.expr("n * (n - 1) div 2")
-    equal = by_mask.select("degree", F.col("main").alias("bucket"), choose2.alias("n_wedges"))
-    moved = by_mask.select(
-        "degree", first_bucket(F.col("full")).alias("bucket"), (-choose2).alias("n_wedges")
+    by_mask = _prepared(
+        members.groupBy("mid_id", "degree", "mask").agg(F.count("*").alias("n"))
     )
+    best_of_full = f"{first_bucket('full')} AS bucket"
+    choose2 = "n * (n - 1) div 2 AS n_wedges"
+    equal = by_mask.selectExpr("degree", "main AS bucket", choose2)
+    moved = by_mask.selectExpr("degree", best_of_full, f"-{choose2}")
     by_full = by_mask.groupBy("mid_id", "degree", "full").agg(F.sum("n").alias("n"))
-    same = by_full.select(
-        "degree", first_bucket(F.col("full")).alias("bucket"), choose2.alias("n_wedges")
-    )
+    same = by_full.selectExpr("degree", best_of_full, choose2)
     # At most 2^8 bucket masks per group, whatever its size.
     a, b = by_full.alias("a"), by_full.alias("b")
-    cross = a.join(b, F.expr("a.mid_id = b.mid_id and a.full < b.full")).select(
-        F.col("a.degree").alias("degree"),
-        first_bucket(F.col("a.full").bitwiseAND(F.col("b.full"))).alias("bucket"),
-        (F.col("a.n") * F.col("b.n")).alias("n_wedges"),
+    cross = a.join(b, F.expr("a.mid_id = b.mid_id and a.full < b.full")).selectExpr(
+        "a.degree", f"{first_bucket('a.full & b.full')} AS bucket", "a.n * b.n AS n_wedges"
     )
     return (
         equal.union(moved)
@@ -137,8 +121,7 @@ def wedge_counts(members: DataFrame) -> DataFrame:
 def _reduce(wedge_rows: DataFrame, weight: str, *more: Column) -> DataFrame:
     """Per pair: summed weight and wedges per bucket.  Combined map-side."""
     counts = [
-        F.sum((F.col("bucket") == code).cast("int")).alias(count_name(b))
-        for b, code in BUCKETS.items()
+        F.expr(f"sum(int(bucket = {code})) AS {count_name(b)}") for b, code in BUCKETS.items()
     ]
     return wedge_rows.groupBy("user1", "user2").agg(
         F.sum(wedge_weight(weight)).alias("score"), *counts, *more
@@ -150,9 +133,8 @@ def _reduce(wedge_rows: DataFrame, weight: str, *more: Column) -> DataFrame:
 
 def _bounded(hubs: DataFrame, weight: str) -> DataFrame:
     """Add ``bound``, the most a membership can add to any pair's score."""
-    return hubs.withColumn(
-        "bound", max_edge_weight(full_buckets(F.col("mask")), weight) / F.ln("degree")
-    )
+    bound = f"{max_edge_weight(full_buckets('mask'), weight)} / ln(degree)"
+    return hubs.withColumn("bound", F.expr(bound))
 
 
 def _hub_heads(hubs: DataFrame, min_score: float, n_members: int) -> DataFrame:
@@ -232,20 +214,20 @@ def _wedges_of(keys: DataFrame, members: DataFrame) -> DataFrame:
     for user in ("user1", "user2"):
         named = sizes.withColumnsRenamed({"member_id": user, "n_groups": f"n_{user}"})
         keys = salted_join(keys, named, [user], hot, ["user1", "user2"])
-    first_is_less = F.col("n_user1") <= F.col("n_user2")
-    keys = keys.select(
+    keys = keys.selectExpr(
         "user1",
         "user2",
-        F.when(first_is_less, F.col("user1")).otherwise(F.col("user2")).alias("member_id"),
-        F.when(first_is_less, F.col("user2")).otherwise(F.col("user1")).alias("other_id"),
+        "if(n_user1 <= n_user2, user1, user2) AS member_id",
+        "if(n_user1 <= n_user2, user2, user1) AS other_id",
     )
-    side = F.struct("mask", "main", "full")
     prepared = _prepared(members)
-    one = prepared.select("member_id", "mid_id", "degree", side.alias("a"))
-    other = prepared.select(F.col("member_id").alias("other_id"), "mid_id", side.alias("b"))
+    one = prepared.selectExpr("member_id", "mid_id", "degree", "struct(mask, main, full) AS a")
+    other = prepared.selectExpr("member_id AS other_id", "mid_id", "struct(mask, full) AS b")
     found = salted_join(keys, one, ["member_id"], hot, ["other_id"])
     both = salted_join(found, other, ["other_id", "mid_id"], hot, ["member_id", "mid_id"])
-    return both.select("user1", "user2", "mid_id", "degree", _bucket_of("a", "b").alias("bucket"))
+    return both.selectExpr(
+        "user1", "user2", "mid_id", "degree", f"{BUCKET_OF_A_AND_B} AS bucket"
+    )
 
 
 # -- scored pairs ----------------------------------------------------------
@@ -305,17 +287,15 @@ def pair_scores(members: DataFrame, **options) -> DataFrame:
     """
     count_close_family = options.pop("count_close_family", True)
     totals = pair_totals(members, **options)
-    counts = {
-        b: F.least(F.col(count_name(b)), F.lit(COUNTER_CAP)).cast("int") for b in BUCKETS
-    }
+    counts = {b: f"int(least({count_name(b)}, {COUNTER_CAP}))" for b in BUCKETS}
     if not count_close_family:
-        counts["CLOSE_FAMILY"] = F.lit(0)
-    return totals.select(
+        counts["CLOSE_FAMILY"] = "0"
+    return totals.selectExpr(
         "user1",
         "user2",
         "score",
-        *[counts[b].alias(count_name(b)) for b in BUCKETS],
-        pack_counts(counts).alias("packed"),
+        *[f"{n} AS {count_name(b)}" for b, n in counts.items()],
+        f"{pack_counts(counts)} AS packed",
     )
 
 
@@ -327,4 +307,4 @@ def wedges_of_pairs(pairs: DataFrame, members: DataFrame, weight: str = "flat")
 
 def pair_slice(pairs: DataFrame, number: int, slices: int = PAIR_SLICES) -> DataFrame:
     """One slice of the pairs by the first user's id."""
-    return pairs.where(id_slice(F.col("user1"), slices) == number)
+    return pairs.where(f"{id_slice('user1', slices)} = {number}")

@@ -53,8 +53,8 @@ def with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     n_pairs = pairs.count()
     for n in ("1", "2"):
         user = f"user{n}"
-        named = profiles.select(
-            F.col("user_id").alias(user), *[F.col(c).alias(f"{c}{n}") for c in PROFILE_FIELDS]
+        named = profiles.selectExpr(
+            f"user_id AS {user}", *[f"{c} AS {c}{n}" for c in PROFILE_FIELDS]
         )
         other = "user2" if n == "1" else "user1"
         hot = hot_keys(sizes[user], user, total=n_pairs)
@@ -65,21 +65,21 @@ def with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def profile_features(profiled: DataFrame, reference_ms: int = REFERENCE_MS) -> DataFrame:
     """Replace the fields of ``with_profiles`` by the profile features."""
-    c = F.col
-    years1, years2 = whole_years(c("age_days1")), whole_years(c("age_days2"))
-    age = F.least(log_age(c("create_ms1"), reference_ms), log_age(c("create_ms2"), reference_ms))
-    return profiled.withColumns(
-        {
-            "years1": years1,
-            "years_gap": years1 - years2,
-            "sex_code": sex_code(c("sex1"), c("sex2")),
-            "created_close": created_close(c("create_ms1"), c("create_ms2")),
-            "log_age": age,
-            "same_country": same_place(c("country1"), c("country2")),
-            "same_location": same_place(c("location1"), c("location2")),
-            "same_region": same_place(c("login_region1"), c("login_region2")),
-        }
-    ).drop(*[f"{f}{n}" for f in PROFILE_FIELDS for n in ("1", "2")])
+    years1, years2 = whole_years("age_days1"), whole_years("age_days2")
+    ages = [log_age(f"create_ms{n}", reference_ms) for n in "12"]
+    columns = {
+        "years1": years1,
+        "years_gap": f"{years1} - {years2}",
+        "sex_code": sex_code("sex1", "sex2"),
+        "created_close": created_close("create_ms1", "create_ms2"),
+        "log_age": f"least({', '.join(ages)})",
+        "same_country": same_place("country1", "country2"),
+        "same_location": same_place("location1", "location2"),
+        "same_region": same_place("login_region1", "login_region2"),
+    }
+    return profiled.withColumns({name: F.expr(sql) for name, sql in columns.items()}).drop(
+        *[f"{f}{n}" for f in PROFILE_FIELDS for n in "12"]
+    )
 
 
 def with_features(

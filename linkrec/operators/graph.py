@@ -58,10 +58,8 @@ def active_owner_edges(
 
 def reverse_edges(edges: DataFrame, inversion: str = "canonical") -> DataFrame:
     """(mid_id, member_id, mask): each edge seen from the person listed."""
-    return edges.select(
-        F.col("friend_id").alias("mid_id"),
-        F.col("user_id").alias("member_id"),
-        invert(F.col("mask"), inversion).alias("mask"),
+    return edges.selectExpr(
+        "friend_id AS mid_id", "user_id AS member_id", f"{invert('mask', inversion)} AS mask"
     )
 
 

@@ -53,12 +53,12 @@ def without_friends(labeled: DataFrame) -> DataFrame:
 
 def train_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs without a held-out user."""
-    return pairs.where(~is_holdout(F.col("user1")) & ~is_holdout(F.col("user2")))
+    return pairs.where(f"not {is_holdout('user1')} and not {is_holdout('user2')}")
 
 
 def test_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs with at least one held-out user."""
-    return pairs.where(is_holdout(F.col("user1")) | is_holdout(F.col("user2")))
+    return pairs.where(f"{is_holdout('user1')} or {is_holdout('user2')}")
 
 
 def with_split(
@@ -66,7 +66,7 @@ def with_split(
 ) -> DataFrame:
     """Add ``split`` (0, 1, ...), which depends on the pair and the seed only,
     so it is the same after any repartitioning or recomputation."""
-    return pairs.withColumn("split", split_number(F.col("user1"), F.col("user2"), weights, seed))
+    return pairs.withColumn("split", F.expr(split_number("user1", "user2", weights, seed)))
 
 
 def random_splits(

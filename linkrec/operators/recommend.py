@@ -25,7 +25,7 @@ def both_directions(scored: DataFrame, score: str) -> DataFrame:
 
 def for_holdout(directed: DataFrame, threshold: float | None = None) -> DataFrame:
     """Rows of held-out users that reach the threshold."""
-    kept = directed.where(is_holdout(F.col("user_id")))
+    kept = directed.where(is_holdout("user_id"))
     return kept if threshold is None else kept.where(F.col("score") >= threshold)
 
 

@@ -69,10 +69,6 @@ def _profiled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.with_profiles(stored(pairs, "forward_edges"), fx.profiles(spark, sf_dir))
 
 
-def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.raw_edges(spark, sf_dir)
-
-
 # -- text sources ----------------------------------------------------------
 
 
@@ -131,25 +127,24 @@ def mask_normalize(spark, sf_dir):
 
 @query
 def mask_invert(spark, sf_dir):
-    mask = F.col("raw_mask")
-    return _masks(spark, sf_dir).select(
+    return fx.raw_edges(spark, sf_dir).selectExpr(
         "user_id",
         "friend_id",
-        rel.invert(mask).alias("canonical"),
-        rel.invert(mask, "swap").alias("swapped"),
+        f"{rel.invert('raw_mask')} AS canonical",
+        f"{rel.invert('raw_mask', 'swap')} AS swapped",
     )
 
 
 @query
 def mask_buckets(spark, sf_dir):
-    full, main = rel.full_buckets(F.col("mask")), rel.main_buckets(F.col("mask"))
-    return fx.edges(spark, sf_dir).select(
+    full, main = rel.full_buckets("mask"), rel.main_buckets("mask")
+    return fx.edges(spark, sf_dir).selectExpr(
         "user_id",
         "friend_id",
-        full.alias("full_buckets"),
-        main.alias("main_buckets"),
-        rel.first_bucket(full).alias("first_full"),
-        rel.first_bucket(main).alias("first_main"),
+        f"{full} AS full_buckets",
+        f"{main} AS main_buckets",
+        f"{rel.first_bucket(full)} AS first_full",
+        f"{rel.first_bucket(main)} AS first_main",
     )
 
 
@@ -165,22 +160,27 @@ def _mask_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mask_combine(spark, sf_dir):
-    return _mask_pairs(spark, sf_dir).select(
+    return _mask_pairs(spark, sf_dir).selectExpr(
         "user_id",
         "friend_id",
-        rel.combine(F.col("mask"), F.col("mask2")).alias("bucket"),
-        rel.combine(F.col("mask2"), F.col("mask")).alias("bucket_swapped"),
+        f"{rel.combine('mask', 'mask2')} AS bucket",
+        f"{rel.combine('mask2', 'mask')} AS bucket_swapped",
     )
 
 
 @query
 def typed_weight(spark, sf_dir):
-    bucket = rel.combine(F.col("mask"), F.col("mask2"))
-    return _mask_pairs(spark, sf_dir).select(
+    combined = _mask_pairs(spark, sf_dir).selectExpr(
+        "user_id",
+        "friend_id",
+        f"{rel.combine('mask', 'mask2')} AS bucket",
+        f"{rel.full_buckets('mask')} AS full",
+    )
+    return combined.selectExpr(
         "user_id",
         "friend_id",
-        F.round(rel.typed_weight(bucket), 6).alias("weight"),
-        F.round(rel.typed_weight(rel.full_buckets(F.col("mask"))), 6).alias("full_weight"),
+        f"round({rel.typed_weight('bucket')}, 6) AS weight",
+        f"round({rel.typed_weight('full')}, 6) AS full_weight",
     )
 
 
@@ -278,14 +278,13 @@ def pair_bucket_counts(spark, sf_dir):
 
 @query
 def packed_counters(spark, sf_dir):
-    packed = F.col("packed")
-    return _pairs(spark, sf_dir).select(
+    return _pairs(spark, sf_dir).selectExpr(
         *PAIR_KEY,
         "packed",
-        rel.read_counter(packed, "SCHOOL").alias("school"),
-        rel.read_counter(packed, "PLAY").alias("play"),
-        rel.merge_counters(packed, packed).alias("doubled"),
-        rel.bucket_counter(rel.first_bucket(F.pmod("user1", F.lit(256)).cast("int"))).alias("one"),
+        f"{rel.read_counter('packed', 'SCHOOL')} AS school",
+        f"{rel.read_counter('packed', 'PLAY')} AS play",
+        f"{rel.merge_counters('packed', 'packed')} AS doubled",
+        f"{rel.bucket_counter(rel.first_bucket('int(pmod(user1, 256))'))} AS one",
     )
 
 
@@ -350,48 +349,42 @@ def hash_split(spark, sf_dir):
 
 @query
 def age_features(spark, sf_dir):
-    years1, years2 = (pf.whole_years(F.col(f"age_days{n}")) for n in "12")
-    return _profiled_edges(spark, sf_dir).select(
-        *PAIR_KEY, years1.alias("years1"), (years1 - years2).alias("years_gap")
+    years1, years2 = pf.whole_years("age_days1"), pf.whole_years("age_days2")
+    return _profiled_edges(spark, sf_dir).selectExpr(
+        *PAIR_KEY, f"{years1} AS years1", f"{years1} - {years2} AS years_gap"
     )
 
 
 @query
 def sex_code(spark, sf_dir):
-    return _profiled_edges(spark, sf_dir).select(
-        *PAIR_KEY, pf.sex_code(F.col("sex1"), F.col("sex2")).alias("sex_code")
-    )
+    code = pf.sex_code("sex1", "sex2")
+    return _profiled_edges(spark, sf_dir).selectExpr(*PAIR_KEY, f"{code} AS sex_code")
 
 
 @query
 def created_close(spark, sf_dir):
-    close = pf.created_close(F.col("create_ms1"), F.col("create_ms2"))
-    return _profiled_edges(spark, sf_dir).select(*PAIR_KEY, close.alias("created_close"))
+    close = pf.created_close("create_ms1", "create_ms2")
+    return _profiled_edges(spark, sf_dir).selectExpr(*PAIR_KEY, f"{close} AS created_close")
 
 
 @query
 def log_profile_age(spark, sf_dir):
-    ages = {
-        name: F.least(*[pf.log_age(F.col(f"create_ms{n}"), ref) for n in "12"])
-        for name, ref in [
-            ("log_age", pf.REFERENCE_MS),
-            ("log_age_parity", pf.REFERENCE_MS_PARITY),
-        ]
-    }
-    return _profiled_edges(spark, sf_dir).select(
-        *PAIR_KEY, *[F.round(age, 6).alias(name) for name, age in ages.items()]
+    def smaller(reference_ms):
+        ages = [pf.log_age(f"create_ms{n}", reference_ms) for n in "12"]
+        return f"round(least({', '.join(ages)}), 6)"
+
+    return _profiled_edges(spark, sf_dir).selectExpr(
+        *PAIR_KEY,
+        f"{smaller(pf.REFERENCE_MS)} AS log_age",
+        f"{smaller(pf.REFERENCE_MS_PARITY)} AS log_age_parity",
     )
 
 
 @query
 def place_match(spark, sf_dir):
     places = [("country", "country"), ("location", "location"), ("login_region", "region")]
-    return _profiled_edges(spark, sf_dir).select(
-        *PAIR_KEY,
-        *[
-            pf.same_place(F.col(f"{c}1"), F.col(f"{c}2")).alias(f"same_{name}")
-            for c, name in places
-        ],
+    return _profiled_edges(spark, sf_dir).selectExpr(
+        *PAIR_KEY, *[f"{pf.same_place(f'{c}1', f'{c}2')} AS same_{name}" for c, name in places]
     )
 
 

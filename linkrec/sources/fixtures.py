@@ -48,7 +48,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edges(user_id, friend_id, mask) with the noise bit cleared."""
     raw = raw_edges(spark, sf_dir)
-    return raw.select("user_id", "friend_id", normalize(F.col("raw_mask")).alias("mask"))
+    return raw.selectExpr("user_id", "friend_id", f"{normalize('raw_mask')} AS mask")
 
 
 def adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:

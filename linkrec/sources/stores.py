@@ -24,7 +24,7 @@ def write_pairs(pairs: DataFrame, path: str, slices: int = PAIR_SLICES) -> bool:
     The rebalance hint lets Spark join small slices and split large ones, so a
     user with a great share of the pairs does not make one giant task or file.
     """
-    sliced = pairs.withColumn("slice", id_slice(F.col("user1"), slices))
+    sliced = pairs.withColumn("slice", F.expr(id_slice("user1", slices)))
     return write_once(sliced.hint("rebalance", "slice"), path, ["slice"])
 
 

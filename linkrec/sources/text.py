@@ -29,20 +29,20 @@ def _parsed_adjacency(lines: DataFrame) -> DataFrame:
     fields = F.split("value", "\t")
     body = F.regexp_replace(F.get(fields, F.lit(1)), r"^\{\(|\)\}$", "")
     entries = F.transform(F.split(body, ENTRY_BREAK), lambda e: F.split(e, ","))
-    friends = F.transform(
+    raw = F.transform(
         entries,
         lambda e: F.struct(
             F.get(e, F.lit(0)).try_cast("bigint").alias("friend_id"),
-            normalize(F.get(e, F.lit(1)).try_cast("int")).alias("mask"),
+            F.get(e, F.lit(1)).try_cast("int").alias("mask"),
         ),
     )
     parsed = lines.select(
         "value",
         F.get(fields, F.lit(0)).try_cast("bigint").alias("user_id"),
-        friends.alias("friends"),
+        raw.alias("raw"),
     )
     whole = F.forall(
-        "friends", lambda f: f["friend_id"].isNotNull() & f["mask"].isNotNull()
+        "raw", lambda f: f["friend_id"].isNotNull() & f["mask"].isNotNull()
     ) & F.col("user_id").isNotNull()
     return parsed.withColumn("is_whole", F.coalesce(whole, F.lit(False)))
 
@@ -50,7 +50,12 @@ def _parsed_adjacency(lines: DataFrame) -> DataFrame:
 def parse_adjacency(lines: DataFrame) -> DataFrame:
     """``user<TAB>{(id,mask),(id,mask)}`` lines to (user_id, friends), with the
     noise bit of every mask cleared."""
-    return _parsed_adjacency(lines).where("is_whole").select("user_id", "friends")
+    clean = f"named_struct('friend_id', f.friend_id, 'mask', {normalize('f.mask')})"
+    return (
+        _parsed_adjacency(lines)
+        .where("is_whole")
+        .selectExpr("user_id", f"transform(raw, f -> {clean}) AS friends")
+    )
 
 
 def rejected_adjacency(lines: DataFrame) -> DataFrame:
