@@ -11,6 +11,7 @@ PAIR_SLICES = 70
 # so that any SQL engine gives the same split.
 SPLIT_RANGE = 1000003
 SPLIT_FACTORS = (7919, 104729)
+SEED_FACTOR = 15485863
 
 
 def is_holdout(user: str) -> str:
@@ -25,7 +26,8 @@ def split_hash(user1: str, user2: str, seed: int = 11) -> str:
     """A number in [0, SPLIT_RANGE) that depends only on the pair and the seed."""
     a = f"pmod({user1}, {SPLIT_RANGE}) * {SPLIT_FACTORS[0]}"
     b = f"pmod({user2}, {SPLIT_RANGE}) * {SPLIT_FACTORS[1]}"
-    return f"pmod({a} + {b} + {seed}, {SPLIT_RANGE})"
+    start = seed * SEED_FACTOR % SPLIT_RANGE
+    return f"pmod({a} + {b} + {start}, {SPLIT_RANGE})"
 
 
 def split_number(user1: str, user2: str, weights: list[float], seed: int = 11) -> str:

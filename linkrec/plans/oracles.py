@@ -132,7 +132,7 @@ labeled AS (
   SELECT pairs.*, cast(if(friend_id IS NULL, 0, 1) AS DOUBLE) AS label
   FROM pairs LEFT JOIN edges ON user1 = user_id AND user2 = friend_id)"""
 
-SPLIT = "((user1 % 1000003) * 7919 + (user2 % 1000003) * 104729 + 11) % 1000003"
+SPLIT = "((user1 % 1000003) * 7919 + (user2 % 1000003) * 104729 + 343983) % 1000003"
 KNOWN = "user1 % 11 <> 7 AND user2 % 11 <> 7"
 BOTH = """(SELECT user1 AS user_id, user2 AS friend_id, score FROM pairs
   UNION ALL SELECT user2, user1, score FROM pairs)"""
