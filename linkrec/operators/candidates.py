@@ -44,6 +44,9 @@ from linkrec.storage import stored
 MIN_SCORE = 1.5
 SCORE_DIGITS = 6
 HUB_DEGREE = 1_000
+# Wedges one task of the self-join gives rise to.  Tasks are sized by this, as
+# the size of the input in bytes says little about the work.
+WEDGES_PER_TASK = 5_000_000
 # Members of one hub that meet in one task when hubs are paired up.
 BLOCK_SIZE = 2_000
 # Hubs of about the same size are told apart by a hash into this many slots.
@@ -68,14 +71,18 @@ def wedge_weight(weight: str = "flat") -> Column:
     return F.expr(f"{edge_weight('bucket', weight)} / ln(degree)")
 
 
-def wedges(members: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def wedges(
+    members: DataFrame, tasks: int | None = None, carry: list[str] | None = None
+) -> DataFrame:
     """Each pair of a group with its middle person, group size and bucket.
 
-    For groups of bounded size only; ``pair_scores`` sees to that.  For the
-    columns named in ``carry`` the smaller of both members' values is added.
+    For groups of bounded size only; ``pair_scores`` sees to that.  The groups
+    are spread over ``tasks`` tasks.  For the columns named in ``carry`` the
+    smaller of both members' values is added.
     """
     prepared = _prepared(members)
-    a, b = prepared.alias("a"), prepared.drop("degree").alias("b")
+    spread = prepared.repartition(tasks, "mid_id") if tasks else prepared
+    a, b = spread.alias("a"), prepared.drop("degree").alias("b")
     return a.join(b, F.expr("a.mid_id = b.mid_id and a.member_id < b.member_id")).selectExpr(
         "a.member_id AS user1",
         "b.member_id AS user2",
@@ -244,19 +251,27 @@ def pair_totals(
     ``members`` should be a stored table: it is looked at up front to see
     whether there are hubs at all, and read several times if there are.
     """
+    look = members.selectExpr(
+        "count(*) AS n_members",
+        f"sum(if(degree > {hub_degree}, 1, 0)) AS n_in_hubs",
+        f"sum(if(degree > {hub_degree}, 0, (degree - 1) / 2)) AS n_wedges",
+    ).first()
+    parallel = members.sparkSession.sparkContext.defaultParallelism
+    tasks = max(parallel, int((look["n_wedges"] or 0) // WEDGES_PER_TASK) + 1)
     small = members.where(F.col("degree") <= hub_degree)
     hubs = members.where(F.col("degree") > hub_degree)
-    if not hubs.isEmpty():
-        totals = _totals_with_hubs(small, hubs, members.count(), min_score, weight)
+    if look["n_in_hubs"]:
+        n_members = look["n_members"]
+        totals = _totals_with_hubs(small, hubs, n_members, tasks, min_score, weight)
     else:
-        totals = _reduce(wedges(small), weight)
+        totals = _reduce(wedges(small, tasks), weight)
     return totals.withColumn("score", F.round("score", SCORE_DIGITS)).where(
         F.col("score") >= min_score
     )
 
 
 def _totals_with_hubs(
-    small: DataFrame, hubs: DataFrame, n_members: int, min_score: float, weight: str
+    small: DataFrame, hubs: DataFrame, n_members: int, tasks: int, min_score: float, weight: str
 ) -> DataFrame:
     hubs = _bounded(hubs, weight)
     in_hubs = hubs.groupBy("member_id").agg(F.sum("bound").alias("in_hubs"))
@@ -265,7 +280,7 @@ def _totals_with_hubs(
         0.0, ["in_hubs"]
     )
     from_small = stored(
-        _reduce(wedges(small, ["in_hubs"]), weight, F.max("in_hubs").alias("in_hubs")).where(
+        _reduce(wedges(small, tasks, ["in_hubs"]), weight, F.max("in_hubs").alias("in_hubs")).where(
             F.col("score") + F.col("in_hubs") >= min_score - SLACK
         ),
         "small_group_pairs",

@@ -13,7 +13,7 @@ from linkrec.functions.profiles import (
     sex_code,
     whole_years,
 )
-from linkrec.functions.relations import count_name
+from linkrec.functions.relations import BUCKETS, count_name, read_counter
 from linkrec.operators.skew import count_rows, hot_keys, salted_join
 from linkrec.schemas import PROFILE_FIELDS
 
@@ -45,6 +45,12 @@ RELATION_FEATURES = [
 FEATURE_SETS = {"aa": SCORE_FEATURES, "type": RELATION_FEATURES, "user": PROFILE_FEATURES}
 
 
+def with_relation_counts(pairs: DataFrame) -> DataFrame:
+    """Add the count per relation bucket, read from ``packed``."""
+    counts = {count_name(b): F.expr(read_counter("packed", b)) for b in BUCKETS}
+    return pairs.withColumns(counts)
+
+
 def with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Add both users' profile fields (suffix 1 and 2); 0 where unknown.
 
@@ -85,5 +91,9 @@ def profile_features(profiled: DataFrame, reference_ms: int = REFERENCE_MS) -> D
 def with_features(
     labeled: DataFrame, profiles: DataFrame, reference_ms: int = REFERENCE_MS
 ) -> DataFrame:
-    """One wide frame with the columns of all three feature sets."""
-    return profile_features(with_profiles(labeled, profiles), reference_ms)
+    """One wide frame with the columns of all three feature sets.
+
+    Counts stay packed until the profiles are joined, to keep shuffles narrow.
+    """
+    profiled = profile_features(with_profiles(labeled, profiles), reference_ms)
+    return with_relation_counts(profiled).drop("packed")

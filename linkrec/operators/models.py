@@ -6,8 +6,10 @@ All scores stay columns of the pairs' own rows: nothing is joined back by key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorIndexer
@@ -97,10 +99,21 @@ class StackedModel:
 def fit_base(
     wide: DataFrame, strategy: dict[str, Callable[[], Estimator]] | None = None
 ) -> dict[str, PipelineModel]:
-    """One model per feature set, on the base split."""
+    """One model per feature set, on the base split.
+
+    The fits do not depend on each other, so their jobs run side by side.
+    """
     chosen = {**STRATEGY, **(strategy or {})}
     training = wide.where(F.col("split") == BASE)
-    return {name: fit(training, columns, chosen[name]()) for name, columns in FEATURE_SETS.items()}
+    with ThreadPoolExecutor(len(FEATURE_SETS)) as pool:
+        fits = {
+            name: pool.submit(
+                inheritable_thread_target(training.sparkSession)(fit),
+                training, columns, chosen[name](),
+            )
+            for name, columns in FEATURE_SETS.items()
+        }
+        return {name: done.result() for name, done in fits.items()}
 
 
 def fit_stacked(

@@ -252,7 +252,8 @@ def wedge_scores(spark, sf_dir):
 @query
 def pair_wedges(spark, sf_dir):
     members = _members(spark, sf_dir)
-    pairs = stored(cand.pair_scores(members, hub_degree=HUB_DEGREE), "pairs")
+    scored = cand.pair_scores(members, hub_degree=HUB_DEGREE)
+    pairs = stored(scored.select(*PAIR_KEY), "pairs")
     found = cand.wedges_of_pairs(pairs, members, "typed")
     return found.withColumn("weight", F.round("weight", 6))
 
@@ -410,7 +411,8 @@ def user_features(spark, sf_dir):
 
 @query
 def type_features(spark, sf_dir):
-    return _labeled(spark, sf_dir).select(*PAIR_KEY, "label", *feat.RELATION_FEATURES)
+    counted = feat.with_relation_counts(_labeled(spark, sf_dir))
+    return counted.select(*PAIR_KEY, "label", *feat.RELATION_FEATURES)
 
 
 # -- recommendations by raw score ------------------------------------------
@@ -423,7 +425,7 @@ def symmetric_scores(spark, sf_dir):
 
 @query
 def score_merge(spark, sf_dir):
-    labeled = stored(_labeled(spark, sf_dir), "labeled")
+    labeled = stored(feat.with_relation_counts(_labeled(spark, sf_dir)), "labeled")
     parts = [
         stored(labeled.select(*PAIR_KEY, F.col(c).alias(name)), name)
         for c, name in [("score", "p_aa"), ("n_school", "p_type"), ("n_family", "p_user")]

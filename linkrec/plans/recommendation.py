@@ -37,7 +37,10 @@ class Settings:
 
 
 def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Scored pairs of ``edges``, as a stored table; so should ``edges`` be."""
+    """pairs(user1, user2, score, packed) of ``edges``, as a stored table.
+
+    ``edges`` should be a stored table too.
+    """
     s = settings or Settings()
     grouped = group_members(edges, inversion=s.inversion, n_edges=edges.count())
     members = stored(grouped, "members")
@@ -48,7 +51,7 @@ def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataF
         hub_degree=s.hub_degree,
         count_close_family=s.count_close_family,
     )
-    return stored(pairs, "pairs")
+    return stored(pairs.select("user1", "user2", "score", "packed"), "pairs")
 
 
 def wide_pairs(

@@ -120,11 +120,17 @@ def test_wedges_of_given_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(w for w in want if w[:2] in kept)
 
 
-def test_no_hub_wedge_is_enumerated(spark):
-    """Hubs take no part in the self-join."""
-    rows = random_members(8)
-    plan = cand.pair_totals(as_table(spark, rows), hub_degree=1000)
-    assert "small_group_pairs" not in plan._jdf.queryExecution().toString()
+def test_groups_are_joined_where_they_lie(spark):
+    """The self-join shuffles each side once, by group, and nothing more."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = cand.wedges(as_table(spark, random_members(8)), tasks=12)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning(mid_id") == 2
+    assert text.count("Exchange") == 2
+    assert text.count(", 12)") == 2 or text.count(", 12),") == 2
 
 
 # -- graph and joins -------------------------------------------------------

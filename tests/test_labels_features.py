@@ -91,12 +91,13 @@ def test_features_of_users_without_profile(spark):
         "user_id long, create_ms long, age_days int, sex int, country long, location long,"
         " login_region long",
     )
-    pairs = pairs_of(spark, (1, 2), (1, 1), (3, 1))
+    pairs = pairs_of(spark, (1, 2), (1, 1), (3, 1)).selectExpr("*", f"{5 << 9} AS packed")
     wide = features.with_features(pairs, profiles)
     rows = {(r["user1"], r["user2"]): r for r in wide.collect()}
     r = rows[1, 2]
     assert [r[c] for c in features.PROFILE_FEATURES[:4]] == [2, 2, -1, 1]
     assert [r[c] for c in features.PROFILE_FEATURES[5:]] == [-1, -1, -1]
     assert rows[3, 1]["years_gap"] == -2
+    assert [rows[3, 1][c] for c in ("n_school", "n_family")] == [5, 0]
     assert [rows[1, 1][c] for c in features.PROFILE_FEATURES[5:]] == [1, 1, 1]
     assert len(features.PROFILE_FEATURES) == len(features.RELATION_FEATURES) == 8
