@@ -35,6 +35,14 @@ def list_owners(edges: DataFrame) -> DataFrame:
     return edges.select("user_id").distinct()
 
 
+def _lone_edges(edges: DataFrame) -> DataFrame:
+    """The edges of owners who list one person only."""
+    sizes = edges.groupBy("user_id").agg(
+        F.count("*").alias("n_rows"), F.max("friend_id").alias("friend_id")
+    )
+    return sizes.where("n_rows = 1").select("user_id", "friend_id")
+
+
 def active_owner_edges(
     edges: DataFrame, min_friends: int = MIN_FRIENDS, n_edges: int | None = None
 ) -> DataFrame:
@@ -42,15 +50,12 @@ def active_owner_edges(
 
     Here and below ``n_edges`` may give the number of edges if it is known.
     """
-    sizes = edges.groupBy("user_id").agg(
-        F.count("*").alias("n_rows"), F.max("friend_id").alias("friend_id")
-    )
     if min_friends == 2:
-        # The rows to drop are single edges, known by both ids.  Joining on
-        # both spreads even a giant list evenly and keeps the partitioning
-        # that merging duplicates has left.
-        singles = sizes.where("n_rows = 1").select("user_id", "friend_id")
-        return edges.join(singles, ["user_id", "friend_id"], "left_anti")
+        # The rows to drop are known by both ids.  Joining on both spreads
+        # even a giant list evenly and keeps the partitioning that merging
+        # duplicates has left.
+        return edges.join(_lone_edges(edges), ["user_id", "friend_id"], "left_anti")
+    sizes = count_rows(edges, "user_id")
     owners = sizes.where(F.col("n_rows") >= min_friends).select("user_id")
     hot = hot_keys(sizes, "user_id", total=n_edges)
     return salted_join(edges, owners, ["user_id"], hot, ["friend_id"], "left_semi")
@@ -64,15 +69,30 @@ def reverse_edges(edges: DataFrame, inversion: str = "canonical") -> DataFrame:
 
 
 def with_degree(
-    reversed_edges: DataFrame, min_degree: int = MIN_DEGREE, n_edges: int | None = None
+    reversed_edges: DataFrame,
+    min_degree: int = MIN_DEGREE,
+    n_edges: int | None = None,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
-    """Add the group size ``degree`` and drop groups below ``min_degree``."""
-    degrees = count_rows(reversed_edges, "mid_id", "degree")
+    """Add the group size ``degree`` and drop groups below ``min_degree``.
+
+    ``degrees`` may give (mid_id, degree) where there is a shorter way to it.
+    """
+    if degrees is None:
+        degrees = count_rows(reversed_edges, "mid_id", "degree")
     hot = hot_keys(degrees, "mid_id", "degree", n_edges)
     kept = degrees.where(F.col("degree") >= min_degree)
     return salted_join(reversed_edges, kept, ["mid_id"], hot, ["member_id"])
 
 
+def _active_degrees(edges: DataFrame) -> DataFrame:
+    """Group sizes over active owners: all edges less the lone ones, so that
+    the join which drops those need not be run twice."""
+    listed = edges.selectExpr("friend_id AS mid_id", "1L AS n")
+    lone = _lone_edges(edges).selectExpr("friend_id AS mid_id", "-1L AS n")
+    return listed.union(lone).groupBy("mid_id").agg(F.sum("n").alias("degree"))
+
+
 def group_members(
     edges: DataFrame,
     min_friends: int = MIN_FRIENDS,
@@ -81,8 +101,9 @@ def group_members(
     n_edges: int | None = None,
 ) -> DataFrame:
     """members(mid_id, member_id, mask, degree): the groups in flat form."""
-    active = active_owner_edges(edges, min_friends, n_edges)
-    return with_degree(reverse_edges(active, inversion), min_degree, n_edges)
+    active = reverse_edges(active_owner_edges(edges, min_friends, n_edges), inversion)
+    degrees = _active_degrees(edges) if min_friends == 2 else None
+    return with_degree(active, min_degree, n_edges, degrees)
 
 
 def group_lists(members: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:

@@ -36,11 +36,10 @@ def _parsed_adjacency(lines: DataFrame) -> DataFrame:
             F.get(e, F.lit(1)).try_cast("int").alias("mask"),
         ),
     )
-    parsed = lines.select(
-        "value",
-        F.get(fields, F.lit(0)).try_cast("bigint").alias("user_id"),
-        raw.alias("raw"),
-    )
+    user = F.get(fields, F.lit(0)).try_cast("bigint")
+    # Filters are not pushed below an explode, so each line is parsed once.
+    once = F.explode(F.array(F.struct(user.alias("user_id"), raw.alias("raw"))))
+    parsed = lines.select("value", once.alias("p")).select("value", "p.user_id", "p.raw")
     whole = F.forall(
         "raw", lambda f: f["friend_id"].isNotNull() & f["mask"].isNotNull()
     ) & F.col("user_id").isNotNull()
