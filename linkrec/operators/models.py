@@ -24,6 +24,9 @@ from linkrec.operators.labels import BASE, ENSEMBLE
 LOGISTIC = {"fitIntercept": False, "regParam": 0.0, "maxIter": 100, "tol": 1e-6}
 TREE = {"impurity": "gini", "maxBins": 64, "maxDepth": 30, "minInstancesPerNode": 50}
 MAX_CATEGORIES = 5
+# How trees are grown, without effect on the result: rows remember their node,
+# and more nodes are split per pass over the data.
+TREE_GROWTH = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
 
 STACKED_SCORES = ["p_aa", "p_type", "p_user"]
 STACKED = "p_stacked"
@@ -53,7 +56,7 @@ def decision_tree(min_leaf_share: float = 0.0) -> Estimator:
         handleInvalid="keep",
     )
     tree = DecisionTreeClassifier(
-        featuresCol="indexed_features", minWeightFractionPerNode=min_leaf_share, **TREE
+        featuresCol="indexed_features", minWeightFractionPerNode=min_leaf_share, **TREE, **TREE_GROWTH
     )
     return Pipeline(stages=[indexer, tree])
 

@@ -22,7 +22,7 @@ from linkrec.operators.labels import (
 )
 from linkrec.operators.models import STACKED, StackedModel, fit_stacked
 from linkrec.operators.recommend import TOP_K, both_directions, for_holdout, top_k
-from linkrec.storage import stored
+from linkrec.storage import kept, stored
 
 
 @dataclass
@@ -34,6 +34,8 @@ class Settings:
     count_close_family: bool = True
     reference_ms: int = REFERENCE_MS
     k: int = TOP_K
+    # Where members and pairs are kept for later runs; None keeps neither.
+    folder: str | None = None
 
 
 def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -42,16 +44,22 @@ def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataF
     ``edges`` should be a stored table too.
     """
     s = settings or Settings()
-    grouped = group_members(edges, inversion=s.inversion, n_edges=edges.count())
-    members = stored(grouped, "members")
-    pairs = pair_scores(
-        members,
-        min_score=s.min_score,
-        weight=s.weight,
-        hub_degree=s.hub_degree,
-        count_close_family=s.count_close_family,
-    )
-    return stored(pairs.select("user1", "user2", "score", "packed"), "pairs")
+    spark = edges.sparkSession
+
+    def build_members() -> DataFrame:
+        return group_members(edges, inversion=s.inversion, n_edges=edges.count())
+
+    def build_pairs() -> DataFrame:
+        scored = pair_scores(
+            kept(spark, "members", build_members, s.folder),
+            min_score=s.min_score,
+            weight=s.weight,
+            hub_degree=s.hub_degree,
+            count_close_family=s.count_close_family,
+        )
+        return scored.select("user1", "user2", "score", "packed")
+
+    return kept(spark, "pairs", build_pairs, s.folder)
 
 
 def wide_pairs(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,19 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def kept(
+    spark: SparkSession, name: str, build: Callable[[], DataFrame], folder: str | None = None
+) -> DataFrame:
+    """The table ``name`` of ``folder``: read if a run has finished it before,
+    else built and written.  Without a folder it is always built anew."""
+    if folder is None:
+        return stored(build(), name)
+    path = f"{folder}/{name}"
+    if not _is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_once(df: DataFrame, path: str, partition_by: list[str] | None = None) -> bool:
     """Write ``df`` to ``path`` unless a finished table is already there.
 

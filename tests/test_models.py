@@ -95,6 +95,19 @@ def test_strategy_can_be_changed(wide):
     assert len(base["type"].stages[-1].coefficients) == 8
 
 
+def test_finished_tables_are_used_again(spark, edges, tmp_path):
+    settings = recommendation.Settings(hub_degree=100, folder=str(tmp_path))
+    first = recommendation.candidate_pairs(edges, settings)
+    written = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/*.parquet")}
+    assert {p.parent.name for p in written} == {"members", "pairs"}
+    again = recommendation.candidate_pairs(edges.limit(0), settings)
+    assert again.count() == first.count() > 0
+    (tmp_path / "pairs" / "_SUCCESS").unlink()
+    recommendation.candidate_pairs(edges, settings)
+    later = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/*.parquet")}
+    assert all((p in later) == (p.parent.name == "members") for p in written)
+
+
 def test_suggestions_keep_the_rules(spark, edges, wide, stacked):
     report = recommendation.validate(stacked, wide).first()
     assert 0.0 < report["fbeta"] <= 1.0
