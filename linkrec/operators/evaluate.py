@@ -80,17 +80,17 @@ def fbeta_curve(
     positives = counts.agg(F.sum("pos")).scalar()
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     recall = F.when(positives == 0, 0.0).otherwise(F.try_divide(F.col("tp"), positives))
+    # F straight from the counts: one division of whole numbers.
     b2 = beta * beta
-    weighted = b2 * F.col("precision") + F.col("recall")
-    return (
-        curve.withColumns({"precision": precision, "recall": recall})
-        .withColumn(
-            "fbeta",
-            F.when(weighted == 0, 0.0).otherwise(
-                F.try_divide((1 + b2) * F.col("precision") * F.col("recall"), weighted)
-            ),
-        )
-        .select("threshold", "tp", "fp", "precision", "recall", "fbeta")
+    hits = (1 + b2) * F.col("tp")
+    missed = b2 * (positives - F.col("tp"))
+    return curve.select(
+        "threshold",
+        "tp",
+        "fp",
+        precision.alias("precision"),
+        recall.alias("recall"),
+        (hits / (hits + missed + F.col("fp"))).alias("fbeta"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -415,6 +416,15 @@ def type_features(spark, sf_dir):
     return counted.select(*PAIR_KEY, "label", *feat.RELATION_FEATURES)
 
 
+@query
+def parity_features(spark, sf_dir):
+    settings = replace(run.PARITY, hub_degree=HUB_DEGREE)
+    wide = run.wide_pairs(_edges(spark, sf_dir), fx.profiles(spark, sf_dir), settings)
+    return wide.select(
+        *PAIR_KEY, "label", *feat.RELATION_FEATURES, F.round("log_age", 6).alias("log_age")
+    )
+
+
 # -- recommendations by raw score ------------------------------------------
 
 

@@ -397,6 +397,11 @@ ORACLES: dict[str, str] = {
     "type_features": _with(
         LABELED, f"SELECT user1, user2, label, {_RELATION_FEATURES} FROM labeled"
     ),
+    "parity_features": _with(
+        f"{LABELED},\n{_profiled('labeled')}",
+        f"""SELECT user1, user2, label, {_RELATION_FEATURES}, {_log_age(61414934400000)} AS log_age
+        FROM (SELECT * REPLACE (cast(0 AS INTEGER) AS n_close_family) FROM profiled)""",
+    ),
     "symmetric_scores": _with(PAIRS, f"SELECT * FROM {BOTH}"),
     "score_merge": _with(
         LABELED,

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkrec.functions.profiles import REFERENCE_MS
+from linkrec.functions.profiles import REFERENCE_MS, REFERENCE_MS_PARITY
 from linkrec.operators.candidates import HUB_DEGREE, MIN_SCORE, pair_scores
 from linkrec.operators.evaluate import auc_roc, best_threshold, fbeta_curve
 from linkrec.operators.features import with_features
@@ -38,6 +38,11 @@ class Settings:
     folder: str | None = None
 
 
+# Settings that repeat the known quirks: close family is not counted, and
+# account ages are counted to the far date.
+PARITY = Settings(count_close_family=False, reference_ms=REFERENCE_MS_PARITY)
+
+
 def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataFrame:
     """pairs(user1, user2, score, packed) of ``edges``, as a stored table.
 

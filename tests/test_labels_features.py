@@ -3,7 +3,8 @@ import math
 import pytest
 
 from linkrec.functions import ids, profiles as pf
-from linkrec.operators import features, labels
+from linkrec.operators import features, labels, skew
+from linkrec.storage import stored
 
 EDGES = "user_id long, friend_id long, mask int"
 
@@ -101,3 +102,29 @@ def test_features_of_users_without_profile(spark):
     assert [rows[3, 1][c] for c in ("n_school", "n_family")] == [5, 0]
     assert [rows[1, 1][c] for c in features.PROFILE_FEATURES[5:]] == [1, 1, 1]
     assert len(features.PROFILE_FEATURES) == len(features.RELATION_FEATURES) == 8
+
+
+def test_hot_users_do_not_change_labels_or_features(spark, monkeypatch):
+    edges = spark.range(400).selectExpr(
+        "if(id < 300, id % 90, id) AS user_id", "if(id < 300, 95L, id % 50) AS friend_id", "4 AS mask"
+    )
+    edges = stored(edges.where("user_id <> friend_id").union(
+        spark.createDataFrame([(95, 96, 4), (96, 95, 4)], EDGES)).distinct(), "edges")
+    profiles = stored(spark.range(60).selectExpr(
+        "id AS user_id", "id * 86400000 AS create_ms", "int(id * 100) AS age_days",
+        "int(id % 3) AS sex", "id % 4 AS country", "id % 5 AS location", "id % 6 AS login_region",
+    ), "profiles")
+    pairs = stored(spark.range(300).selectExpr(
+        "if(id < 200, 3L, id % 40) AS user1", "id + 41 AS user2", "int(id) AS packed"), "pairs")
+
+    def answers():
+        frames = [labels.positive_pairs(edges), features.with_features(pairs, profiles)]
+        return [
+            sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect()) for df in frames
+        ]
+
+    plain = answers()
+    assert [len(rows) > 0 for rows in plain] == [True, True]
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_SHARE", 20)
+    assert answers() == plain
