@@ -1 +1 @@
-"""Column functions: relation masks, profile comparisons, id hashing."""
+"""SQL expressions: relation masks, profile comparisons, id hashing."""

@@ -16,6 +16,12 @@ from linkrec.functions.relations import normalize
 LINE_WIDTH = 1000
 
 
+def _utc_millis(column: str) -> str:
+    """Milliseconds of a timestamp without zone, whatever the session's zone."""
+    return f"""(unix_date(date({column})) * 86400000L + hour({column}) * 3600000
+        + minute({column}) * 60000 + bigint(extract(SECOND FROM {column}) * 1000))"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,9 +90,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return people.join(first_order, "user_id", "left").select(
         "user_id",
-        F.coalesce(F.unix_millis(F.col("first_date").cast("timestamp")), F.lit(0)).alias(
-            "create_ms"
-        ),
+        F.expr(f"coalesce({_utc_millis('first_date')}, 0) AS create_ms"),
         F.col("c_acctbal").cast("int").alias("age_days"),
         F.expr("cast(user_id % 3 as int)").alias("sex"),
         F.col("c_nationkey").cast("bigint").alias("country"),
@@ -113,7 +117,7 @@ def profile_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return orders.join(people, F.expr("o_custkey = c_custkey")).select(
         F.col("o_custkey").alias("user_id"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("create_ms"),
+        F.expr(f"{_utc_millis('o_orderdate')} AS create_ms"),
         F.expr("cast(o_orderkey % 20000 as int)").alias("age_days"),
         F.expr("cast(o_orderkey % 3 as int)").alias("sex"),
         F.col("c_nationkey").cast("bigint").alias("country"),
