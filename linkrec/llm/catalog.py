@@ -8,7 +8,17 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkrec.llm import bpe, common, exact_dedup, langid, licenses, mixing, token_files, topk
+from linkrec.llm import (
+    bpe,
+    common,
+    exact_dedup,
+    jaccard,
+    langid,
+    licenses,
+    mixing,
+    token_files,
+    topk,
+)
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +72,12 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id"
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -78,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_exact_dedup,
         op5_topk,
         op7_langid,
+        op8_jaccard,
         op9_mixing,
         op10_licenses,
     )
