@@ -174,23 +174,23 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
         raw = [x.as_py() for x in table.column("hashes")]
         flat = packed.from_bytes(b"".join(raw), width)
         shared = (packed.run_totals(flat) > 1).astype(np.int64)
-        at, out = 0, []
-        for hashes, counts in zip(raw, table.column("counts").to_pylist(), strict=True):
+        at, keys, sums = 0, [], []
+        for ks, hashes, counts in zip(
+            table.column("ks").to_pylist(), raw, table.column("counts").to_pylist(), strict=True
+        ):
             end = at + len(hashes) // width
             if counts:
                 starts = at + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-                out.append(np.add.reduceat(shared[:end], starts).tolist())
+                found = np.add.reduceat(shared[:end], starts)
+                keys.append(np.array(ks, np.int64)[found > 0].tolist())
+                sums.append(found[found > 0].tolist())
             else:
-                out.append([])
+                keys.append([])
+                sums.append([])
             at = end
-        kinds = pa.list_(pa.int64())
-        return pa.table(
-            {
-                "ks": table.column("ks"),
-                "shared": pa.array(out, kinds),
-                "docs": table.column("docs"),
-            }
-        )
+        kind = pa.list_(pa.int64())
+        columns = {"ks": pa.array(keys, kind), "shared": pa.array(sums, kind)}
+        return pa.table(columns | {"docs": table.column("docs")})
 
     met = stored(
         rows.groupBy("bucket").applyInArrow(
@@ -199,7 +199,7 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
         "shared",
     )
     told = met.select(F.explode(F.arrays_zip("ks", "shared")).alias("x")).select("x.*")
-    sums = told.where("shared > 0").groupBy("ks").agg(F.sum("shared").alias("told"))
+    sums = told.groupBy("ks").agg(F.sum("shared").alias("told"))
     each = met.select(F.explode("docs").alias("d")).select("d.*")
     return each.join(sums, each.k == sums.ks, "left").select(
         "doc_id",
@@ -212,7 +212,8 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
 
 def set_blocks(given: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(block, ks, ns, hashes): sets of the rows whose ``k`` is wanted, many in a row."""
-    own = given.select("k", "text").join(wanted.select("k"), "k", "left_semi")
+    # The same plan at every size: texts are dealt by k, which the grouping needs as well.
+    own = given.select("k", "text").join(wanted.select("k").hint("merge"), "k", "left_semi")
     own = own.groupBy("k").agg(F.first("text").alias("text"))
 
     def rows(docs):
@@ -463,7 +464,7 @@ def _links_in_cells(members: DataFrame, percent: int) -> DataFrame:
     chosen = (
         members.select("region", "k").withColumn("place", place).where(F.col("place") <= LEADERS)
     )
-    leaders = members.join(chosen.select("k"), "k", "left_semi")
+    leaders = stored(members.join(chosen.select("k"), "k", "left_semi"), "leaders")
     everywhere = F.explode(F.sequence(F.lit(0), (F.col("cells") - 1).cast("int")))
 
     def meet_leaders(own: pa.Table, some: pa.Table) -> pa.Table:
