@@ -16,6 +16,7 @@ from linkrec.llm import (
     langid,
     licenses,
     mixing,
+    pfp,
     token_files,
     topk,
 )
@@ -64,6 +65,12 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op6_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.drop_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = common.held_out(F.col("doc_id"), 4, 2)
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_token_files,
         op3_exact_dedup,
         op5_topk,
+        op6_pfp_dedup,
         op7_langid,
         op8_jaccard,
         op9_mixing,
