@@ -39,8 +39,9 @@ from linkrec.storage import fresh_path, stored
 LENGTH = 50
 ANCHOR = 32  # bytes under the rolling hash; a power of two
 PHRASE = 256  # bytes of a phrase on average
-BLOCK_BYTES = 2 << 20  # text that a task looks at together
-BUCKET_PASSAGES = 1_000_000
+BLOCK_BYTES = 1 << 20  # text that a task looks at together
+BUCKET_BYTES = 8 << 20
+BUCKET_PASSAGES = 500_000
 LAST = (1 << 63) - 1  # stands for a null key: larger than any other
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -267,59 +268,71 @@ def _anchor_questions(buckets: int, width: int, length: int):
             least = block.least()
             at = np.flatnonzero(own)
             piece = block.piece_of(at)
-            # One row for each anchor and document.
+            # Each anchor of a document once.
             value = least[at]
             change = np.ones(len(at), bool)
             change[1:] = (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])
-            at, piece, value = at[change], piece[change], value[change]
-            short = packed.shorten(value, width)
-            order = np.lexsort((block.k[piece], short))
-            at, piece, short = at[order], piece[order], short[order]
-            k = block.k[piece]
-            new = np.ones(len(at), bool)
+            k, short = block.k[piece[change]], packed.shorten(value[change], width)
+            order = np.lexsort((k, short))
+            k, short = k[order], short[order]
+            new = np.ones(len(k), bool)
             new[1:] = (short[1:] != short[:-1]) | (k[1:] != k[:-1])
-            at, piece, short, k = at[new], piece[new], short[new], k[new]
+            k, short = k[new], short[new]
             starts = packed.group_starts(short)
             sizes = np.diff(np.append(starts, len(short)))
             several = np.repeat(sizes > 1, sizes)
-            place, doc = block.place(at, piece), block.doc[piece]
-            one = np.ones(len(at), np.int64)
             turn += 1
-            yield _ask(turn % buckets, k[several], doc[several], place[several], one[several])
-            first = starts[sizes > 1]  # tells others of the anchor, asks nothing
-            for b, x, z in packed.slices(short[first], cuts):
-                none = np.zeros(0, np.int64)
-                yield _ask(b, none, none, none, none, packed.to_bytes(short[first[x:z]], width))
-            single = np.flatnonzero(~several)
-            for b, x, z in packed.slices(short[single], cuts):
-                ask = single[x:z]
-                hashes = packed.to_bytes(short[ask], width)
-                yield _ask(b, k[ask], doc[ask][:0], place[ask], one[ask][:0], hashes)
+            yield by_key(turn % buckets, k[several], short[several], b"known")
+            first = short[starts[sizes > 1]]  # tells others of the anchor, asks nothing
+            for b, x, z in packed.slices(first, cuts):
+                yield by_key(b, k[:0], first[x:z], b"asked")
+            k, short = k[~several], short[~several]
+            for b, x, z in packed.slices(short, cuts):
+                yield by_key(b, k[x:z], short[x:z], b"asked")
+
+    def by_key(bucket, k, short, body):
+        """A question with each document named once, before its hashes."""
+        if len(k):
+            order = np.argsort(k, kind="stable")
+            k, short = k[order], short[order]
+        starts = packed.group_starts(k)
+        return {
+            "bucket": bucket,
+            "k": k[starts].astype("<i8").tobytes(),
+            "n": np.diff(np.append(starts, len(k))).astype("<u4").tobytes(),
+            "h1": packed.to_bytes(short, width),
+            "body": body,
+        }
 
     return rows
 
 
 def _anchor_answers(width: int):
     def answers(table: pa.Table) -> pa.Table:
-        flat = packed.from_bytes(_raw(table, "h1"), width)
-        shared = packed.run_totals(flat) > 1
-        ks, ats, done = [], [], 0
-        for k, at, h in zip(*(table.column(c).to_pylist() for c in ("k", "at", "h1")), strict=True):
-            key, place = np.frombuffer(k, "<i8"), np.frombuffer(at, "<u4")
-            found = np.ones(len(key), bool)
-            if h:
-                if len(key):
-                    found = shared[done : done + len(key)]
-                done += len(h) // width
-            ks.append(key[found])
-            ats.append(place[found])
-        k, at = np.concatenate(ks), np.concatenate(ats)
-        return _answers([runs_by_key(k, at, np.ones(len(k), np.int64))])
+        columns = [table.column(c).to_pylist() for c in ("k", "n", "h1", "body")]
+        asked = b"".join(h for _, _, h, body in zip(*columns, strict=True) if body == b"asked")
+        shared = packed.run_totals(packed.from_bytes(asked, width)) > 1
+        found, done = [], 0
+        for k, n, raw, body in zip(*columns, strict=True):
+            keys, short = np.frombuffer(k, "<i8"), packed.from_bytes(raw, width)
+            told = np.ones(len(short), bool)
+            if body == b"asked":
+                told = shared[done : done + len(short)]
+                done += len(short)
+            at = 0
+            row = []
+            for key, size in zip(keys.tolist(), np.frombuffer(n, "<u4").tolist(), strict=True):
+                own = short[at : at + size][told[at : at + size]]
+                if len(own):
+                    row.append((key, packed.to_bytes(own, width)))
+                at += size
+            found.append(row)
+        return _answers(found)
 
     return answers
 
 
-def _passage_questions(buckets: int, length: int):
+def _passage_questions(buckets: int, width: int, length: int):
     cuts = packed.edges(buckets)
     longest = 4096  # of a run, for texts that repeat one anchor
 
@@ -329,17 +342,11 @@ def _passage_questions(buckets: int, length: int):
             least = block.least()
             own = block.valid & ~marked(block, given, "repeats")
             open_ = np.zeros(len(own), bool)
+            short = packed.shorten(least, width)
             for i, d in enumerate(given):
-                a, n, base = int(block.start[i]), int(block.passages[i]), int(block.base[i])
-                told = [np.frombuffer(p, "<u4")[::2].astype(np.int64) for p in d["anchors"]]
-                at = np.concatenate(told) - base
-                # A shared anchor is told by one place; other pieces look for its value.
-                near = at[(at >= 0) & (at < n)]
-                values = np.unique(least[a + near])
-                if len(near) < len(at):
-                    values = np.union1d(values, _anchor_values(d, at + base, length))
-                if len(values):
-                    open_[a : a + n] = np.isin(least[a : a + n], values)
+                a, n = int(block.start[i]), int(block.passages[i])
+                values = np.concatenate([packed.from_bytes(p, width) for p in d["anchors"]])
+                open_[a : a + n] = np.isin(short[a : a + n], values)
             at = np.flatnonzero(own & open_)
             if not len(at):
                 continue
@@ -371,15 +378,6 @@ def _passage_questions(buckets: int, length: int):
     return rows
 
 
-def _anchor_values(d: dict, at: np.ndarray, length: int) -> np.ndarray:
-    raw = d["text"].encode()
-    out = []
-    for a in at.tolist():
-        own = Block([(0, 0, 0, raw[a : a + length])], length)
-        out.append(own.least()[0])
-    return np.array(out, np.uint64)
-
-
 def suffix_order(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes starting ``at`` in the order of their first bytes, and where new ones begin."""
     width = -(-length // 8) * 8
@@ -447,7 +445,7 @@ def drop_repeats(
     doc_id: str = "doc_id",
     text: str = "text",
     length: int = LENGTH,
-    bucket_bytes: int = packed.BUCKET_BYTES,
+    bucket_bytes: int = BUCKET_BYTES,
     bucket_passages: int = BUCKET_PASSAGES,
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, removed), a row per row of ``df``.
@@ -482,7 +480,7 @@ def drop_repeats(
     repeats = stored(repeats, "repeats")
 
     own = table.select("k", "doc", "text").join(repeats.hint("shuffle_hash"), "k", "left")
-    anchor_buckets = packed.n_buckets(size / 8 * (width + 4), bucket_bytes)
+    anchor_buckets = packed.n_buckets(size / 8 * width, bucket_bytes)
     asked = arrow_map(own, _anchor_questions(anchor_buckets, width, length), ASK, 64)
     anchors = stored(
         _met(asked, _anchor_answers(width), "anchors").withColumnRenamed("parts", "anchors"),
@@ -491,7 +489,7 @@ def drop_repeats(
 
     some = own.join(anchors.hint("shuffle_hash"), "k")
     passage_buckets = max(1, -(-size // (4 * bucket_passages)))
-    asked = arrow_map(some, _passage_questions(passage_buckets, length), ASK, 64)
+    asked = arrow_map(some, _passage_questions(passage_buckets, width, length), ASK, 64)
     passages = _met(asked, _passage_answers(length), "passages").withColumnRenamed(
         "parts", "passages"
     )
