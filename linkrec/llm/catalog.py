@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkrec.llm import (
     bpe,
+    class_lm,
     common,
     exact_dedup,
     jaccard,
@@ -59,6 +60,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = common.held_out(F.col("doc_id"), 5, 1)
+    return class_lm.score_texts(documents(spark, sf_dir), held)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     vectors = topk.whole_vectors(table)
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bpe,
         op2_token_files,
         op3_exact_dedup,
+        op4_class_lm,
         op5_topk,
         op6_pfp_dedup,
         op7_langid,
