@@ -86,12 +86,12 @@ def fingerprints(
 ) -> DataFrame:
     """(doc_id, row_hash, n_chars, n_bytes, f1, f2, text_sha256), a row per row of ``df``.
 
-    ``row_hash`` tells rows of one key with different texts apart.
+    ``row_hash`` stands for key and text together.
     """
     given = texts(df, doc_id, text).select(
         "doc_id",
         "text",
-        F.xxhash64("text").alias("row_hash"),
+        F.xxhash64("doc_id", "text").alias("row_hash"),
         F.char_length("text").cast("long").alias("n_chars"),
     )
     kind = given.schema[0].dataType.simpleString()
@@ -171,7 +171,7 @@ def _chunks(df: DataFrame, doc_id: str, text: str, primes: tuple) -> DataFrame:
                     "row_hash": d["row_hash"],
                 }
 
-    given = texts(df, doc_id, text).select("text", F.xxhash64("text").alias("row_hash"))
+    given = texts(df, doc_id, text).select("text", F.xxhash64("doc_id", "text").alias("row_hash"))
     schema = "n_bytes long, f1 long, f2 long, place int, part binary, row_hash long"
     return arrow_map(given, rows, schema, 512)
 

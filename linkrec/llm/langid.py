@@ -9,12 +9,13 @@ language is reported, so that a caller can reject the answer.
 
 from __future__ import annotations
 
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkrec.llm.common import arrow_map, named, texts
+from linkrec.llm.common import arrow_map, named, ship_package, texts
 
 UNDETERMINED = "und"
 CHUNK = 2048
@@ -121,3 +122,23 @@ def identify(
 
     schema = f"doc_id {kind}, lang_pred string, score double, rejected boolean"
     return arrow_map(given, rows, schema)
+
+
+def drop_rejected(
+    df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", narrow: float = NARROW
+) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose language is not rejected.
+
+    As ``identify`` decides it; nothing is moved between tasks.
+    """
+    ship_package(df.sparkSession)
+    at = df.columns.index(text)
+
+    def keep(batches):
+        own = Classifier(dictionaries)
+        for batch in batches:
+            found = (own.classify(t or "") for t in batch.column(at).to_pylist())
+            fine = [name != UNDETERMINED and margin >= narrow for name, margin in found]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def _phrase_questions(buckets: int, length: int):
     cuts = packed.edges(buckets)
 
     def rows(docs):
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for block, _ in blocks(docs, length):
             start, n = block.phrases()
             if not len(start):
@@ -260,7 +261,7 @@ def _anchor_questions(buckets: int, width: int, length: int):
     cuts = packed.edges(buckets, width)
 
     def rows(docs):
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for block, given in blocks(docs, length):
             own = block.valid & ~marked(block, given, "repeats")
             if not own.any():
@@ -337,7 +338,7 @@ def _passage_questions(buckets: int, width: int, length: int):
     longest = 4096  # of a run, for texts that repeat one anchor
 
     def rows(docs):
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for block, given in blocks(docs, length):
             least = block.least()
             own = block.valid & ~marked(block, given, "repeats")
