@@ -15,13 +15,15 @@ numpy operations over whole blocks.
 
 from __future__ import annotations
 
+import json
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
+import regex
 import tokenizers
 from pyarrow import fs
 from pyspark import TaskContext
@@ -34,8 +36,7 @@ from linkrec.storage import fresh_path, stored
 MAGIC = b"LRTOKEN1"
 FOOTER = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-REMEMBERED = 400_000
-SPACES = " \t\n\r\f\v"  # never part of a token, and never joined across
+REMEMBERED = 500_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -137,7 +138,7 @@ class Reader:
 
 
 class LibraryEncoder(dict):
-    """Ids of a text by the tokenizers library, remembering its space-free chunks.
+    """Ids of a text by the tokenizers library, remembering those of its parts.
 
     The tokenizer must drop white space and never join tokens across it.
     """
@@ -145,31 +146,70 @@ class LibraryEncoder(dict):
     def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
         self.library = tokenizers.Tokenizer.from_file(path)
+        self.pattern = self._known_pattern(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.remembered = remembered
+        self.remembered, self.words = remembered, {}
         for probe in ("a b", "the quick, b'́x", "e ́", "1 2"):
             whole = self._ids(probe)
             if whole != [n for part in probe.split(" ") for n in self._ids(part)]:
                 raise ValueError(f"{path} joins tokens across spaces")
 
+    @staticmethod
+    def _known_pattern(path: str) -> regex.Pattern | None:
+        """The pattern of tokenizers that normalise to NFC and lower case, then cut by it."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
+        if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != [
+            "Split",
+            "ByteLevel",
+        ]:
+            return None
+        if cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"]:
+            return None
+        if any(not t["content"].startswith("<|") for t in spec["added_tokens"]):
+            return None
+        return regex.compile(cuts[0]["pattern"]["Regex"])
+
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: bytes) -> bytes:
+        """Ids of what stands between spaces: of its words, or of the whole."""
         if len(self) >= self.remembered:
             self.clear()
-        ids = np.array(self._ids(chunk), "<u4").tobytes()
+        text = chunk.decode()
+        if self._plain(chunk, text):
+            ids = b"".join(map(self._word, self.pattern.findall(text.lower())))
+        else:
+            ids = np.array(self._ids(text), "<u4").tobytes()
         if len(chunk) < 256:
             self[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        chunks = text.translate(_TO_SPACE).split(" ")
-        return np.frombuffer(b"".join(map(self.__getitem__, filter(None, chunks))), "<u4")
+    def _plain(self, chunk: bytes, text: str) -> bool:
+        """Whether this pattern and the library are sure to see every character alike."""
+        return (
+            self.pattern is not None
+            and max(chunk) < 0xD5  # all below U+0540
+            and "<|" not in text
+            and "\u03a3" not in text  # its lower case depends on its place
+            and unicodedata.is_normalized("NFC", text)
+        )
 
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= self.remembered:
+                self.words.clear()
+            ids = self.words[word] = np.array(self._ids(word), "<u4").tobytes()
+        return ids
 
-_TO_SPACE = str.maketrans(dict.fromkeys(SPACES, " "))
+    def encode(self, text: str) -> np.ndarray:
+        # bytes.split() cuts at ASCII white space, which no token holds or crosses.
+        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
 
 
 @cache
