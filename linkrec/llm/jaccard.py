@@ -101,9 +101,9 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
     def pack(docs):
         shingler = Shingler(n)
         own, senders, seen, held = [], [], {}, 0
-        spread = TaskContext.get().partitionId()
+        number = TaskContext.get().partitionId() << 24
 
-        def flush():
+        def flush(block: int):
             short = [packed.shorten(h, width) for _, h in senders]
             place = np.repeat(np.arange(len(short)), [len(h) for h in short])
             flat = np.concatenate(short) if short else np.zeros(0, np.uint64)
@@ -114,32 +114,31 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
             single = np.repeat(sizes == 1, sizes)
             known = np.bincount(place[~single], minlength=len(short))
             for at, (row, _) in enumerate(senders):
-                row["known"] = int(known[at])
-            keys = np.array([row["k"] for row, _ in senders], np.int64)
+                row |= {"known": int(known[at]), "at": at}
             here, whose = flat[single], place[single]
             for b, a, z in packed.slices(here, cuts):
                 by_doc = np.argsort(whose[a:z], kind="stable")
                 docs_at, counts = np.unique(whose[a:z], return_counts=True)
                 yield {
                     "bucket": b,
-                    "ks": keys[docs_at].tolist(),
-                    "counts": counts.tolist(),
+                    "block": block,
+                    "at": docs_at.astype("<u4").tobytes(),
+                    "counts": counts.astype("<u4").tobytes(),
                     "hashes": packed.to_bytes(here[a:z][by_doc], width),
-                    "docs": [],
                 }
             several = flat[starts[sizes > 1]]  # known to be shared; others have to learn it
             for b, a, z in packed.slices(several, cuts):
                 yield {
                     "bucket": b,
-                    "ks": [],
-                    "counts": [],
+                    "at": b"",
+                    "counts": b"",
                     "hashes": packed.to_bytes(several[a:z], width),
-                    "docs": [],
                 }
             yield {
-                "bucket": spread % buckets,
-                "ks": [],
-                "counts": [],
+                "bucket": block % buckets,
+                "block": block,
+                "at": b"",
+                "counts": b"",
                 "hashes": b"",
                 "docs": [*own],
             }
@@ -149,24 +148,23 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
             digest = xxhash.xxh3_128_digest(h.tobytes())
             row = {"doc_id": d["doc_id"], "k": d["k"], "n": len(h), "digest": digest}
             if digest in seen:  # an equal set in this block speaks for it
-                row["known"] = len(h)
+                row |= {"known": len(h), "at": -1}
             else:
-                row["known"] = 0
                 seen[digest] = True
                 senders.append((row, h))
                 held += len(h)
             own.append(row)
             if held >= BLOCK_HASHES or len(own) >= 20_000:
-                yield from flush()
-                own, senders, seen, held = [], [], {}, 0
+                yield from flush(number)
+                own, senders, seen, held, number = [], [], {}, 0, number + 1
         if own:
-            yield from flush()
+            yield from flush(number)
 
-    doc = "struct<doc_id: long, k: long, n: int, digest: binary, known: int>"
+    doc = "struct<doc_id: long, k: long, n: int, digest: binary, known: int, at: int>"
     rows = arrow_map(
         given,
         pack,
-        f"bucket int, ks array<long>, counts array<int>, hashes binary, docs array<{doc}>",
+        f"bucket int, block long, at binary, counts binary, hashes binary, docs array<{doc}>",
         64,
     )
 
@@ -174,39 +172,51 @@ def shared_counts(given: DataFrame, n: int, bucket_bytes: int) -> DataFrame:
         raw = [x.as_py() for x in table.column("hashes")]
         flat = packed.from_bytes(b"".join(raw), width)
         shared = (packed.run_totals(flat) > 1).astype(np.int64)
-        at, keys, sums = 0, [], []
-        for ks, hashes, counts in zip(
-            table.column("ks").to_pylist(), raw, table.column("counts").to_pylist(), strict=True
+        done, places, sums = 0, [], []
+        for hashes, at, counts in zip(
+            raw, *(table.column(c).to_pylist() for c in ("at", "counts")), strict=True
         ):
-            end = at + len(hashes) // width
-            if counts:
-                starts = at + np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-                found = np.add.reduceat(shared[:end], starts)
-                keys.append(np.array(ks, np.int64)[found > 0].tolist())
-                sums.append(found[found > 0].tolist())
-            else:
-                keys.append([])
-                sums.append([])
-            at = end
-        kind = pa.list_(pa.int64())
-        columns = {"ks": pa.array(keys, kind), "shared": pa.array(sums, kind)}
-        return pa.table(columns | {"docs": table.column("docs")})
+            end = done + len(hashes) // width
+            place, sizes = np.frombuffer(at, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64)
+            found = np.add.reduceat(shared[:end], done + np.cumsum(sizes) - sizes) if at else sizes
+            places.append(place[found > 0].tobytes())
+            sums.append(found[found > 0].astype("<u4").tobytes())
+            done = end
+        columns = {"at": pa.array(places, pa.binary()), "shared": pa.array(sums, pa.binary())}
+        own = {c: table.column(c) for c in ("block", "docs")}
+        return pa.table(own | columns).filter(pa.array([b is not None for b in own["block"].to_pylist()]))
 
     met = stored(
         rows.groupBy("bucket").applyInArrow(
-            meet, f"ks array<long>, shared array<long>, docs array<{doc}>"
+            meet, f"block long, docs array<{doc}>, at binary, shared binary"
         ),
         "shared",
     )
-    told = met.select(F.explode(F.arrays_zip("ks", "shared")).alias("x")).select("x.*")
-    sums = told.groupBy("ks").agg(F.sum("shared").alias("told"))
-    each = met.select(F.explode("docs").alias("d")).select("d.*")
-    return each.join(sums, each.k == sums.ks, "left").select(
-        "doc_id",
-        "k",
-        F.col("n").alias("n_shingles"),
-        "digest",
-        (F.col("known") + F.coalesce("told", F.lit(0))).alias("n_shared"),
+    out = pa.schema(
+        [("doc_id", pa.int64()), ("k", pa.int64()), ("n_shingles", pa.int32())]
+        + [("digest", pa.binary()), ("n_shared", pa.int64())]
+    )
+
+    def gather(table: pa.Table) -> pa.Table:
+        """A block's documents with what all buckets have told of them."""
+        docs = [d for own in table.column("docs").to_pylist() for d in own or ()]
+        told = np.zeros(len(docs) + 1, np.int64)
+        for at, shared in zip(*(table.column(c).to_pylist() for c in ("at", "shared")), strict=True):
+            told[np.frombuffer(at, "<u4")] += np.frombuffer(shared, "<u4")
+        each = [
+            {
+                "doc_id": d["doc_id"],
+                "k": d["k"],
+                "n_shingles": d["n"],
+                "digest": d["digest"],
+                "n_shared": d["known"] + (int(told[d["at"]]) if d["at"] >= 0 else 0),
+            }
+            for d in docs
+        ]
+        return pa.Table.from_pylist(each, schema=out)
+
+    return met.groupBy("block").applyInArrow(
+        gather, "doc_id long, k long, n_shingles int, digest binary, n_shared long"
     )
 
 
