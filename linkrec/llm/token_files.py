@@ -29,6 +29,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from linkrec.llm.common import arrow_map, texts
 from linkrec.storage import fresh_path, stored
@@ -149,7 +150,15 @@ class LibraryEncoder(dict):
         self.pattern = self._known_pattern(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.remembered, self.words = remembered, {}
+        self.remembered, self.words, self.plain = remembered, {}, False
+        # For words that are cut and in lower case already, the rest of the same file.
+        self.of_words = tokenizers.Tokenizer.from_file(path)
+        if self.pattern is not None:
+            self.of_words.normalizer = None
+            self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(
+                add_prefix_space=False, use_regex=False
+            )
+            self.of_words.model._resize_cache(0)  # words come here once
         for probe in ("a b", "the quick, b'́x", "e ́", "1 2"):
             whole = self._ids(probe)
             if whole != [n for part in probe.split(" ") for n in self._ids(part)]:
@@ -181,19 +190,19 @@ class LibraryEncoder(dict):
         if len(self) >= self.remembered:
             self.clear()
         text = chunk.decode()
-        if self._plain(chunk, text):
+        if self.plain:
             ids = b"".join(map(self._word, self.pattern.findall(text.lower())))
         else:
             ids = np.array(self._ids(text), "<u4").tobytes()
-        if len(chunk) < 256:
+        if len(chunk) < 64:
             self[chunk] = ids
         return ids
 
-    def _plain(self, chunk: bytes, text: str) -> bool:
+    def _is_plain(self, raw: bytes, text: str) -> bool:
         """Whether this pattern and the library are sure to see every character alike."""
         return (
             self.pattern is not None
-            and max(chunk) < 0xD5  # all below U+0540
+            and (not raw or np.frombuffer(raw, np.uint8).max() < 0xD5)  # all below U+0540
             and "<|" not in text
             and "\u03a3" not in text  # its lower case depends on its place
             and unicodedata.is_normalized("NFC", text)
@@ -202,14 +211,17 @@ class LibraryEncoder(dict):
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= self.remembered:
+            if len(self.words) >= 2 * self.remembered:
                 self.words.clear()
-            ids = self.words[word] = np.array(self._ids(word), "<u4").tobytes()
+            found = self.of_words.encode(word, add_special_tokens=False).ids
+            ids = self.words[word] = np.array(found, "<u4").tobytes()
         return ids
 
     def encode(self, text: str) -> np.ndarray:
+        raw = text.encode()
+        self.plain = self._is_plain(raw, text)
         # bytes.split() cuts at ASCII white space, which no token holds or crosses.
-        return np.frombuffer(b"".join(map(self.__getitem__, text.encode().split())), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, raw.split())), "<u4")
 
 
 @cache
