@@ -28,7 +28,8 @@ from linkrec.llm.common import arrow_map, named, texts
 # Fixed value: how byte-level tokenizers of this family cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces remembered per task; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+PAIRS = 300_000  # pairs of tokens whose compatibility is remembered
 NEVER = 1 << 60
 
 
@@ -116,8 +117,6 @@ class Encoder(dict):
         byte_of = printable_bytes()
         to_bytes = lambda s: bytes(byte_of[c] for c in s)
         vocabulary = {s: n for s, n in model["vocab"].items() if s not in self.special}
-        self.bytes_of = {n: to_bytes(s) for s, n in vocabulary.items()}
-        self.bytes_of |= {n: s.encode() for s, n in self.special.items()}
         self.rank, self.halves, self.merge = {}, {}, {}
         for at, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
@@ -127,9 +126,9 @@ class Encoder(dict):
             self.rank[whole], self.halves[whole] = at, (vocabulary[left], vocabulary[right])
             self.merge[vocabulary[left], vocabulary[right]] = at
         known = {to_bytes(s): n for s, n in vocabulary.items()}
-        reached = {n for n in known.values() if n in self.rank or len(self.bytes_of[n]) == 1}
-        self.automaton = SuffixAutomaton({b: n for b, n in known.items() if n in reached})
-        self.sizes = {n: len(b) for n, b in self.bytes_of.items()}
+        reached = {b: n for b, n in known.items() if n in self.rank or len(b) == 1}
+        self.automaton = SuffixAutomaton(reached)
+        self.sizes = {n: len(b) for b, n in reached.items()}
         self.pattern = regex.compile(PIECES)
         self.cut = None
         if self.special:
@@ -184,7 +183,7 @@ class Encoder(dict):
                 pair = last[start] << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
-                    if len(pairs) > 1_000_000:
+                    if len(pairs) > PAIRS:
                         pairs.clear()
                     fits = pairs[pair] = self.compatible(last[start], token)
                 if fits:
@@ -227,6 +226,21 @@ class Encoder(dict):
                 out.extend(map(find, self.pieces(part)))
         return b"".join(out)
 
+
+class Decoder:
+    """Texts of packed ids."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = printable_bytes()
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of = {
+            n: bytes(byte_of[c] for c in s)
+            for s, n in spec["model"]["vocab"].items()
+            if s not in special
+        } | {n: s.encode() for s, n in special.items()}
+
     def decode(self, ids: bytes) -> str:
         known = self.bytes_of
         # As the library does, an id that it does not know adds nothing.
@@ -240,6 +254,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encode(
     df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -270,7 +289,7 @@ def decode(
     """
 
     def rows(docs):
-        own = encoder(tokenizer)
+        own = decoder(tokenizer)
         for d in docs:
             yield d | {"text": own.decode(d["token_ids"])}
 

@@ -137,8 +137,10 @@ def drop_rejected(
     def keep(batches):
         own = Classifier(dictionaries)
         for batch in batches:
-            found = (own.classify(t or "") for t in batch.column(at).to_pylist())
-            fine = [name != UNDETERMINED and margin >= narrow for name, margin in found]
-            yield batch.filter(pa.array(fine, pa.bool_()))
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found = (own.classify(t or "") for t in part.column(at).to_pylist())
+                fine = [name != UNDETERMINED and margin >= narrow for name, margin in found]
+                yield part.filter(pa.array(fine, pa.bool_()))
 
     return df.mapInArrow(keep, df.schema)
