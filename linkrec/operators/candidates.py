@@ -138,10 +138,18 @@ def _reduce(wedge_rows: DataFrame, weight: str, *more: Column) -> DataFrame:
 # -- hubs ------------------------------------------------------------------
 
 
-def _bounded(hubs: DataFrame, weight: str) -> DataFrame:
-    """Add ``bound``, the most a membership can add to any pair's score."""
-    bound = f"{max_edge_weight(full_buckets('mask'), weight)} / ln(degree)"
-    return hubs.withColumn("bound", F.expr(bound))
+def _bounded(hubs: DataFrame, weight: str, n_members: int) -> DataFrame:
+    """Add ``bound``, the most a membership can add to any pair's score.
+
+    A row meets each of the other user's rows in that hub, so where entries are
+    repeated the bound is that many times as large as the most repeated one.
+    """
+    repeats = hubs.groupBy("mid_id", "member_id").agg(F.count("*").alias("n"))
+    most = repeats.groupBy("mid_id").agg(F.max("n").alias("most")).where("most > 1")
+    hot = hot_keys(count_rows(hubs, "mid_id"), "mid_id", total=n_members)
+    rows = salted_join(hubs, most, ["mid_id"], hot, ["member_id"], "left")
+    one = f"{max_edge_weight(full_buckets('mask'), weight)} / ln(degree)"
+    return rows.withColumn("bound", F.expr(f"coalesce(most, 1) * {one}")).drop("most")
 
 
 def _hub_heads(hubs: DataFrame, min_score: float, n_members: int) -> DataFrame:
@@ -273,7 +281,7 @@ def pair_totals(
 def _totals_with_hubs(
     small: DataFrame, hubs: DataFrame, n_members: int, tasks: int, min_score: float, weight: str
 ) -> DataFrame:
-    hubs = _bounded(hubs, weight)
+    hubs = _bounded(hubs, weight, n_members)
     in_hubs = hubs.groupBy("member_id").agg(F.sum("bound").alias("in_hubs"))
     hot = hot_keys(count_rows(small, "member_id"), "member_id", total=n_members)
     small = salted_join(small, in_hubs, ["member_id"], hot, ["mid_id"], "left").fillna(

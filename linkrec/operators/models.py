@@ -70,8 +70,23 @@ STRATEGY: dict[str, Callable[[], Estimator]] = {
 }
 
 
-def fit(training: DataFrame, columns: list[str], estimator: Estimator) -> PipelineModel:
+def bounded_rows(training: DataFrame, max_rows: int | None) -> DataFrame:
+    """About ``max_rows`` rows, chosen by a hash of the pair, so any run takes the same.
+
+    A model's size then has a bound, whatever the data's.  None takes all rows.
+    """
+    n = training.count() if max_rows else 0
+    if not max_rows or n <= max_rows:
+        return training
+    chance = F.pmod(F.xxhash64("user1", "user2", F.lit("fit")), F.lit(1 << 31))
+    return training.where(chance < int((1 << 31) * max_rows / n))
+
+
+def fit(
+    training: DataFrame, columns: list[str], estimator: Estimator, max_rows: int | None = None
+) -> PipelineModel:
     """Assemble ``columns`` into a vector and fit on ``label``."""
+    training = bounded_rows(training, max_rows)
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     rows = with_label_values(training.select("label", *columns))
     return Pipeline(stages=[assembler, estimator]).fit(rows)
@@ -100,7 +115,9 @@ class StackedModel:
 
 
 def fit_base(
-    wide: DataFrame, strategy: dict[str, Callable[[], Estimator]] | None = None
+    wide: DataFrame,
+    strategy: dict[str, Callable[[], Estimator]] | None = None,
+    max_rows: int | None = None,
 ) -> dict[str, PipelineModel]:
     """One model per feature set, on the base split.
 
@@ -112,7 +129,7 @@ def fit_base(
         fits = {
             name: pool.submit(
                 inheritable_thread_target(training.sparkSession)(fit),
-                training, columns, chosen[name](),
+                training, columns, chosen[name](), max_rows,
             )
             for name, columns in FEATURE_SETS.items()
         }
@@ -120,14 +137,16 @@ def fit_base(
 
 
 def fit_stacked(
-    wide: DataFrame, strategy: dict[str, Callable[[], Estimator]] | None = None
+    wide: DataFrame,
+    strategy: dict[str, Callable[[], Estimator]] | None = None,
+    max_rows: int | None = None,
 ) -> StackedModel:
     """Base models on the base split, the model over their scores on the
     ensemble split.  ``wide`` should be a stored table, as it is read often."""
     chosen = {**STRATEGY, **(strategy or {})}
-    model = StackedModel(fit_base(wide, strategy), None)
+    model = StackedModel(fit_base(wide, strategy, max_rows), None)
     scored = model.add_base_scores(wide.where(F.col("split") == ENSEMBLE))
-    model.stacked = fit(scored, STACKED_SCORES, chosen["stacked"]())
+    model.stacked = fit(scored, STACKED_SCORES, chosen["stacked"](), max_rows)
     return model
 
 

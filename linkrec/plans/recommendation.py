@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import sha256
 
+from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,29 +37,49 @@ class Settings:
     count_close_family: bool = True
     reference_ms: int = REFERENCE_MS
     k: int = TOP_K
+    # Most labelled pairs that each model is fitted on; None takes all.
+    max_fit_rows: int | None = 2_000_000
+    # Bins of the F curve in validation; 0 keeps every distinct score.
+    num_bins: int = 0
     # Where members and pairs are kept for later runs; None keeps neither.
     folder: str | None = None
 
 
 # Settings that repeat the known quirks: close family is not counted, and
 # account ages are counted to the far date.
-PARITY = Settings(count_close_family=False, reference_ms=REFERENCE_MS_PARITY)
+PARITY = Settings(
+    count_close_family=False, reference_ms=REFERENCE_MS_PARITY, max_fit_rows=None, num_bins=100
+)
+
+
+def _fingerprint(edges: DataFrame, *settings: object) -> str:
+    """Stands for the rows of ``edges``, in any order, and for some settings."""
+    row = F.xxhash64(*edges.columns) % F.lit(1_000_000_007)
+    content = edges.agg(F.count("*"), F.sum(row), F.sum(row * row % 998_244_353)).first()
+    return sha256(repr((tuple(content), settings)).encode()).hexdigest()[:16]
 
 
 def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataFrame:
     """pairs(user1, user2, score, packed) of ``edges``, as a stored table.
 
-    ``edges`` should be a stored table too.
+    ``edges`` should be a stored table too.  Kept tables are named by what they were
+    made from, so other rows or other settings never get them.
     """
     s = settings or Settings()
     spark = edges.sparkSession
+    of_members = of_pairs = ""
+    if s.folder is not None:
+        of_members = "-" + _fingerprint(edges, s.inversion)
+        of_pairs = f"{of_members}-" + sha256(
+            repr((s.min_score, s.weight, s.count_close_family)).encode()
+        ).hexdigest()[:16]
 
     def build_members() -> DataFrame:
         return group_members(edges, inversion=s.inversion, n_edges=edges.count())
 
     def build_pairs() -> DataFrame:
         scored = pair_scores(
-            kept(spark, "members", build_members, s.folder),
+            kept(spark, f"members{of_members}", build_members, s.folder),
             min_score=s.min_score,
             weight=s.weight,
             hub_degree=s.hub_degree,
@@ -64,7 +87,7 @@ def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataF
         )
         return scored.select("user1", "user2", "score", "packed")
 
-    return kept(spark, "pairs", build_pairs, s.folder)
+    return kept(spark, f"pairs{of_pairs}", build_pairs, s.folder)
 
 
 def wide_pairs(
@@ -76,11 +99,13 @@ def wide_pairs(
     return stored(with_split(with_features(labeled, profiles, s.reference_ms)), "wide_pairs")
 
 
-def validate(model: StackedModel, wide: DataFrame) -> DataFrame:
+def validate(
+    model: StackedModel, wide: DataFrame, num_bins: int = 0
+) -> DataFrame:
     """One row (threshold, fbeta, auc) from the validation split."""
     held = train_pairs(wide).where(F.col("split") == VALIDATION)
     scored = stored(model.transform(held).select("label", STACKED), "validation")
-    best = best_threshold(fbeta_curve(scored, STACKED))
+    best = best_threshold(fbeta_curve(scored, STACKED, num_bins=num_bins))
     return best.withColumn("auc", auc_roc(scored, STACKED).scalar())
 
 
@@ -95,13 +120,19 @@ def suggest(
 
 
 def recommend(
-    edges: DataFrame, profiles: DataFrame, settings: Settings | None = None
+    edges: DataFrame,
+    profiles: DataFrame,
+    settings: Settings | None = None,
+    strategy: dict[str, Callable[[], Estimator]] | None = None,
 ) -> DataFrame:
-    """Train on the pairs of known users and suggest friends for held-out ones."""
+    """Train on the pairs of known users and suggest friends for held-out ones.
+
+    ``strategy`` names the classifier of a stage where it is to be another one.
+    """
     s = settings or Settings()
     wide = wide_pairs(stored(edges, "edges"), profiles, s)
-    model = fit_stacked(train_pairs(wide))
-    report = validate(model, wide).first()
+    model = fit_stacked(train_pairs(wide), strategy, s.max_fit_rows)
+    report = validate(model, wide, s.num_bins).first()
     if report is None:
         raise ValueError("no validation pairs to choose a threshold from")
     return suggest(model, wide, report["threshold"], s.k)

@@ -1,12 +1,13 @@
 """Text sources and sinks: friend lists, profiles, recommendation lines.
 
-Lines that do not parse are never dropped silently: each reader has a twin
-that returns them.
+A line that does not parse stops the job.  With ``on_bad="skip"`` such lines are left
+out instead; an ``Observation`` counts them in the same pass, and ``rejected_*`` returns
+them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linkrec.functions.relations import normalize
@@ -22,6 +23,18 @@ def _int_or_zero(fields: Column, index: int, type_name: str) -> Column:
     return F.when(text == "", F.lit(0).cast(type_name)).otherwise(text.try_cast(type_name))
 
 
+def _whole_lines(parsed: DataFrame, on_bad: str, rejects: Observation | None) -> DataFrame:
+    """Rows with ``is_whole``; others stop the job or are counted as ``rejected``."""
+    if on_bad == "fail":
+        bad = F.raise_error(F.concat(F.lit("cannot read line: "), "value")).cast("boolean")
+        return parsed.where(F.when(F.col("is_whole"), F.lit(True)).otherwise(bad))
+    if on_bad != "skip":
+        raise ValueError('on_bad is "fail" or "skip"')
+    if rejects is not None:
+        parsed = parsed.observe(rejects, F.count_if(~F.col("is_whole")).alias("rejected"))
+    return parsed.where("is_whole")
+
+
 # -- friend lists ----------------------------------------------------------
 
 
@@ -46,15 +59,14 @@ def _parsed_adjacency(lines: DataFrame) -> DataFrame:
     return parsed.withColumn("is_whole", F.coalesce(whole, F.lit(False)))
 
 
-def parse_adjacency(lines: DataFrame) -> DataFrame:
+def parse_adjacency(
+    lines: DataFrame, on_bad: str = "fail", rejects: Observation | None = None
+) -> DataFrame:
     """``user<TAB>{(id,mask),(id,mask)}`` lines to (user_id, friends), with the
     noise bit of every mask cleared."""
     clean = f"named_struct('friend_id', f.friend_id, 'mask', {normalize('f.mask')})"
-    return (
-        _parsed_adjacency(lines)
-        .where("is_whole")
-        .selectExpr("user_id", f"transform(raw, f -> {clean}) AS friends")
-    )
+    whole = _whole_lines(_parsed_adjacency(lines), on_bad, rejects)
+    return whole.selectExpr("user_id", f"transform(raw, f -> {clean}) AS friends")
 
 
 def rejected_adjacency(lines: DataFrame) -> DataFrame:
@@ -62,8 +74,10 @@ def rejected_adjacency(lines: DataFrame) -> DataFrame:
     return _parsed_adjacency(lines).where("not is_whole").select("value")
 
 
-def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    return parse_adjacency(spark.read.text(path))
+def read_adjacency(
+    spark: SparkSession, path: str, on_bad: str = "fail", rejects: Observation | None = None
+) -> DataFrame:
+    return parse_adjacency(spark.read.text(path), on_bad, rejects)
 
 
 # -- profiles --------------------------------------------------------------
@@ -82,13 +96,15 @@ def _parsed_profiles(lines: DataFrame) -> DataFrame:
     return lines.select("*", *columns).withColumn("is_whole", whole & has_user)
 
 
-def parse_profiles(lines: DataFrame) -> DataFrame:
+def parse_profiles(
+    lines: DataFrame, on_bad: str = "fail", rejects: Observation | None = None
+) -> DataFrame:
     """Tab-separated profile lines; missing or empty fields are 0.
 
     Columns of ``lines`` other than ``value`` are kept, so that a line order
     can be carried along.
     """
-    return _parsed_profiles(lines).where("is_whole").drop("value", "is_whole")
+    return _whole_lines(_parsed_profiles(lines), on_bad, rejects).drop("value", "is_whole")
 
 
 def rejected_profiles(lines: DataFrame) -> DataFrame:
@@ -97,7 +113,9 @@ def rejected_profiles(lines: DataFrame) -> DataFrame:
     return _parsed_profiles(lines).where("not is_whole").select("value")
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+def read_profiles(
+    spark: SparkSession, path: str, on_bad: str = "fail", rejects: Observation | None = None
+) -> DataFrame:
     """Profile lines with ``line_order``, which grows along each file.
 
     Blocks of one file may be read by different tasks, so the block's offset
@@ -111,7 +129,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
             F.monotonically_increasing_id().alias("line"),
         ).alias("line_order"),
     )
-    return parse_profiles(lines)
+    return parse_profiles(lines, on_bad, rejects)
 
 
 def latest_profiles(profiles: DataFrame, order: str | list[str]) -> DataFrame:

@@ -52,6 +52,23 @@ def test_pairs_equal_brute_force(spark, mode, hub_degree):
     same_pairs(got, want)
 
 
+@pytest.mark.parametrize("mode", ["flat", "typed"])
+def test_repeated_entries_count_each_whatever_is_a_hub(spark, mode):
+    rows = random_members(4, users=30)
+    rows += [r for i, r in enumerate(rows) for _ in range(i % 3) if i % 5 == 0]
+    table = as_table(spark, rows)
+    sets = [
+        sorted(
+            (r["user1"], r["user2"], round(r["score"], 5), *(r[c] for c in rel.COUNT_COLUMNS))
+            for r in cand.pair_scores(
+                table, min_score=4.0, weight=mode, hub_degree=hub_degree
+            ).collect()
+        )
+        for hub_degree in (1, 12, 1000)
+    ]
+    assert sets[0] == sets[1] == sets[2] and sets[0]
+
+
 def test_pairs_that_meet_in_hubs_only(spark):
     rows = [(hub, user, 4, 30) for hub in range(12) for user in range(30)]
     want = brute.pairs([r[:3] for r in rows], 1.5)

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
@@ -98,14 +100,32 @@ def test_strategy_can_be_changed(wide):
 def test_finished_tables_are_used_again(spark, edges, tmp_path):
     settings = recommendation.Settings(hub_degree=100, folder=str(tmp_path))
     first = recommendation.candidate_pairs(edges, settings)
-    written = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/*.parquet")}
-    assert {p.parent.name for p in written} == {"members", "pairs"}
-    again = recommendation.candidate_pairs(edges.limit(0), settings)
-    assert again.count() == first.count() > 0
-    (tmp_path / "pairs" / "_SUCCESS").unlink()
+    files = lambda: {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/*.parquet")}
+    written = files()
+    assert {p.parent.name.split("-")[0] for p in written} == {"members", "pairs"}
+    again = recommendation.candidate_pairs(edges.orderBy("friend_id"), settings)
+    assert again.count() == first.count() > 0 and files() == written
+    for done in tmp_path.glob("pairs*/_SUCCESS"):
+        done.unlink()
     recommendation.candidate_pairs(edges, settings)
-    later = {p: p.stat().st_mtime_ns for p in tmp_path.glob("*/*.parquet")}
-    assert all((p in later) == (p.parent.name == "members") for p in written)
+    later = files()
+    assert all((p in later) == p.parent.name.startswith("members") for p in written)
+
+
+@pytest.mark.parametrize("change", [{"weight": "typed"}, {"min_score": 3.0}, {"inversion": "swap"}])
+def test_kept_tables_are_never_stale(edges, tmp_path, change):
+    kept = recommendation.Settings(folder=str(tmp_path))
+    recommendation.candidate_pairs(edges, kept)
+    for other in (edges, edges.where("user_id % 2 = 0")):
+        fresh = recommendation.candidate_pairs(other, recommendation.Settings(**change))
+        again = recommendation.candidate_pairs(other, replace(kept, **change))
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, fresh.collect()))
+
+
+def test_rows_to_fit_are_bounded(wide):
+    some = models.bounded_rows(wide, 100)
+    assert 0 < some.count() < 160 < wide.count()
+    assert sorted(some.collect()) == sorted(models.bounded_rows(wide, 100).collect())
 
 
 def test_suggestions_keep_the_rules(spark, edges, wide, stacked):

@@ -2,6 +2,7 @@ import gzip
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from linkrec.operators import graph
@@ -25,7 +26,11 @@ def test_adjacency_lines(spark):
 )
 def test_bad_adjacency_lines_are_returned(spark, bad):
     df = lines(spark, bad, "7\t{(8,16)}")
-    assert text.parse_adjacency(df).count() == 1
+    seen = Observation()
+    assert text.parse_adjacency(df, "skip", seen).count() == 1
+    assert seen.get["rejected"] == 1
+    with pytest.raises(Exception, match="cannot read line"):
+        text.parse_adjacency(df).count()
     assert [r["value"] for r in text.rejected_adjacency(df).collect()] == [bad]
 
 
@@ -55,7 +60,9 @@ def test_profile_lines(spark):
 @pytest.mark.parametrize("bad", ["", "   ", "\t5", "x\t1", "5\tsoon"])
 def test_bad_profile_lines_are_returned(spark, bad):
     df = lines(spark, bad, "1\t2")
-    assert text.parse_profiles(df).count() == 1
+    assert text.parse_profiles(df, "skip").count() == 1
+    with pytest.raises(Exception, match="cannot read line"):
+        text.parse_profiles(df).count()
     assert [r["value"] for r in text.rejected_profiles(df).collect()] == [bad]
 
 
