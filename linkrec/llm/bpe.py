@@ -260,23 +260,33 @@ def decoder(path: str) -> Decoder:
 
 
 def encode(
-    df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    tokenizer: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """(doc_id, token_ids): ids of every whole text as the tokenizer file defines them.
 
+    With ``decoded`` a column ``text`` has what the ids decode to, as ``decode`` gives it,
+    without sending them to a second worker.
+
     ``token_ids`` is binary: little-endian unsigned 32-bit integers.  A null or empty
     text has no ids (empty binary).  Repeated rows and null keys give a row each; an
     empty table gives an empty one.  A text of any length is encoded piece by piece.
     """
 
     def rows(docs):
-        own = encoder(tokenizer)
+        own, back = encoder(tokenizer), decoder(tokenizer)
         for d in docs:
-            yield {"doc_id": d["doc_id"], "token_ids": own.encode(d["text"])}
+            ids = own.encode(d["text"])
+            out = {"doc_id": d["doc_id"], "token_ids": ids}
+            yield out | {"text": back.decode(ids)} if decoded else out
 
     given = texts(df, doc_id, text)
     kind = given.schema[0].dataType.simpleString()
-    return arrow_map(given, rows, f"doc_id {kind}, token_ids binary", 256)
+    schema = f"doc_id {kind}, token_ids binary" + ", text string" * decoded
+    return arrow_map(given, rows, schema, 256)
 
 
 def decode(

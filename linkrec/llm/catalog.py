@@ -34,7 +34,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    decoded = bpe.encode(documents(spark, sf_dir), path, decoded=True)
     return decoded.select(
         "doc_id",
         F.floor(F.octet_length("token_ids") / 4).alias("n_tokens"),

@@ -77,6 +77,7 @@ def arrow_map(
                 out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
