@@ -28,8 +28,8 @@ from linkrec.llm.common import arrow_map, named, texts
 # Fixed value: how byte-level tokenizers of this family cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces remembered per task; the table is emptied when it is full.
-REMEMBERED = 200_000
-PAIRS = 300_000  # pairs of tokens whose compatibility is remembered
+REMEMBERED = 120_000
+PAIRS = 100_000  # pairs of tokens whose compatibility is remembered
 NEVER = 1 << 60
 
 

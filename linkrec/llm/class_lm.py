@@ -7,7 +7,7 @@ move at once to the class that makes their neighbours' classes most likely, give
 class counts of the round before.
 
 Nothing of the vocabulary's size is ever in one place.  Tasks cut the corpus into blocks
-of about a million tokens, written once: the distinct words of the block as hashes, and
+of about half a million tokens, written once: the distinct words of the block as hashes, and
 its tokens as bit-packed places among them.  Blocks send what they know of each word to
 the word's bucket and get back its count and class, in the order of their own words; only
 the matrix of class transitions, whose size is a parameter, is known everywhere.
@@ -34,8 +34,8 @@ CLASSES = 48
 ROUNDS = 2
 # Share of the class model in the mixture with the unigram.
 WEIGHT = 0.8
-BLOCK_TOKENS = 1 << 20
-REMEMBERED = 300_000
+BLOCK_TOKENS = 1 << 19
+REMEMBERED = 200_000
 BUCKET_BYTES = 8 << 20
 END = 0  # the class of the end token, which no word can have
 

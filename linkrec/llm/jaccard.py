@@ -35,7 +35,7 @@ from linkrec.storage import stored
 
 WORDS = 5
 PERCENT = 75
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 BLOCK_HASHES = 1_000_000  # n-grams that a task packs at a time
 REGION_HASHES = 1_000_000  # n-grams of a region, or of a block of it, in one task
 LEADERS = 32
