@@ -37,7 +37,7 @@ from linkrec.storage import fresh_path, stored
 MAGIC = b"LRTOKEN1"
 FOOTER = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -214,7 +214,7 @@ class LibraryEncoder(dict):
             if len(self.words) >= 2 * self.remembered:
                 self.words.clear()
             found = self.of_words.encode(word, add_special_tokens=False).ids
-            ids = self.words[word] = np.array(found, "<u4").tobytes()
+            ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
