@@ -4,7 +4,9 @@ import duckdb
 import pytest
 from check_oracles import TABLES, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from linkrec.plans.catalog import QUERIES
+from linkrec.plans.oracles import ORACLES
 
 DIR = "/root/testdata/sf0.001"
 NO_SQL = {"lr_scores", "tree_scores", "stacked_scores", "validation_report", "recommend_end_to_end"}
@@ -19,21 +21,21 @@ def db():
 
 
 def test_all_but_models_have_sql():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
-    df = queries()[name](spark, DIR)
-    rel = db.sql(oracle_sql()[name])
+    df = QUERIES[name](spark, DIR)
+    rel = db.sql(ORACLES[name])
     types = dict(zip(rel.columns, map(str, rel.types)))
     assert differences(df.toPandas(), rel.df(), dict(df.dtypes), types) == []
 
 
 @pytest.mark.parametrize("name", sorted(NO_SQL))
 def test_model_queries_run(spark, name):
-    assert queries()[name](spark, DIR).count() > 0
+    assert QUERIES[name](spark, DIR).count() > 0
 
 
 def test_entry(spark):
