@@ -40,6 +40,19 @@ BLOCK = 4096
 REMEMBERED = 300_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte; from U+00AE on, itself."""
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    letters = {}
+    for character in map(chr, range(0x540)):
+        written = cut.pre_tokenize_str(character)[0][0]
+        letters |= dict(zip(character.encode(), written, strict=True))
+    return letters
+
+
+BYTES = _byte_letters()
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """``ids`` in ``bits`` bits each, least significant bit first."""
     rows = -(-len(ids) // 8)
@@ -151,14 +164,10 @@ class LibraryEncoder(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.remembered, self.words, self.plain = remembered, {}, False
-        # For words that are cut and in lower case already, the rest of the same file.
-        self.of_words = tokenizers.Tokenizer.from_file(path)
+        # For words that are cut and in lower case already, only the merges of the same file.
         if self.pattern is not None:
-            self.of_words.normalizer = None
-            self.of_words.pre_tokenizer = pre_tokenizers.ByteLevel(
-                add_prefix_space=False, use_regex=False
-            )
-            self.of_words.model._resize_cache(0)  # words come here once
+            self.of_words = tokenizers.Tokenizer.from_file(path).model
+            self.of_words._resize_cache(0)  # words come here once
         for probe in ("a b", "the quick, b'́x", "e ́", "1 2"):
             whole = self._ids(probe)
             if whole != [n for part in probe.split(" ") for n in self._ids(part)]:
@@ -213,7 +222,10 @@ class LibraryEncoder(dict):
         if ids is None:
             if len(self.words) >= 2 * self.remembered:
                 self.words.clear()
-            found = self.of_words.encode(word, add_special_tokens=False).ids
+            raw = word
+            if not (word.isascii() and word.isprintable()):
+                raw = word.encode().decode("latin-1").translate(BYTES)
+            found = [token.id for token in self.of_words.tokenize(raw)]
             ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
