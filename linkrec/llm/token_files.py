@@ -16,6 +16,7 @@ numpy operations over whole blocks.
 from __future__ import annotations
 
 import json
+import string
 import struct
 import unicodedata
 import uuid
@@ -37,7 +38,7 @@ from linkrec.storage import fresh_path, stored
 MAGIC = b"LRTOKEN1"
 FOOTER = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-REMEMBERED = 300_000
+REMEMBERED = 1_300_000  # entries of about 120 bytes
 
 
 def _byte_letters() -> dict[int, str]:
@@ -163,11 +164,13 @@ class LibraryEncoder(dict):
         self.pattern = self._known_pattern(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.remembered, self.words, self.plain = remembered, {}, False
+        self.remembered, self.plain = remembered, False
         # For words that are cut and in lower case already, only the merges of the same file.
         if self.pattern is not None:
             self.of_words = tokenizers.Tokenizer.from_file(path).model
             self.of_words._resize_cache(0)  # words come here once
+            alphabet = string.ascii_lowercase * 2
+            self.whole_letters = self.pattern.findall(alphabet) == [alphabet]
         for probe in ("a b", "the quick, b'́x", "e ́", "1 2"):
             whole = self._ids(probe)
             if whole != [n for part in probe.split(" ") for n in self._ids(part)]:
@@ -196,16 +199,22 @@ class LibraryEncoder(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         """Ids of what stands between spaces: of its words, or of the whole."""
-        if len(self) >= self.remembered:
-            self.clear()
         text = chunk.decode()
         if self.plain:
-            ids = b"".join(map(self._word, self.pattern.findall(text.lower())))
+            text = text.lower()
+            one = self.whole_letters and text.isascii() and text.isalpha()
+            words = [text] if one else self.pattern.findall(text)
+            ids = b"".join(map(self._word, words))
         else:
             ids = np.array(self._ids(text), "<u4").tobytes()
+        self._remember(chunk, ids)
+        return ids
+
+    def _remember(self, chunk: bytes, ids: bytes) -> None:
+        if len(self) >= self.remembered:
+            self.clear()
         if len(chunk) < 64:
             self[chunk] = ids
-        return ids
 
     def _is_plain(self, raw: bytes, text: str) -> bool:
         """Whether this pattern and the library are sure to see every character alike."""
@@ -218,15 +227,16 @@ class LibraryEncoder(dict):
         )
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
+        """Ids of a word of the pattern, which as a chunk of its own has the same ones."""
+        raw = word.encode()
+        ids = self.get(raw)
         if ids is None:
-            if len(self.words) >= 2 * self.remembered:
-                self.words.clear()
-            raw = word
+            letters = word
             if not (word.isascii() and word.isprintable()):
-                raw = word.encode().decode("latin-1").translate(BYTES)
-            found = [token.id for token in self.of_words.tokenize(raw)]
-            ids = self.words[word] = struct.pack(f"<{len(found)}I", *found)
+                letters = raw.decode("latin-1").translate(BYTES)
+            found = [token.id for token in self.of_words.tokenize(letters)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            self._remember(raw, ids)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
