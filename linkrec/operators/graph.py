@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkrec.functions.relations import invert
@@ -11,8 +11,10 @@ from linkrec.operators.skew import count_rows, hot_keys, salted_join
 # Smallest friend list and smallest group that take part.
 MIN_FRIENDS = 2
 MIN_DEGREE = 2
-# About how many members one exported list holds.
+# Most members that one exported list holds.
 LIST_SIZE = 10_000
+# Ranges of ids that a list's worth of a long group is cut into to find places.
+RANGES_PER_LIST = 16
 
 
 def flatten(adjacency: DataFrame, duplicates: str = "merge") -> DataFrame:
@@ -106,15 +108,50 @@ def group_members(
     return with_degree(active, min_degree, n_edges, degrees)
 
 
+def _with_places(members: DataFrame, list_size: int) -> DataFrame:
+    """Add ``place``, the number of a member in its group by id.
+
+    A group is cut into ranges of ids: places are counted within a range, and only the
+    sizes of the ranges are summed up per group.
+    """
+    spans = members.groupBy("mid_id").agg(
+        F.min("member_id").alias("least"), F.max("member_id").alias("most")
+    )
+    hot = hot_keys(count_rows(members, "mid_id"), "mid_id")
+    spanned = salted_join(members, spans, ["mid_id"], hot, ["member_id"])
+    ranges = F.ceil(F.col("degree") / list_size) * RANGES_PER_LIST
+    width = (F.col("most") - F.col("least")) / ranges
+    number = F.floor((F.col("member_id") - F.col("least")) / F.greatest(width, F.lit(1.0)))
+    ranged = spanned.withColumn("range", number.cast("long")).drop("least", "most")
+    before = Window.partitionBy("mid_id").orderBy("range").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    sizes = ranged.groupBy("mid_id", "range").agg(F.count("*").alias("n"))
+    offsets = sizes.select(
+        "mid_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")
+    )
+    within = Window.partitionBy("mid_id", "range").orderBy("member_id", "mask")
+    return (
+        ranged.withColumn("own", F.row_number().over(within))
+        .join(offsets, ["mid_id", "range"])
+        .withColumn("place", F.col("own") + F.col("before"))
+        .drop("own", "before", "range")
+    )
+
+
 def group_lists(members: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
     """Groups as sorted lists, for export.
 
     A group of more than ``list_size`` members is written as several lists
-    (``chunk`` 0, 1, ...), so that no row or task holds an unbounded group.
+    (``chunk`` 0, 1, ...), so that no row holds an unbounded group.  The lists in the
+    order of their chunks are the sorted group.  All but the last are full.
     """
-    chunks = F.ceil(F.col("degree") / list_size)
-    chunk = F.pmod(F.xxhash64("member_id"), chunks).cast("int").alias("chunk")
-    return members.groupBy("mid_id", chunk, "degree").agg(
+    long = F.col("degree") > list_size
+    short = members.where(~long).withColumn("chunk", F.lit(0))
+    placed = _with_places(members.where(long), list_size)
+    chunk = F.floor((F.col("place") - 1) / list_size).cast("int")
+    cut = placed.withColumn("chunk", chunk).select(*short.columns)
+    return short.unionByName(cut).groupBy("mid_id", "chunk", "degree").agg(
         F.array_sort(F.collect_list(F.struct("member_id", "mask"))).alias("members")
     )
 

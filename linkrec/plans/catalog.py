@@ -213,16 +213,25 @@ def group_members(spark, sf_dir):
     return graph.group_members(fx.edges(spark, sf_dir))
 
 
-@query
-def reverse_groups(spark, sf_dir):
+def _groups_read_back(spark: SparkSession, lists: DataFrame) -> DataFrame:
     path = fresh_path(spark, "groups")
-    stores.write_groups(graph.group_lists(graph.group_members(fx.edges(spark, sf_dir))), path)
+    stores.write_groups(lists, path)
     shown = F.transform("members", lambda m: F.concat_ws(":", m["member_id"], m["mask"]))
     return stores.read_groups(spark, path).select(
         "mid_id", "chunk", "degree", F.concat_ws(" ", shown).alias("members")
     )
 
 
+@query
+def reverse_groups(spark, sf_dir):
+    return _groups_read_back(spark, graph.group_lists(_members(spark, sf_dir)))
+
+
+@query
+def reverse_groups_chunked(spark, sf_dir):
+    return _groups_read_back(spark, graph.group_lists(_members(spark, sf_dir), list_size=50))
+
+
 @query
 def groups_exploded(spark, sf_dir):
     lists = graph.group_lists(graph.group_members(fx.edges(spark, sf_dir)), list_size=50)

@@ -85,7 +85,7 @@ raw AS (
       | CASE WHEN (user_id // 40) % 7 = 3 THEN 1024 ELSE 0 END
       | (user_id + friend_id) % 2 AS INTEGER) AS raw_mask
   FROM (SELECT DISTINCT user_id, friend_id FROM listed)
-  WHERE user_id <> friend_id AND (user_id * 7 + friend_id * 3) % 5 < 3),
+  WHERE user_id <> friend_id),
 edges AS (
   SELECT user_id, friend_id, cast(raw_mask - raw_mask % 2 AS INTEGER) AS mask FROM raw)"""
 
@@ -137,16 +137,17 @@ KNOWN = "user1 % 11 <> 7 AND user2 % 11 <> 7"
 BOTH = """(SELECT user1 AS user_id, user2 AS friend_id, score FROM pairs
   UNION ALL SELECT user2, user1, score FROM pairs)"""
 
-PROFILES = """
-profiles AS (
+ALL_PROFILES = """
+all_profiles AS (
   SELECT c_custkey AS user_id, coalesce(epoch_ms(first_date), 0) AS create_ms,
     cast(trunc(c_acctbal) AS INTEGER) AS age_days, cast(c_custkey % 3 AS INTEGER) AS sex,
     cast(c_nationkey AS BIGINT) AS country, cast(n_regionkey AS BIGINT) AS location,
     c_custkey % 5 AS login_region
   FROM customer JOIN nation ON c_nationkey = n_nationkey
   LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_date FROM orders GROUP BY o_custkey)
-    ON c_custkey = o_custkey
-  WHERE c_custkey % 13 <> 5)"""
+    ON c_custkey = o_custkey)"""
+PROFILES = f"""{ALL_PROFILES},
+profiles AS (SELECT * FROM all_profiles WHERE user_id % 13 <> 5)"""
 
 _FIELDS = ["create_ms", "age_days", "sex", "country", "location", "login_region"]
 _BOTH_PROFILES = ", ".join(
@@ -256,7 +257,7 @@ ORACLES: dict[str, str] = {
         WHEN 2 THEN 'u' || c_custkey || chr(9) || '{(5,16)}'
         ELSE c_custkey || '' END AS value
       FROM customer WHERE c_custkey % 7 < 4""",
-    "profile_parse": _with(PROFILES, "SELECT * FROM profiles"),
+    "profile_parse": _with(ALL_PROFILES, "SELECT * FROM all_profiles"),
     "profile_rejects": """SELECT CASE c_custkey % 5
         WHEN 0 THEN chr(9) || c_custkey || chr(9) || '9'
         ELSE c_custkey || chr(9) || 'soon' || chr(9) || '9' END AS value
@@ -312,6 +313,14 @@ ORACLES: dict[str, str] = {
         string_agg(member_id || ':' || mask, ' ' ORDER BY member_id) AS members
         FROM members GROUP BY mid_id, degree""",
     ),
+    "reverse_groups_chunked": _with(
+        MEMBERS,
+        """SELECT mid_id, chunk, degree,
+        string_agg(member_id || ':' || mask, ' ' ORDER BY member_id) AS members
+        FROM (SELECT *, cast((row_number() OVER (PARTITION BY mid_id ORDER BY member_id) - 1)
+          // 50 AS INTEGER) AS chunk FROM members)
+        GROUP BY mid_id, chunk, degree""",
+    ),
     "groups_exploded": _with(MEMBERS, "SELECT * FROM members"),
     "wedges": _with(WEDGES, "SELECT bucket, count(*) AS n_wedges FROM wedge GROUP BY bucket"),
     "wedge_scores": _with(

@@ -38,7 +38,7 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.col("o_custkey").alias("user_id"), friend.alias("friend_id"))
-        .where("user_id <> friend_id and (user_id * 7 + friend_id * 3) % 5 < 3")
+        .where("user_id <> friend_id")
         .distinct()
     )
     mask = F.expr(
@@ -76,7 +76,13 @@ def adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of all customers but those with ``c_custkey % 13 = 5``."""
+    """Profiles for pairs of users: those with ``user_id % 13 = 5`` have none, so that
+    the defaults of a missing profile are met."""
+    return all_profiles(spark, sf_dir).where("user_id % 13 <> 5")
+
+
+def all_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of all customers."""
     first_order = (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("user_id"))
@@ -84,7 +90,6 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     people = (
         table(spark, sf_dir, "customer")
-        .where("c_custkey % 13 <> 5")
         .join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey"))
         .withColumnRenamed("c_custkey", "user_id")
     )
@@ -106,7 +111,7 @@ def profile_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         for c in ["create_ms", "age_days", "sex", "country", "location", "login_region"]
     ]
     line = F.concat_ws("\t", F.col("user_id").cast("string"), *fields)
-    return profiles(spark, sf_dir).select(F.rtrim(line, F.lit("\t")).alias("value"))
+    return all_profiles(spark, sf_dir).select(F.rtrim(line, F.lit("\t")).alias("value"))
 
 
 def profile_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

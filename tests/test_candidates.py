@@ -87,7 +87,7 @@ def test_hot_keys_are_salted_to_the_same_result(spark, monkeypatch):
 
 def test_hub_heads_are_few(spark):
     rows = random_members(5)
-    hubs = cand._bounded(as_table(spark, rows).where("degree > 15"), "flat")
+    hubs = cand._bounded(as_table(spark, rows).where("degree > 15"), "flat", len(rows))
     heads = cand._hub_heads(hubs, 2.0, hubs.count())
     assert 0 < heads.count() < hubs.count()
 
