@@ -225,7 +225,14 @@ def _wedges_of(keys: DataFrame, members: DataFrame) -> DataFrame:
     members = members.select("mid_id", "member_id", "mask", "degree")
     sizes = count_rows(members, "member_id", "n_groups")
     users = keys.select(F.explode(F.array("user1", "user2")).alias("user"))
-    hot = hot_keys(count_rows(users, "user"), "user", total=2 * keys.count())
+    # A pair of a user becomes a row for each of their groups, so that many rows are weighed.
+    work = (
+        count_rows(users, "user")
+        .join(sizes.withColumnRenamed("member_id", "user"), "user")
+        .selectExpr("user", "n_rows * n_groups AS n_rows")
+    )
+    total = work.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    hot = hot_keys(work, "user", total=total)
     for user in ("user1", "user2"):
         named = sizes.withColumnsRenamed({"member_id": user, "n_groups": f"n_{user}"})
         keys = salted_join(keys, named, [user], hot, ["user1", "user2"])
