@@ -101,8 +101,9 @@ def mix(
     ``place`` is the row's place in its source in hash order of the keys, ``slot`` that of
     its block in the schedule.  ``in_mix`` is true for slots before the first one at which
     a source has run out, so those rows have the target weights; the rest is the surplus
-    of sources that have more than their share.  Sorted by (slot, place) the rows are the
-    mix.
+    of sources that have more than their share.  It has slots as well: those of sources that
+    have run out stay empty and the others keep their weights among each other.  Sorted by
+    (slot, place) the rows are the mix, all of them or those with ``in_mix``.
 
     ``weights`` are positive whole numbers; without them, shares go with
     count ** ``alpha``.  Sources not named in ``weights`` are not scheduled: slot is null,

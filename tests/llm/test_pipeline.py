@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linkrec.llm import langid
+from linkrec.llm import langid, mixing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,6 +52,30 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, at):
     assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_mixing_keeps_every_row_in_the_order_of_the_schedule(spark):
+    sizes = {"hot": 900, "one": 1, None: 2, **{f"even{i}": 100 for i in range(9)}}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    rows = [(i, f"text {i}", s) for i, s in enumerate(names)]
+    rows += [rows[5], rows[-1]]  # repeated rows stay as well
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["mixing sources"](spark, docs, SMALL).collect()]
+    assert sorted(got) == sorted(rows)
+    # While all of the large sources have rows left, each is near its share of them.
+    counts = {s: names.count(s) + (s in ("hot", "even8")) for s in sizes if s not in ("one", None)}
+    total = sum(n**mixing.ALPHA for n in counts.values())
+    seen = dict.fromkeys(counts, 0)
+    for _, _, s in got:
+        if s not in seen:
+            continue
+        seen[s] += 1
+        at = sum(seen.values())
+        for own, n in counts.items():
+            assert abs(seen[own] - at * n**mixing.ALPHA / total) < 3 * mixing.BLOCK
+        if any(seen[own] == n for own, n in counts.items()):
+            break
+    assert at > 900
+
+
 def test_rejected_texts_go(spark):
     docs = spark.createDataFrame([(1, "123 !!!"), (2, None)], "doc_id long, text string")
     assert langid.drop_rejected(docs, {"en": b"the of and", "fr": b"le la les"}).count() == 0
