@@ -10,11 +10,13 @@ key.  Which passages are is worked out on the dictionary of the parse, not on th
    is the dictionary: each distinct phrase once, under its smallest document.
 2. Anchors.  In each dictionary passage the smallest rolling hash is its anchor.  Equal
    passages have equal anchors, so a passage whose anchor no other document has is
-   unique.  Shortened hashes meet in buckets to find this out.
+   unique.  Shortened hashes meet in buckets to find this out, and which anchors have so
+   many passages that one task should not hold them.
 3. Suffix order.  What is left of the dictionary goes to buckets by anchor, as runs of
    bytes with the same anchor.  A bucket sorts the suffixes that start in its runs by
    their first ``length`` bytes; equal ones stand together, and all but those of the
-   smallest document are repeats.
+   smallest document are repeats.  Passages of anchors with very many go one by one to
+   buckets by a hash of their own bytes, so that no bucket grows with an anchor.
 4. Each document drops the bytes that its repeats cover.
 
 Copies that meet in one task are settled there and only the smallest one is sent on, so
@@ -43,6 +45,7 @@ PHRASE = 256  # bytes of a phrase on average
 BLOCK_BYTES = 1 << 20  # text that a task looks at together
 BUCKET_BYTES = 8 << 20
 BUCKET_PASSAGES = 500_000
+SPLIT_BITS = 22  # leading bits of an anchor that tell whether its passages are split
 LAST = (1 << 63) - 1  # stands for a null key: larger than any other
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -163,14 +166,15 @@ def marked(block: Block, rows: list[dict], column: str) -> np.ndarray:
     return mask
 
 
-ANSWERS = "ks array<long>, runs array<binary>"
+ANSWERS = "ks array<long>, runs array<binary>, large binary"
 
 
-def _answers(found: list[list[tuple[int, bytes]]]) -> pa.Table:
+def _answers(found: list[list[tuple[int, bytes]]], large: bytes = b"") -> pa.Table:
     return pa.table(
         {
             "ks": pa.array([[k for k, _ in row] for row in found], pa.list_(pa.int64())),
             "runs": pa.array([[r for _, r in row] for row in found], pa.list_(pa.binary())),
+            "large": pa.array([large, *[b""] * (len(found) - 1)][: len(found)], pa.binary()),
         }
     )
 
@@ -273,33 +277,41 @@ def _anchor_questions(buckets: int, width: int, length: int):
             value = least[at]
             change = np.ones(len(at), bool)
             change[1:] = (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])
+            n = np.diff(np.append(np.flatnonzero(change), len(at)))
             k, short = block.k[piece[change]], packed.shorten(value[change], width)
             order = np.lexsort((k, short))
             k, short = k[order], short[order]
             new = np.ones(len(k), bool)
             new[1:] = (short[1:] != short[:-1]) | (k[1:] != k[:-1])
+            n = np.add.reduceat(n[order], np.flatnonzero(new))
             k, short = k[new], short[new]
             starts = packed.group_starts(short)
             sizes = np.diff(np.append(starts, len(short)))
+            total = np.add.reduceat(n, starts)
             several = np.repeat(sizes > 1, sizes)
             turn += 1
-            yield by_key(turn % buckets, k[several], short[several], b"known")
+            yield by_key(turn % buckets, k[several], short[several], n[several], b"known")
             first = short[starts[sizes > 1]]  # tells others of the anchor, asks nothing
+            total = total[sizes > 1]
             for b, x, z in packed.slices(first, cuts):
-                yield by_key(b, k[:0], first[x:z], b"asked")
-            k, short = k[~several], short[~several]
+                yield by_key(b, k[:0], first[x:z], total[x:z], b"asked")
+            k, short, n = k[~several], short[~several], n[~several]
             for b, x, z in packed.slices(short, cuts):
-                yield by_key(b, k[x:z], short[x:z], b"asked")
+                yield by_key(b, k[x:z], short[x:z], n[x:z], b"asked")
 
-    def by_key(bucket, k, short, body):
-        """A question with each document named once, before its hashes."""
+    def by_key(bucket, k, short, passages, body):
+        """A question with each document named once, before its hashes.
+
+        ``at`` has the passages of each hash in this block, as a power of two from above.
+        """
         if len(k):
             order = np.argsort(k, kind="stable")
-            k, short = k[order], short[order]
+            k, short, passages = k[order], short[order], passages[order]
         starts = packed.group_starts(k)
         return {
             "bucket": bucket,
             "k": k[starts].astype("<i8").tobytes(),
+            "at": np.ceil(np.log2(passages)).astype(np.uint8).tobytes(),
             "n": np.diff(np.append(starts, len(k))).astype("<u4").tobytes(),
             "h1": packed.to_bytes(short, width),
             "body": body,
@@ -308,11 +320,28 @@ def _anchor_questions(buckets: int, width: int, length: int):
     return rows
 
 
-def _anchor_answers(width: int):
+def _anchor_answers(width: int, most: int):
+    """Shared anchors of each document; ``large`` has those with over ``most`` passages."""
+
     def answers(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_pylist() for c in ("k", "n", "h1", "body")]
-        asked = b"".join(h for _, _, h, body in zip(*columns, strict=True) if body == b"asked")
-        shared = packed.run_totals(packed.from_bytes(asked, width)) > 1
+        asks = [body == b"asked" for body in columns[3]]
+        hashes = packed.from_bytes(
+            b"".join(h for h, a in zip(columns[2], asks, strict=True) if a), width
+        )
+        powers = b"".join(
+            p for p, a in zip(table.column("at").to_pylist(), asks, strict=True) if a
+        )
+        order = np.argsort(hashes, kind="stable")
+        starts = packed.group_starts(hashes[order])
+        sizes = np.diff(np.append(starts, len(order)))
+        shared = np.empty(len(order), bool)
+        shared[order] = np.repeat(sizes > 1, sizes)
+        large = b""
+        if len(order):
+            passages = np.int64(1) << np.frombuffer(powers, np.uint8)[order].astype(np.int64)
+            over = np.add.reduceat(passages, starts) > most
+            large = np.unique(_split_place(hashes[order][starts[over]], width)).tobytes()
         found, done = [], 0
         for k, n, raw, body in zip(*columns, strict=True):
             keys, short = np.frombuffer(k, "<i8"), packed.from_bytes(raw, width)
@@ -328,17 +357,37 @@ def _anchor_answers(width: int):
                     row.append((key, packed.to_bytes(own, width)))
                 at += size
             found.append(row)
-        return _answers(found)
+        return _answers(found, large)
 
     return answers
 
 
-def _passage_questions(buckets: int, width: int, length: int):
+def _split_place(short: np.ndarray, width: int) -> np.ndarray:
+    """Leading bits of shortened anchors."""
+    bits = 8 * width
+    if bits > SPLIT_BITS:
+        short = short >> np.uint64(bits - SPLIT_BITS)
+    return short.astype("<u4")
+
+
+def _split_places(told: DataFrame) -> bytes:
+    """A bit for each value of an anchor's leading bits: whether its passages are split.
+
+    Its size is fixed.  That anchors share a bit is no harm: all tasks see the same bits.
+    """
+    split = np.zeros(1 << SPLIT_BITS, bool)
+    for r in told.where(F.octet_length("large") > 0).select("large").toLocalIterator():
+        split[np.frombuffer(r["large"], "<u4")] = True
+    return np.packbits(split).tobytes()
+
+
+def _passage_questions(buckets: int, width: int, length: int, places: bytes):
     cuts = packed.edges(buckets)
     longest = 4096  # of a run, for texts that repeat one anchor
 
     def rows(docs):
         turn = TaskContext.get().partitionId()
+        split = np.unpackbits(np.frombuffer(places, np.uint8)).astype(bool)
         for block, given in blocks(docs, length):
             least = block.least()
             own = block.valid & ~marked(block, given, "repeats")
@@ -356,9 +405,11 @@ def _passage_questions(buckets: int, width: int, length: int):
             new[1:] = (at[1:] != at[:-1] + 1) | (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])
             run_at = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
             new |= (np.arange(len(at)) - run_at) % longest == 0
+            alone = split[_split_place(short[at], width)]
+            new |= alone
             starts = np.flatnonzero(new)
             n = np.diff(np.append(starts, len(at)))
-            at, piece, value = at[starts], piece[starts], value[starts]
+            at, piece, value, alone = at[starts], piece[starts], value[starts], alone[starts]
             view = memoryview(block.raw)
             bodies = [
                 view[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)
@@ -369,6 +420,7 @@ def _passage_questions(buckets: int, width: int, length: int):
             known = doc > first
             turn += 1
             yield _ask(turn % buckets, k[known], doc[known], place[known], n[known])
+            value = np.where(alone, h[:, 0], value)
             order = np.argsort(value, kind="stable")
             order = order[~known[order]]
             for b, x, z in packed.slices(value[order], cuts):
@@ -425,9 +477,13 @@ def _passage_answers(length: int):
     return answers
 
 
-def _met(questions: DataFrame, answers, name: str) -> DataFrame:
+def _told(questions: DataFrame, answers, name: str) -> DataFrame:
+    """What each bucket answers."""
+    return stored(questions.groupBy("bucket").applyInArrow(answers, ANSWERS), name)
+
+
+def _by_document(told: DataFrame) -> DataFrame:
     """(k, parts): the runs of each document that its buckets answered with."""
-    told = stored(questions.groupBy("bucket").applyInArrow(answers, ANSWERS), name)
     rows = told.select(F.explode(F.arrays_zip("ks", "runs")).alias("x")).select("x.*")
     return rows.groupBy(F.col("ks").alias("k")).agg(F.collect_list("runs").alias("parts"))
 
@@ -477,23 +533,22 @@ def drop_repeats(
     asked = arrow_map(
         table.select("k", "doc", "text"), _phrase_questions(phrase_buckets, length), ASK, 64
     )
-    repeats = _met(asked, _phrase_answers, "phrases").withColumnRenamed("parts", "repeats")
+    told = _told(asked, _phrase_answers, "phrases")
+    repeats = _by_document(told).withColumnRenamed("parts", "repeats")
     repeats = stored(repeats, "repeats")
 
     own = table.select("k", "doc", "text").join(repeats.hint("shuffle_hash"), "k", "left")
     anchor_buckets = packed.n_buckets(size / 8 * width, bucket_bytes)
     asked = arrow_map(own, _anchor_questions(anchor_buckets, width, length), ASK, 64)
-    anchors = stored(
-        _met(asked, _anchor_answers(width), "anchors").withColumnRenamed("parts", "anchors"),
-        "anchors_of",
-    )
+    told = _told(asked, _anchor_answers(width, max(1, bucket_passages // 4)), "anchors")
+    anchors = stored(_by_document(told).withColumnRenamed("parts", "anchors"), "anchors_of")
+    places = _split_places(told)
 
     some = own.join(anchors.hint("shuffle_hash"), "k")
     passage_buckets = max(1, -(-size // (4 * bucket_passages)))
-    asked = arrow_map(some, _passage_questions(passage_buckets, width, length), ASK, 64)
-    passages = _met(asked, _passage_answers(length), "passages").withColumnRenamed(
-        "parts", "passages"
-    )
+    questions = _passage_questions(passage_buckets, width, length, places)
+    told = _told(arrow_map(some, questions, ASK, 64), _passage_answers(length), "passages")
+    passages = _by_document(told).withColumnRenamed("parts", "passages")
 
     def cut(docs):
         for d in docs:

@@ -253,6 +253,33 @@ def test_repeats_in_pieces_and_many_buckets(given):
     assert have == repeats_reference(texts_of(given))
 
 
+def test_a_notice_in_all_documents_fills_no_bucket(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    some = lambda: "".join(map(chr, rng.integers(97, 123, 60)))
+    notice = "ALL RIGHTS RESERVED BY THE OWNERS (2020)"
+    pairs = [(i, some() + notice + some()) for i in range(400)]
+    pairs += [(1_000 + i, some() + pairs[i][1][50:110]) for i in range(40)]
+    table = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    asked, arrow_map = [], pfp.arrow_map
+
+    def noted(df, rows, schema, batch):
+        out = arrow_map(df, rows, schema, batch)
+        if schema == pfp.ASK:
+            asked.append(out)
+        return out
+
+    monkeypatch.setattr(pfp, "arrow_map", noted)
+    got = pfp.drop_repeats(table, bucket_passages=400).collect()
+    have = collections.Counter(
+        (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got
+    )
+    assert have == repeats_reference(pairs) and sum(r.n_removed > 0 for r in got) == 40
+    passages = collections.Counter()
+    for r in asked[-1].where("length(h1) > 0").collect():
+        passages[r.bucket] += int(np.frombuffer(r.n, "<u4").sum())
+    assert sum(passages.values()) > 4_000 and max(passages.values()) < 1_000
+
+
 def test_language(given, docs, empty):
     held = common.held_out(F.col("doc_id"), 4, 2)
     learned = langid.fit_dictionaries(given.where(~held))
