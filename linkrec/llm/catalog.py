@@ -18,8 +18,11 @@ from linkrec.llm import (
     licenses,
     mixing,
     pfp,
+    rank_bpe,
+    resample,
     token_files,
     topk,
+    whitening,
 )
 
 
@@ -99,6 +102,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(table).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    pattern = import_module("public_tokenizers").PATTERN
+    encoded = rank_bpe.encode(documents(spark, sf_dir), path, pattern, decoded=True)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = resample.importance_resample(documents(spark, sf_dir), target)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -112,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard,
         op9_mixing,
         op10_licenses,
+        op11_whitening,
+        op12_rank_bpe,
+        op13_resample,
     )
 }
 
@@ -145,4 +175,63 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g
 """
 
-ORACLES = {"op3_exact_dedup": _EXACT, "op5_topk": _TOP}
+_RESAMPLE = r"""
+WITH table_of AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+), word_lists AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text
+  FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+), w AS (
+  SELECT side, row, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM word_lists
+), f AS (
+  SELECT side, row, f, count(*) AS n FROM (
+    SELECT side, row, unnest(
+      ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f
+    FROM w)
+  GROUP BY ALL
+), crc AS (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(range(1, length(h), 2), lambda i:
+      16 * instr('0123456789ABCDEF', substr(h, i, 1)) - 17
+        + instr('0123456789ABCDEF', substr(h, i + 1, 1)))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)), table_of
+), by_bucket AS (
+  SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t
+  FROM f JOIN crc USING (f) GROUP BY bucket
+), totals AS (
+  SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM by_bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(
+    ((coalesce(t, 0) + 1) * (s_all + 10000))::double
+      / ((coalesce(s, 0) + 1) * (t_all + 10000))::double
+  ))::bigint AS gain
+  FROM by_bucket, totals
+), sums AS (
+  SELECT row, sum(n)::bigint AS n_features, floor(sum(n * gain) / sum(n)::double)::bigint AS weight
+  FROM f JOIN crc USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row
+), scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((list_reduce(
+      list_prepend(0, list_transform(range(1, 9), lambda i: instr('0123456789abcdef',
+        substr(sha256('7:' || coalesce(doc_id::varchar, '')), i, 1)) - 1)),
+      lambda a, x: 16 * a + x) + 0.5)::double / 4294967296)))::bigint AS score
+  FROM w LEFT JOIN sums USING (row) WHERE side = 'd'
+), ranked AS (
+  SELECT *, count(*) FILTER (n_words >= 20) OVER () AS n, row_number() OVER (
+    PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_words >= 20 AND r <= 25 * n // 100 THEN r END AS rank
+FROM ranked
+"""
+
+ORACLES = {"op3_exact_dedup": _EXACT, "op5_topk": _TOP, "op13_resample": _RESAMPLE}
