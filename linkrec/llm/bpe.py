@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
+from struct import pack
 
 import numpy as np
 import regex
@@ -27,9 +28,10 @@ from linkrec.llm.common import arrow_map, named, texts
 
 # Fixed value: how byte-level tokenizers of this family cut text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Pieces remembered per task; the table is emptied when it is full.
-REMEMBERED = 120_000
-PAIRS = 100_000  # pairs of tokens whose compatibility is remembered
+# Pieces remembered per worker, in two generations: when the newer one is full it becomes
+# the older one, and what is not asked for again in the meantime goes with the next turn.
+REMEMBERED = 400_000
+PAIRS = 200_000  # pairs of tokens whose compatibility is remembered
 NEVER = 1 << 60
 
 
@@ -134,14 +136,18 @@ class Encoder(dict):
         if self.special:
             longest = sorted(self.special, key=len, reverse=True)
             self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")")
-        self.remembered, self.pairs = remembered, {}
+        self.generation, self.older, self.pairs = remembered // 2, {}, {}
         self.library = tokenizers.Tokenizer.from_file(path).pre_tokenizer
         self.same_class: dict[str, bool] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.remembered:
+        if len(self) >= self.generation:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.piece_ids(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            numbers = self.piece_ids(piece.encode())
+            ids = pack(f"<{len(numbers)}I", *numbers)
         if len(piece) < 256:
             self[piece] = ids
         return ids
