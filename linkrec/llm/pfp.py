@@ -48,6 +48,13 @@ BUCKET_PASSAGES = 500_000
 SPLIT_BITS = 22  # leading bits of an anchor that tell whether its passages are split
 LAST = (1 << 63) - 1  # stands for a null key: larger than any other
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+WINDOWS = 1 << 16  # passages that are laid out side by side
+SORTED = 200_000  # passages that are put in order together
+# Odd numbers without any structure, two for each half of a hash.
+MULTIPLIERS = (
+    (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9),
+    (0xD6E8FEB86659FD93, 0x94D049BB133111EB),
+)
 
 
 def rolling(buffer: np.ndarray) -> np.ndarray:
@@ -145,7 +152,12 @@ def runs_by_key(k: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[tuple[int,
     """(k, runs) with runs of passages as pairs (offset, number), packed."""
     out = []
     order = np.lexsort((at, k))
-    k, at, n = k[order], at[order], n[order]
+    k, at, n = k[order], at[order].astype(np.int64), n[order].astype(np.int64)
+    if len(k):  # neighbours become one run
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1] + n[:-1])
+        first = np.flatnonzero(new)
+        k, at, n = k[first], at[first], np.add.reduceat(n, first)
     starts = [*packed.group_starts(k).tolist(), len(k)]
     both = np.stack([at, n], 1).astype("<u4")
     for a, z in zip(starts[:-1], starts[1:], strict=True):
@@ -166,15 +178,18 @@ def marked(block: Block, rows: list[dict], column: str) -> np.ndarray:
     return mask
 
 
-ANSWERS = "ks array<long>, runs array<binary>, large binary"
+ANSWERS = "ks array<long>, runs array<binary>, large binary, open long"
 
 
-def _answers(found: list[list[tuple[int, bytes]]], large: bytes = b"") -> pa.Table:
+def _answers(
+    found: list[list[tuple[int, bytes]]], large: bytes = b"", passages: int = 0
+) -> pa.Table:
     return pa.table(
         {
             "ks": pa.array([[k for k, _ in row] for row in found], pa.list_(pa.int64())),
             "runs": pa.array([[r for _, r in row] for row in found], pa.list_(pa.binary())),
             "large": pa.array([large, *[b""] * (len(found) - 1)][: len(found)], pa.binary()),
+            "open": pa.array([passages, *[0] * (len(found) - 1)][: len(found)], pa.int64()),
         }
     )
 
@@ -321,7 +336,11 @@ def _anchor_questions(buckets: int, width: int, length: int):
 
 
 def _anchor_answers(width: int, most: int):
-    """Shared anchors of each document; ``large`` has those with over ``most`` passages."""
+    """Shared anchors of each document; ``large`` has those with over ``most`` passages.
+
+    ``open`` is about how many passages have a shared anchor; those of large ones, which
+    travel one by one, count four times.
+    """
 
     def answers(table: pa.Table) -> pa.Table:
         columns = [table.column(c).to_pylist() for c in ("k", "n", "h1", "body")]
@@ -337,12 +356,17 @@ def _anchor_answers(width: int, most: int):
         sizes = np.diff(np.append(starts, len(order)))
         shared = np.empty(len(order), bool)
         shared[order] = np.repeat(sizes > 1, sizes)
-        large = b""
+        large, open_ = b"", 0
         if len(order):
             passages = np.int64(1) << np.frombuffer(powers, np.uint8)[order].astype(np.int64)
-            over = np.add.reduceat(passages, starts) > most
+            each = np.add.reduceat(passages, starts)
+            over = each > most
             large = np.unique(_split_place(hashes[order][starts[over]], width)).tobytes()
+            # Anchors that several documents of a block have are asked for with their sum.
+            open_ = int(each[(sizes > 1) & ~over].sum() + 4 * each[over].sum())
         found, done = [], 0
+        known = [p for p, a in zip(table.column("at").to_pylist(), asks, strict=True) if not a]
+        alone = (np.int64(1) << np.frombuffer(b"".join(known), np.uint8).astype(np.int64)).sum()
         for k, n, raw, body in zip(*columns, strict=True):
             keys, short = np.frombuffer(k, "<i8"), packed.from_bytes(raw, width)
             told = np.ones(len(short), bool)
@@ -357,7 +381,7 @@ def _anchor_answers(width: int, most: int):
                     row.append((key, packed.to_bytes(own, width)))
                 at += size
             found.append(row)
-        return _answers(found, large)
+        return _answers(found, large, max(open_, int(alone)))
 
     return answers
 
@@ -410,11 +434,17 @@ def _passage_questions(buckets: int, width: int, length: int, places: bytes):
             starts = np.flatnonzero(new)
             n = np.diff(np.append(starts, len(at)))
             at, piece, value, alone = at[starts], piece[starts], value[starts], alone[starts]
-            view = memoryview(block.raw)
-            bodies = [
-                view[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)
-            ]
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, bodies)), "<u8").reshape(-1, 2)
+            h = np.empty((len(at), 2), np.uint64)
+            h[alone] = window_hashes(block.buffer, at[alone], length)
+            view, runs = memoryview(block.raw), ~alone
+            ends = (at[runs] + n[runs] + length - 1).tolist()
+            h[runs] = np.frombuffer(
+                b"".join(
+                    xxhash.xxh3_128_digest(view[a:z])
+                    for a, z in zip(at[runs].tolist(), ends, strict=True)
+                ),
+                "<u8",
+            ).reshape(-1, 2)
             k, doc, place = block.k[piece], block.doc[piece], block.place(at, piece)
             first, _ = _first_documents(h[:, 0], h[:, 1], doc)
             known = doc > first
@@ -425,12 +455,39 @@ def _passage_questions(buckets: int, width: int, length: int, places: bytes):
             order = order[~known[order]]
             for b, x, z in packed.slices(value[order], cuts):
                 ask = order[x:z]
-                body = b"".join(bodies[i] for i in ask.tolist())
+                body = block.buffer[_spread(at[ask], n[ask] + length - 1)].tobytes()
                 yield _ask(b, k[ask], doc[ask], place[ask], n[ask], b"asked", b"", body)
 
     return rows
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for sizes[i] places, one i after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+
+
+def window_hashes(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """128 bits of each passage of ``length`` bytes that starts ``at``, as two columns."""
+    width = -(-length // 8) * 8
+    windows = np.lib.stride_tricks.sliding_window_view(buffer, length)
+    out = np.empty((len(at), 2), np.uint64)
+    for a in range(0, len(at), WINDOWS):
+        part = at[a : a + WINDOWS]
+        rows = np.zeros((len(part), width), np.uint8)
+        rows[:, :length] = windows[part]
+        words = rows.view("<u8")
+        for side, (one, two) in enumerate(MULTIPLIERS):
+            h = np.full(len(part), one, np.uint64)
+            for j in range(width // 8):
+                h = (h ^ words[:, j]) * np.uint64(one)
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(two)
+                h ^= h >> np.uint64(29)
+            out[a : a + WINDOWS, side] = h
+    return out
+
+
 def suffix_order(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes starting ``at`` in the order of their first bytes, and where new ones begin."""
     width = -(-length // 8) * 8
@@ -462,13 +519,22 @@ def _passage_answers(length: int):
             size = n + length - 1
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             suffix = np.repeat(np.cumsum(size) - size, n) + inside
-            order, starts = suffix_order(body, suffix, length)
             whose = np.repeat(doc, n)
-            least = np.minimum.reduceat(whose[order], starts)
             repeat = np.zeros(len(suffix), bool)
-            repeat[order] = whose[order] > np.repeat(
-                least, np.diff(np.append(starts, len(suffix)))
-            )
+            # Equal passages have equal hashes, so a large bucket is put in order in parts.
+            turns = -(-len(suffix) // SORTED)
+            turn = np.zeros(len(suffix), np.uint64)
+            if turns > 1:
+                turn = window_hashes(body, suffix, length)[:, 0] % np.uint64(turns)
+            for t in range(turns):
+                own = np.flatnonzero(turn == np.uint64(t))
+                if not len(own):
+                    continue
+                order, starts = suffix_order(body, suffix[own], length)
+                order = own[order]
+                least = np.minimum.reduceat(whose[order], starts)
+                sizes = np.diff(np.append(starts, len(order)))
+                repeat[order] = whose[order] > np.repeat(least, sizes)
             keys, places = np.repeat(k, n)[repeat], (np.repeat(at, n) + inside)[repeat]
             parts.append((keys, places, np.ones(len(keys), np.int64)))
         k, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -545,7 +611,8 @@ def drop_repeats(
     places = _split_places(told)
 
     some = own.join(anchors.hint("shuffle_hash"), "k")
-    passage_buckets = max(1, -(-size // (4 * bucket_passages)))
+    n_open = told.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]
+    passage_buckets = max(1, -(-n_open // bucket_passages))
     questions = _passage_questions(passage_buckets, width, length, places)
     told = _told(arrow_map(some, questions, ASK, 64), _passage_answers(length), "passages")
     passages = _by_document(told).withColumnRenamed("parts", "passages")

@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -235,7 +236,7 @@ def repeats_reference(pairs, length=50):
     return out
 
 
-def test_repeats(given, docs, empty, monkeypatch):
+def test_repeats(given, docs, empty):
     for df in (given, docs):
         got = pfp.drop_repeats(df).collect()
         have = collections.Counter(
@@ -253,6 +254,55 @@ def test_repeats_in_pieces_and_many_buckets(given):
     assert have == repeats_reference(texts_of(given))
 
 
+def test_repeats_in_a_text_of_several_blocks(spark):
+    rng = np.random.default_rng(5)
+    some = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    long = some(pfp.BLOCK_BYTES + 90_000)
+    at = pfp.BLOCK_BYTES
+    pairs = [
+        (5, long),
+        (-4, "x" + long[at - 70 : at + 80] + "y"),  # over the border of two blocks
+        (7, some(200) + long[at - 20 : at + 29] + "z" + long[at - 60 : at - 10]),  # 49 and 50
+        (None, long[9_000:9_060] + some(100)),
+        (9, long[: at + 10] + "é" + long[at + 50_000 : at + 50_300]),
+    ]
+    table = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = pfp.drop_repeats(table, bucket_passages=20_000).collect()
+    have = collections.Counter(
+        (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got
+    )
+    assert have == repeats_reference(pairs)
+
+
+def test_answers_of_a_bucket_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    bodies = [bytes(rng.integers(97, 99, 70).astype(np.uint8)) for _ in range(30)]
+    bodies += [bodies[i % 5] for i in range(30)]
+    asks = [
+        pfp._ask(
+            0, *(np.array([x]) for x in (i, i % 7, 10 * i, 21)), b"asked", b"", b
+        )
+        for i, b in enumerate(bodies)
+    ]
+    table = pa.Table.from_pylist(asks)
+    whole = pfp._passage_answers(50)(table).to_pylist()
+    monkeypatch.setattr(pfp, "SORTED", 100)
+    monkeypatch.setattr(pfp, "WINDOWS", 64)
+    assert pfp._passage_answers(50)(table).to_pylist() == whole
+    # Neighbouring passages are one run.
+    runs = [np.frombuffer(r, "<u4").reshape(-1, 2).tolist() for r in whole[0]["runs"]]
+    assert [[10 * 30, 21]] in runs
+
+
+def test_window_hashes_agree_with_the_windows():
+    raw = np.frombuffer(b"abcabcabcabd" * 20, np.uint8)
+    at = np.arange(len(raw) - 50)
+    told = collections.defaultdict(set)
+    for a, h in zip(at.tolist(), pfp.window_hashes(raw, at, 50).tolist(), strict=True):
+        told[raw[a : a + 50].tobytes()].add(tuple(h))
+    assert all(len(h) == 1 for h in told.values()) and len(told) == 12
+
+
 def test_a_notice_in_all_documents_fills_no_bucket(spark, monkeypatch):
     rng = np.random.default_rng(3)
     some = lambda: "".join(map(chr, rng.integers(97, 123, 60)))
