@@ -44,7 +44,9 @@ ANCHOR = 32  # bytes under the rolling hash; a power of two
 PHRASE = 256  # bytes of a phrase on average
 BLOCK_BYTES = 1 << 20  # text that a task looks at together
 BUCKET_BYTES = 8 << 20
-BUCKET_PASSAGES = 500_000
+BUCKET_PASSAGES = 300_000
+GROUP_BYTES = 32 << 20  # text of the documents whose answers are put together in one task
+RUN = 8  # bytes of a run of passages: offset and number
 SPLIT_BITS = 22  # leading bits of an anchor that tell whether its passages are split
 LAST = (1 << 63) - 1  # stands for a null key: larger than any other
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -148,21 +150,18 @@ def blocks(docs: Iterator[dict], length: int) -> Iterator[tuple[Block, list[dict
         yield Block(held, length), rows
 
 
-def runs_by_key(k: np.ndarray, at: np.ndarray, n: np.ndarray) -> list[tuple[int, bytes]]:
-    """(k, runs) with runs of passages as pairs (offset, number), packed."""
-    out = []
+def runs_by_key(k: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys in order, runs per key, and runs as pairs (offset, number); neighbours are one run."""
     order = np.lexsort((at, k))
     k, at, n = k[order], at[order].astype(np.int64), n[order].astype(np.int64)
-    if len(k):  # neighbours become one run
+    if len(k):
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (at[1:] != at[:-1] + n[:-1])
         first = np.flatnonzero(new)
         k, at, n = k[first], at[first], np.add.reduceat(n, first)
-    starts = [*packed.group_starts(k).tolist(), len(k)]
-    both = np.stack([at, n], 1).astype("<u4")
-    for a, z in zip(starts[:-1], starts[1:], strict=True):
-        out.append((int(k[a]), both[a:z].tobytes()))
-    return out
+    starts = packed.group_starts(k)
+    sizes = np.diff(np.append(starts, len(k)))
+    return k[starts], sizes, np.stack([at, n], 1).astype("<u4").view(np.uint8).reshape(-1, RUN)
 
 
 def marked(block: Block, rows: list[dict], column: str) -> np.ndarray:
@@ -178,20 +177,68 @@ def marked(block: Block, rows: list[dict], column: str) -> np.ndarray:
     return mask
 
 
-ANSWERS = "ks array<long>, runs array<binary>, large binary, open long"
+ANSWERS = "part int, ks binary, sizes binary, units binary, large binary, open long"
 
 
 def _answers(
-    found: list[list[tuple[int, bytes]]], large: bytes = b"", passages: int = 0
+    k: np.ndarray,
+    sizes: np.ndarray,
+    units: np.ndarray,
+    groups: int,
+    large: bytes = b"",
+    passages: int = 0,
 ) -> pa.Table:
-    return pa.table(
-        {
-            "ks": pa.array([[k for k, _ in row] for row in found], pa.list_(pa.int64())),
-            "runs": pa.array([[r for _, r in row] for row in found], pa.list_(pa.binary())),
-            "large": pa.array([large, *[b""] * (len(found) - 1)][: len(found)], pa.binary()),
-            "open": pa.array([passages, *[0] * (len(found) - 1)][: len(found)], pa.int64()),
-        }
-    )
+    """What a bucket answers, as a row per group of documents.
+
+    Key i gets the next ``sizes[i]`` rows of ``units``.
+    """
+    group = k.astype(np.int64).view(np.uint64) % np.uint64(groups)
+    order = np.argsort(group, kind="stable")
+    starts, cuts = np.cumsum(sizes) - sizes, packed.group_starts(group[order])
+    rows = []
+    ends = np.append(cuts[1:], len(k))[: len(cuts)]
+    for a, z in zip(cuts, ends, strict=True):
+        own = order[a:z]
+        rows.append(
+            {
+                "part": int(group[own[0]]),
+                "ks": k[own].astype("<i8").tobytes(),
+                "sizes": sizes[own].astype("<u4").tobytes(),
+                "units": units[_spread(starts[own], sizes[own])].tobytes(),
+            }
+        )
+    first = {"large": large, "open": passages}
+    rows = [r | {"large": b"", "open": 0} for r in rows]
+    rows = [rows[0] | first, *rows[1:]] if rows else [{"part": 0} | first]
+    names = ["part", "ks", "sizes", "units", "large", "open"]
+    kinds = [pa.int32(), *[pa.binary()] * 4, pa.int64()]
+    columns = zip(names, kinds, strict=True)
+    return pa.table([pa.array([r.get(c) for r in rows], t) for c, t in columns], names)
+
+
+def _merged(unit: int):
+    """One row per document, of all that the buckets answered for a group of documents."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        join = lambda c: b"".join(x for x in table.column(c).to_pylist() if x)
+        k, sizes = np.frombuffer(join("ks"), "<i8"), np.frombuffer(join("sizes"), "<u4")
+        units = np.frombuffer(join("units"), np.uint8).reshape(-1, unit)
+        order = np.argsort(k, kind="stable")
+        sizes = sizes.astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        raw = units[_spread(starts[order], sizes[order])].tobytes()
+        first = packed.group_starts(k[order])
+        ends = unit * np.cumsum(np.add.reduceat(sizes[order], first)) if len(k) else first
+        offsets = pa.array(np.append(0, ends).astype("i4"))
+        parts = pa.Array.from_buffers(
+            pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(raw)]
+        )
+        one = pa.array(np.arange(len(first) + 1, dtype="i4"))
+        return pa.table(
+            [pa.array(k[order][first]), pa.ListArray.from_arrays(one, parts)], ["k", "parts"]
+        )
+
+    return merge
 
 
 def _raw(table: pa.Table, column: str) -> bytes:
@@ -263,17 +310,19 @@ def _phrase_questions(buckets: int, length: int):
     return rows
 
 
-def _phrase_answers(table: pa.Table) -> pa.Table:
-    raw = table.column("h1").to_pylist()
-    asked = np.concatenate(
-        [np.full(len(x) // 4, bool(h)) for x, h in zip(table.column("at").to_pylist(), raw, strict=True)]
-    )
-    k, doc = _ints(table, "k", "<i8"), _ints(table, "doc", "<i8")
-    at, n = _ints(table, "at", "<u4"), _ints(table, "n", "<u4")
-    repeat = ~asked
-    least, _ = _first_documents(_ints(table, "h1", "<u8"), _ints(table, "h2", "<u8"), doc[asked])
-    repeat[asked] = doc[asked] > least
-    return _answers([runs_by_key(k[repeat], at[repeat], n[repeat])])
+def _phrase_answers(groups: int):
+    def answers(table: pa.Table) -> pa.Table:
+        raw = zip(table.column("at").to_pylist(), table.column("h1").to_pylist(), strict=True)
+        asked = np.concatenate([np.full(len(x) // 4, bool(h)) for x, h in raw])
+        k, doc = _ints(table, "k", "<i8"), _ints(table, "doc", "<i8")
+        at, n = _ints(table, "at", "<u4"), _ints(table, "n", "<u4")
+        repeat = ~asked
+        h1, h2 = _ints(table, "h1", "<u8"), _ints(table, "h2", "<u8")
+        least, _ = _first_documents(h1, h2, doc[asked])
+        repeat[asked] = doc[asked] > least
+        return _answers(*runs_by_key(k[repeat], at[repeat], n[repeat]), groups)
+
+    return answers
 
 
 def _anchor_questions(buckets: int, width: int, length: int):
@@ -335,7 +384,7 @@ def _anchor_questions(buckets: int, width: int, length: int):
     return rows
 
 
-def _anchor_answers(width: int, most: int):
+def _anchor_answers(width: int, most: int, groups: int):
     """Shared anchors of each document; ``large`` has those with over ``most`` passages.
 
     ``open`` is about how many passages have a shared anchor; those of large ones, which
@@ -364,24 +413,26 @@ def _anchor_answers(width: int, most: int):
             large = np.unique(_split_place(hashes[order][starts[over]], width)).tobytes()
             # Anchors that several documents of a block have are asked for with their sum.
             open_ = int(each[(sizes > 1) & ~over].sum() + 4 * each[over].sum())
-        found, done = [], 0
         known = [p for p, a in zip(table.column("at").to_pylist(), asks, strict=True) if not a]
         alone = (np.int64(1) << np.frombuffer(b"".join(known), np.uint8).astype(np.int64)).sum()
+        keys, told, done = [], [], 0
         for k, n, raw, body in zip(*columns, strict=True):
-            keys, short = np.frombuffer(k, "<i8"), packed.from_bytes(raw, width)
-            told = np.ones(len(short), bool)
+            keys.append(np.repeat(np.frombuffer(k, "<i8"), np.frombuffer(n, "<u4")))
             if body == b"asked":
-                told = shared[done : done + len(short)]
-                done += len(short)
-            at = 0
-            row = []
-            for key, size in zip(keys.tolist(), np.frombuffer(n, "<u4").tolist(), strict=True):
-                own = short[at : at + size][told[at : at + size]]
-                if len(own):
-                    row.append((key, packed.to_bytes(own, width)))
-                at += size
-            found.append(row)
-        return _answers(found, large, max(open_, int(alone)))
+                size = len(keys[-1]) if len(k) else len(raw) // width
+                told.append(shared[done : done + size] if len(k) else np.zeros(0, bool))
+                done += size
+            else:
+                told.append(np.ones(len(keys[-1]), bool))
+        own = [raw for k, raw in zip(columns[0], columns[2], strict=True) if len(k)]
+        told, keys = np.concatenate(told), np.concatenate(keys)
+        units = np.frombuffer(b"".join(own), np.uint8).reshape(-1, width)[told]
+        keys = keys[told]
+        order = np.argsort(keys, kind="stable")
+        starts = packed.group_starts(keys[order])
+        sizes = np.diff(np.append(starts, len(keys)))
+        passages = max(open_, int(alone))
+        return _answers(keys[order][starts], sizes, units[order], groups, large, passages)
 
     return answers
 
@@ -464,7 +515,7 @@ def _passage_questions(buckets: int, width: int, length: int, places: bytes):
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... for sizes[i] places, one i after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def window_hashes(buffer: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -501,7 +552,7 @@ def suffix_order(body: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     return order, np.flatnonzero(new)
 
 
-def _passage_answers(length: int):
+def _passage_answers(length: int, groups: int):
     def answers(table: pa.Table) -> pa.Table:
         asked = np.concatenate(
             [
@@ -538,7 +589,7 @@ def _passage_answers(length: int):
             keys, places = np.repeat(k, n)[repeat], (np.repeat(at, n) + inside)[repeat]
             parts.append((keys, places, np.ones(len(keys), np.int64)))
         k, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return _answers([runs_by_key(k, at, n)])
+        return _answers(*runs_by_key(k, at, n), groups)
 
     return answers
 
@@ -548,10 +599,10 @@ def _told(questions: DataFrame, answers, name: str) -> DataFrame:
     return stored(questions.groupBy("bucket").applyInArrow(answers, ANSWERS), name)
 
 
-def _by_document(told: DataFrame) -> DataFrame:
-    """(k, parts): the runs of each document that its buckets answered with."""
-    rows = told.select(F.explode(F.arrays_zip("ks", "runs")).alias("x")).select("x.*")
-    return rows.groupBy(F.col("ks").alias("k")).agg(F.collect_list("runs").alias("parts"))
+def _by_document(told: DataFrame, unit: int) -> DataFrame:
+    """(k, parts): what the buckets answered for each document."""
+    rows = told.where("ks is not null").select("part", "ks", "sizes", "units")
+    return rows.groupBy("part").applyInArrow(_merged(unit), "k long, parts array<binary>")
 
 
 def dealt_table(given: DataFrame, buckets: int) -> DataFrame:
@@ -595,27 +646,28 @@ def drop_repeats(
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = dealt_table(given, max(least, -(-size // (16 << 20))))
     width = packed.filter_width(size // 8)
+    groups = max(1, -(-size // GROUP_BYTES))
     phrase_buckets = packed.n_buckets(size / PHRASE * 40, bucket_bytes)
     asked = arrow_map(
         table.select("k", "doc", "text"), _phrase_questions(phrase_buckets, length), ASK, 64
     )
-    told = _told(asked, _phrase_answers, "phrases")
-    repeats = _by_document(told).withColumnRenamed("parts", "repeats")
+    told = _told(asked, _phrase_answers(groups), "phrases")
+    repeats = _by_document(told, RUN).withColumnRenamed("parts", "repeats")
     repeats = stored(repeats, "repeats")
 
     own = table.select("k", "doc", "text").join(repeats.hint("shuffle_hash"), "k", "left")
     anchor_buckets = packed.n_buckets(size / 8 * width, bucket_bytes)
     asked = arrow_map(own, _anchor_questions(anchor_buckets, width, length), ASK, 64)
-    told = _told(asked, _anchor_answers(width, max(1, bucket_passages // 4)), "anchors")
-    anchors = stored(_by_document(told).withColumnRenamed("parts", "anchors"), "anchors_of")
+    told = _told(asked, _anchor_answers(width, max(1, bucket_passages // 4), groups), "anchors")
+    anchors = stored(_by_document(told, width).withColumnRenamed("parts", "anchors"), "anchors_of")
     places = _split_places(told)
 
     some = own.join(anchors.hint("shuffle_hash"), "k")
     n_open = told.agg(F.coalesce(F.sum("open"), F.lit(0))).first()[0]
     passage_buckets = max(1, -(-n_open // bucket_passages))
     questions = _passage_questions(passage_buckets, width, length, places)
-    told = _told(arrow_map(some, questions, ASK, 64), _passage_answers(length), "passages")
-    passages = _by_document(told).withColumnRenamed("parts", "passages")
+    told = _told(arrow_map(some, questions, ASK, 64), _passage_answers(length, groups), "passages")
+    passages = _by_document(told, RUN).withColumnRenamed("parts", "passages")
 
     def cut(docs):
         for d in docs:

@@ -285,13 +285,14 @@ def test_answers_of_a_bucket_in_parts(monkeypatch):
         for i, b in enumerate(bodies)
     ]
     table = pa.Table.from_pylist(asks)
-    whole = pfp._passage_answers(50)(table).to_pylist()
+    whole = pfp._passage_answers(50, 2)(table).to_pylist()
     monkeypatch.setattr(pfp, "SORTED", 100)
     monkeypatch.setattr(pfp, "WINDOWS", 64)
-    assert pfp._passage_answers(50)(table).to_pylist() == whole
+    assert pfp._passage_answers(50, 2)(table).to_pylist() == whole
     # Neighbouring passages are one run.
-    runs = [np.frombuffer(r, "<u4").reshape(-1, 2).tolist() for r in whole[0]["runs"]]
-    assert [[10 * 30, 21]] in runs
+    merged = pfp._merged(pfp.RUN)(pfp._passage_answers(50, 2)(table)).to_pylist()
+    runs = {r["k"]: np.frombuffer(r["parts"][0], "<u4").reshape(-1, 2).tolist() for r in merged}
+    assert runs[41] == [[10 * 41, 21]]
 
 
 def test_window_hashes_agree_with_the_windows():
