@@ -13,9 +13,12 @@ adds next to nothing.  Their part is exact all the same:
   the cut even so are dropped, the others get their hub part looked up.
 * A pair that meets in hubs only must share enough of them to reach the cut.
   Per user, hubs are put in one global order, small to large, and the tail
-  that together stays below the cut is set aside.  Two users whose shared hubs
-  reach the cut must share one outside both tails, so only the rest of each
-  hub is paired up, and then looked up in full.
+  that together stays below the cut is set aside; the others are the head.
+  Two users whose shared hubs reach the cut must share one outside both tails,
+  so only heads are paired up.  What a pair has in its heads is summed exactly.
+  All else it shares lies in the tail of the user whose head ends first, so
+  that tail's total bounds the rest, and the same aggregate drops the pair
+  unless both together reach the cut.  Only survivors are looked up in full.
 """
 
 from __future__ import annotations
@@ -153,10 +156,11 @@ def _bounded(hubs: DataFrame, weight: str, n_members: int) -> DataFrame:
 
 
 def _hub_heads(hubs: DataFrame, min_score: float, n_members: int) -> DataFrame:
-    """(mid_id, member_id) of the hub memberships outside their user's tail.
+    """The hub memberships outside their user's tail, with ``last_slot`` and ``tail``.
 
-    A user's bounds are first summed per slot of the global order, which
-    leaves a bounded number of rows per user however many hubs they are in.
+    ``last_slot`` is where the user's head ends, ``tail`` the sum of bounds after it.  A
+    user's bounds are first summed per slot of the global order, which leaves a bounded
+    number of rows per user however many hubs they are in.
     """
     slot = F.ceil(F.log2("degree")) * SLOTS_PER_SIZE + F.pmod(
         F.xxhash64("mid_id"), F.lit(SLOTS_PER_SIZE)
@@ -166,55 +170,75 @@ def _hub_heads(hubs: DataFrame, min_score: float, n_members: int) -> DataFrame:
         F.sum("bound").alias("bound"), F.count("*").alias("n_rows")
     )
     from_top = Window.partitionBy("member_id").orderBy(F.desc("slot"))
+    reached = F.col("so_far") >= min_score - SLACK
     ends = (
         per_slot.withColumn("so_far", F.sum("bound").over(from_top))
-        .where(F.col("so_far") >= min_score - SLACK)
         .groupBy("member_id")
-        .agg(F.max("slot").alias("last_slot"))
+        .agg(
+            F.max(F.when(reached, F.col("slot"))).alias("last_slot"),
+            F.max(F.when(reached, 0.0).otherwise(F.col("so_far"))).alias("tail"),
+        )
+        .where("last_slot is not null")
     )
     sizes = per_slot.groupBy("member_id").agg(F.sum("n_rows").alias("n_rows"))
     hot = hot_keys(sizes, "member_id", total=n_members)
     return (
         salted_join(placed, ends, ["member_id"], hot, ["mid_id"])
         .where("slot <= last_slot")
-        .select("mid_id", "member_id")
+        .select("mid_id", "member_id", "mask", "degree", "last_slot", "tail")
     )
 
 
-def _pairs_within(heads: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Distinct (user1, user2) that meet in a group of the stored ``heads``.
+def _head_pairs(
+    heads: DataFrame, min_score: float, weight: str = "flat", block_size: int = BLOCK_SIZE
+) -> DataFrame:
+    """(user1, user2) of the pairs in the stored ``heads`` that could reach the cut.
 
-    A group is cut into blocks and each two blocks meet in a task of their
-    own, so that one huge group is spread over many tasks.
+    A group is cut into blocks and each two blocks meet in a task of their own, so that
+    one huge group is spread over many tasks; there are as many tasks as the wedges need.
+    A pair's weights in its heads are summed map-side, next to the most that it can have
+    in tails, and it leaves with that sum if both fall short.
     """
     sizes = count_rows(heads, "mid_id")
-    hot = hot_keys(sizes, "mid_id", total=heads.count())
-    placed = salted_join(heads, sizes, ["mid_id"], hot, ["member_id"])
+    look = sizes.selectExpr("sum(n_rows) AS n", "sum(double(n_rows) * n_rows / 2) AS w").first()
+    parallel = heads.sparkSession.sparkContext.defaultParallelism
+    tasks = max(parallel, int((look["w"] or 0) // WEDGES_PER_TASK) + 1)
+    hot = hot_keys(sizes, "mid_id", total=look["n"])
+    placed = salted_join(_prepared(heads), sizes, ["mid_id"], hot, ["member_id"])
     n_blocks = F.ceil(F.col("n_rows") / block_size).cast("int")
-    placed = placed.select(
-        "mid_id",
-        "member_id",
-        n_blocks.alias("n_blocks"),
-        F.pmod(F.xxhash64("member_id"), n_blocks).cast("int").alias("block"),
+    placed = placed.withColumn("n_blocks", n_blocks).withColumn(
+        "block", F.pmod(F.xxhash64("member_id"), "n_blocks").cast("int")
     )
+    shared = ["mid_id", "member_id", "mask", "main", "full", "last_slot", "tail"]
     low = placed.select(
-        "mid_id",
+        *shared,
+        "degree",
         F.col("block").alias("i"),
         F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"),
-        F.col("member_id").alias("x"),
     )
     high = placed.select(
-        "mid_id",
+        *shared,
         F.explode(F.sequence(F.lit(0), "block")).alias("i"),
         F.col("block").alias("j"),
-        F.col("member_id").alias("y"),
     )
-    return (
-        low.join(high, ["mid_id", "i", "j"])
-        .where("x <> y and (i < j or x < y)")
-        .select(F.least("x", "y").alias("user1"), F.greatest("x", "y").alias("user2"))
-        .distinct()
+    cell = ["mid_id", "i", "j"]
+    met = (
+        low.repartition(tasks, *cell).alias("a").join(high.alias("b"), cell)
+        .where("a.member_id <> b.member_id and (i < j or a.member_id < b.member_id)")
+        .selectExpr(
+            "least(a.member_id, b.member_id) AS user1",
+            "greatest(a.member_id, b.member_id) AS user2",
+            "degree",
+            f"{BUCKET_OF_A_AND_B} AS bucket",
+            """CASE WHEN a.last_slot < b.last_slot THEN a.tail
+                    WHEN b.last_slot < a.last_slot THEN b.tail
+                    ELSE least(a.tail, b.tail) END AS tail""",
+        )
+    )
+    sums = met.groupBy("user1", "user2").agg(
+        F.sum(wedge_weight(weight)).alias("sure"), F.max("tail").alias("tail")
     )
+    return sums.where(F.col("sure") + F.col("tail") >= min_score - SLACK).select("user1", "user2")
 
 
 def _wedges_of(keys: DataFrame, members: DataFrame) -> DataFrame:
@@ -303,7 +327,8 @@ def _totals_with_hubs(
     keys = from_small.where("in_hubs > 0").select("user1", "user2")
     if not in_hubs.where(F.col("in_hubs") >= min_score - SLACK).isEmpty():
         heads = stored(_hub_heads(hubs, min_score, n_members), "hub_heads")
-        keys = stored(keys.union(_pairs_within(heads)).distinct(), "hub_pairs")
+        reach = _head_pairs(heads, min_score, weight)
+        keys = stored(keys.union(reach).distinct(), "hub_pairs")
     from_hubs = _reduce(_wedges_of(keys, hubs), weight)
     sums = [F.sum(c).alias(c) for c in ["score", *COUNT_COLUMNS]]
     return from_small.drop("in_hubs").unionByName(from_hubs).groupBy("user1", "user2").agg(*sums)

@@ -39,8 +39,9 @@ def with_label_values(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.col("label").cast("double").alias("label", metadata=meta))
 
 
-def logistic_regression() -> Estimator:
-    return LogisticRegression(**LOGISTIC)
+def logistic_regression(**changed) -> Estimator:
+    """Without intercept; ``changed`` parameters of Spark's estimator, say a smaller ``tol``."""
+    return LogisticRegression(**{**LOGISTIC, **changed})
 
 
 def decision_tree(min_leaf_share: float = 0.0) -> Estimator:

@@ -26,6 +26,8 @@ QUERIES: dict[str, Query] = {}
 
 # Groups of the test graph are either below 60 members or grow with the data.
 HUB_DEGREE = 100
+SHARP_TOL = 1e-15  # so that scores agree with Newton's method to all places shown
+STAR_DEGREE, STAR_SCORE = 10, 2.5
 TOP = 5
 SLICE = 7
 BETAS = [2.0, 0.5, 0.1]
@@ -60,14 +62,16 @@ def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run.wide_pairs(_edges(spark, sf_dir), fx.profiles(spark, sf_dir), SETTINGS)
+    return run.wide_pairs(_edges(spark, sf_dir), fx.all_profiles(spark, sf_dir), SETTINGS)
 
 
-def _profiled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profiled_edges(
+    spark: SparkSession, sf_dir: str, profiles: Query = fx.all_profiles
+) -> DataFrame:
     """Profiles of both ends of every edge that leads to a larger id."""
     forward = fx.edges(spark, sf_dir).where("friend_id > user_id")
     pairs = forward.select(F.col("user_id").alias("user1"), F.col("friend_id").alias("user2"))
-    return feat.with_profiles(stored(pairs, "forward_edges"), fx.profiles(spark, sf_dir))
+    return feat.with_profiles(stored(pairs, "forward_edges"), profiles(spark, sf_dir))
 
 
 # -- text sources ----------------------------------------------------------
@@ -274,6 +278,15 @@ def pair_scores(spark, sf_dir):
     return cand.pair_scores(members, hub_degree=HUB_DEGREE).select(*PAIR_KEY, "score")
 
 
+@query
+def hub_pair_scores(spark, sf_dir):
+    """Pairs that reach a higher cut in hubs alone: every group is one."""
+    edges = stored(fx.edges(spark, sf_dir, fx.STAR), "star_edges")
+    members = stored(graph.group_members(edges, n_edges=edges.count()), "star_members")
+    scored = cand.pair_scores(members, min_score=STAR_SCORE, hub_degree=STAR_DEGREE)
+    return scored.select(*PAIR_KEY, "score", "packed")
+
+
 @query
 def typed_pair_scores(spark, sf_dir):
     members = _members(spark, sf_dir)
@@ -401,7 +414,7 @@ def place_match(spark, sf_dir):
 
 @query
 def profile_pairs(spark, sf_dir):
-    return _profiled_edges(spark, sf_dir)
+    return _profiled_edges(spark, sf_dir, fx.some_profiles)
 
 
 def _feature_columns(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
@@ -428,7 +441,7 @@ def type_features(spark, sf_dir):
 @query
 def parity_features(spark, sf_dir):
     settings = replace(run.PARITY, hub_degree=HUB_DEGREE)
-    wide = run.wide_pairs(_edges(spark, sf_dir), fx.profiles(spark, sf_dir), settings)
+    wide = run.wide_pairs(_edges(spark, sf_dir), fx.all_profiles(spark, sf_dir), settings)
     return wide.select(
         *PAIR_KEY, "label", *feat.RELATION_FEATURES, F.round("log_age", 6).alias("log_age")
     )
@@ -537,8 +550,9 @@ def lr_weight(spark, sf_dir):
 def lr_scores(spark, sf_dir):
     labeled = stored(labels.with_split(_labeled(spark, sf_dir)), "labeled")
     base = _base_split(labeled)
-    model = models.fit(base, feat.SCORE_FEATURES, models.logistic_regression())
-    return models.add_score(model, labeled, "p_aa").select(*PAIR_KEY, "label", "score", "p_aa")
+    model = models.fit(base, feat.SCORE_FEATURES, models.logistic_regression(tol=SHARP_TOL))
+    scored = models.add_score(model, labeled, "p_aa").withColumn("p_aa", F.round("p_aa", 6))
+    return scored.select(*PAIR_KEY, "label", "score", "p_aa")
 
 
 @query
@@ -546,7 +560,9 @@ def tree_scores(spark, sf_dir):
     wide = _wide(spark, sf_dir)
     base, scored = _base_split(wide), wide
     for name in ("type", "user"):
-        model = models.fit(base, feat.FEATURE_SETS[name], models.decision_tree())
+        model = models.fit(
+            base, feat.FEATURE_SETS[name], models.decision_tree(), SETTINGS.max_fit_rows
+        )
         scored = models.add_score(model, scored, f"p_{name}")
     return scored.select(*PAIR_KEY, "label", "p_type", "p_user")
 
@@ -554,7 +570,7 @@ def tree_scores(spark, sf_dir):
 @query
 def stacked_scores(spark, sf_dir):
     wide = _wide(spark, sf_dir)
-    model = models.fit_stacked(labels.train_pairs(wide))
+    model = models.fit_stacked(labels.train_pairs(wide), max_rows=SETTINGS.max_fit_rows)
     held = labels.train_pairs(wide).where(F.col("split") == labels.VALIDATION)
     return model.transform(held).select(*PAIR_KEY, "label", *models.STACKED_SCORES, models.STACKED)
 
@@ -562,9 +578,10 @@ def stacked_scores(spark, sf_dir):
 @query
 def validation_report(spark, sf_dir):
     wide = _wide(spark, sf_dir)
-    return run.validate(models.fit_stacked(labels.train_pairs(wide)), wide)
+    model = models.fit_stacked(labels.train_pairs(wide), max_rows=SETTINGS.max_fit_rows)
+    return run.validate(model, wide)
 
 
 @query
 def recommend_end_to_end(spark, sf_dir):
-    return run.recommend(fx.edges(spark, sf_dir), fx.profiles(spark, sf_dir), SETTINGS)
+    return run.recommend(fx.edges(spark, sf_dir), fx.all_profiles(spark, sf_dir), SETTINGS)

@@ -70,12 +70,16 @@ def _int(e: str, name: str) -> str:
     return f"cast({e} AS INTEGER) AS {name}"
 
 
-RAW = """
-listed AS (
-  SELECT o_custkey AS user_id,
-    CASE WHEN l_partkey % 23 = 0 THEN l_suppkey % 4
+FRIEND = """CASE WHEN l_partkey % 23 = 0 THEN l_suppkey % 4
          WHEN l_partkey % 3 = 0 THEN (o_custkey // 10) * 10 + l_partkey % 12
-         ELSE (o_custkey // 40) * 40 + l_partkey % 60 END AS friend_id
+         ELSE (o_custkey // 40) * 40 + l_partkey % 60 END"""
+STAR = "10000000 + l_partkey % 200"
+
+
+def _raw(friend: str) -> str:
+    return f"""
+listed AS (
+  SELECT o_custkey AS user_id, {friend} AS friend_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 raw AS (
   SELECT user_id, friend_id, cast(
@@ -89,7 +93,9 @@ raw AS (
 edges AS (
   SELECT user_id, friend_id, cast(raw_mask - raw_mask % 2 AS INTEGER) AS mask FROM raw)"""
 
-MEMBERS = f"""{RAW},
+
+def _members(friend: str) -> str:
+    return f"""{_raw(friend)},
 active AS (
   SELECT * FROM edges WHERE user_id IN
     (SELECT user_id FROM edges GROUP BY user_id HAVING count(*) >= 2)),
@@ -100,26 +106,31 @@ members AS (
   SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mid_id) AS degree FROM reversed)
   WHERE degree >= 2)"""
 
-WEDGES = f"""{MEMBERS},
+
+def _wedges(friend: str) -> str:
+    return f"""{_members(friend)},
 wedge AS (
   SELECT a.member_id AS user1, b.member_id AS user2, a.mid_id, a.degree,
     {_int(_combine("a.mask", "b.mask"), "bucket")}
   FROM members a JOIN members b ON a.mid_id = b.mid_id AND a.member_id < b.member_id)"""
 
+
+RAW, MEMBERS, WEDGES = _raw(FRIEND), _members(FRIEND), _wedges(FRIEND)
+
 _COUNTS = ",\n    ".join(
     f"cast(least(count(*) FILTER (bucket = {c}), 7) AS INTEGER) AS n_{n}"
     for n, c, _, _, _, _ in BUCKETS
 )
 
 
-def _pairs(weight: str = "1.0") -> str:
-    return f"""{WEDGES},
+def _pairs(weight: str = "1.0", friend: str = FRIEND, least: float = 1.5) -> str:
+    return f"""{_wedges(friend)},
 pairs AS (
   SELECT * FROM (
     SELECT user1, user2, round(sum({weight} / ln(degree)), 6) AS score,
     {_COUNTS}
     FROM wedge GROUP BY user1, user2)
-  WHERE score >= 1.5)"""
+  WHERE score >= {least})"""
 
 
 PAIRS = _pairs()
@@ -147,7 +158,7 @@ all_profiles AS (
   LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_date FROM orders GROUP BY o_custkey)
     ON c_custkey = o_custkey)"""
 PROFILES = f"""{ALL_PROFILES},
-profiles AS (SELECT * FROM all_profiles WHERE user_id % 13 <> 5)"""
+some_profiles AS (SELECT * FROM all_profiles WHERE user_id % 13 <> 5)"""
 
 _FIELDS = ["create_ms", "age_days", "sex", "country", "location", "login_region"]
 _BOTH_PROFILES = ", ".join(
@@ -155,17 +166,17 @@ _BOTH_PROFILES = ", ".join(
 )
 
 
-def _profiled(pairs: str) -> str:
+def _profiled(pairs: str, profiles: str = "all_profiles") -> str:
     return f"""{PROFILES},
 profiled AS (
   SELECT p.*, {_BOTH_PROFILES} FROM {pairs} p
-  LEFT JOIN profiles a ON user1 = a.user_id LEFT JOIN profiles b ON user2 = b.user_id)"""
+  LEFT JOIN {profiles} a ON user1 = a.user_id LEFT JOIN {profiles} b ON user2 = b.user_id)"""
 
 
-PROFILED_EDGES = f"""{RAW},
+FORWARD = f"""{RAW},
 forward AS (
-  SELECT user_id AS user1, friend_id AS user2 FROM edges WHERE friend_id > user_id),
-{_profiled("forward")}"""
+  SELECT user_id AS user1, friend_id AS user2 FROM edges WHERE friend_id > user_id)"""
+PROFILED_EDGES = f"{FORWARD},\n{_profiled('forward')}"
 
 _YEARS1 = "cast(trunc(age_days1 / 365.0) AS INTEGER)"
 _YEARS2 = "cast(trunc(age_days2 / 365.0) AS INTEGER)"
@@ -230,6 +241,11 @@ def _newton(steps: int) -> str:
     return ",\n".join(ctes)
 
 
+_FITTED = f"""{LABELED},
+base AS (SELECT score, label FROM labeled WHERE {KNOWN} AND {SPLIT} < 700002),
+{_newton(8)}"""
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -336,6 +352,10 @@ ORACLES: dict[str, str] = {
         round({_typed("bucket")} / ln(degree), 6) AS weight {_PAIR_WEDGES}""",
     ),
     "pair_scores": _with(PAIRS, "SELECT user1, user2, score FROM pairs"),
+    "hub_pair_scores": _with(
+        _pairs(friend=STAR, least=2.5),
+        f"SELECT user1, user2, score, {_int(_PACKED, 'packed')} FROM pairs",
+    ),
     "typed_pair_scores": _with(
         _pairs(_typed("bucket")), "SELECT user1, user2, score FROM pairs"
     ),
@@ -395,7 +415,9 @@ ORACLES: dict[str, str] = {
         {_log_age(61414934400000)} AS log_age_parity FROM profiled""",
     ),
     "place_match": _with(PROFILED_EDGES, f"SELECT user1, user2, {_PLACES} FROM profiled"),
-    "profile_pairs": _with(PROFILED_EDGES, "SELECT * FROM profiled"),
+    "profile_pairs": _with(
+        f"{FORWARD},\n{_profiled('forward', 'some_profiles')}", "SELECT * FROM profiled"
+    ),
     "aa_features": _with(LABELED, "SELECT user1, user2, label, score FROM labeled"),
     "user_features": _with(
         f"{LABELED},\n{_profiled('labeled')}",
@@ -451,10 +473,13 @@ ORACLES: dict[str, str] = {
         """SELECT round(sum(own_fp * (tp - own_tp + tp) / 2.0) / any_value(p * q), 6) AS auc
         FROM totals""",
     ),
+    "lr_scores": _with(
+        _FITTED,
+        """SELECT user1, user2, label, score, round(1 / (1 + exp(-w * score)), 6) AS p_aa
+  FROM labeled, w8""",
+    ),
     "lr_weight": _with(
-        f"""{LABELED},
-base AS (SELECT score, label FROM labeled WHERE {KNOWN} AND {SPLIT} < 700002),
-{_newton(8)}""",
+        _FITTED,
         "SELECT (SELECT count(*) FROM base) AS n_pairs, round(w, 3) AS weight FROM w8",
     ),
 }

@@ -26,18 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Who a line item stands for: mostly people of the customer's own block.
+FRIEND = """CASE WHEN l_partkey % 23 = 0 THEN l_suppkey % 4
+                 WHEN l_partkey % 3 = 0 THEN (o_custkey div 10) * 10 + l_partkey % 12
+                 ELSE (o_custkey div 40) * 40 + l_partkey % 60 END"""
+# One of 200 people that everybody lists some of, so that all groups grow with the data.
+STAR = "10000000 + l_partkey % 200"
+
+
+def raw_edges(spark: SparkSession, sf_dir: str, who: str = FRIEND) -> DataFrame:
     """edges(user_id, friend_id, raw_mask), one row per listed friend."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    friend = F.expr(
-        """CASE WHEN l_partkey % 23 = 0 THEN l_suppkey % 4
-                WHEN l_partkey % 3 = 0 THEN (o_custkey div 10) * 10 + l_partkey % 12
-                ELSE (o_custkey div 40) * 40 + l_partkey % 60 END"""
-    )
     listed = (
         items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("o_custkey").alias("user_id"), friend.alias("friend_id"))
+        .select(F.col("o_custkey").alias("user_id"), F.expr(who).alias("friend_id"))
         .where("user_id <> friend_id")
         .distinct()
     )
@@ -51,9 +54,9 @@ def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.withColumn("raw_mask", mask)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, who: str = FRIEND) -> DataFrame:
     """edges(user_id, friend_id, mask) with the noise bit cleared."""
-    raw = raw_edges(spark, sf_dir)
+    raw = raw_edges(spark, sf_dir, who)
     return raw.selectExpr("user_id", "friend_id", f"{normalize('raw_mask')} AS mask")
 
 
@@ -75,9 +78,8 @@ def adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles for pairs of users: those with ``user_id % 13 = 5`` have none, so that
-    the defaults of a missing profile are met."""
+def some_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles without those of ``user_id % 13 = 5``, to meet the defaults of missing ones."""
     return all_profiles(spark, sf_dir).where("user_id % 13 <> 5")
 
 

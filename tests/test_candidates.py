@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 
 import pytest
@@ -92,12 +94,70 @@ def test_hub_heads_are_few(spark):
     assert 0 < heads.count() < hubs.count()
 
 
+def heads_table(spark, rows):
+    """(mid_id, member_id, mask, degree, last_slot, tail) as a stored table."""
+    schema = "mid_id long, member_id long, mask int, degree long, last_slot long, tail double"
+    return stored(spark.createDataFrame(rows, schema).repartition(4), "heads")
+
+
 def test_blocks_meet_once(spark):
-    heads = stored(spark.range(50).selectExpr("1L AS mid_id", "id AS member_id"), "heads")
-    found = cand._pairs_within(heads, block_size=7).collect()
+    heads = heads_table(spark, [(1, user, 4, 3, 9, 0.0) for user in range(50)])
+    one = 1 / math.log(3)
+    found = cand._head_pairs(heads, one, block_size=7).collect()
     assert sorted((r["user1"], r["user2"]) for r in found) == [
         (a, b) for a in range(50) for b in range(a + 1, 50)
     ]
+    # Met twice the sum would reach this.
+    assert cand._head_pairs(heads, 1.5 * one, block_size=7).count() == 0
+
+
+def test_the_tail_that_counts_is_that_of_the_shorter_head(spark):
+    one = 1 / math.log(3)
+    rows = [(1, 10, 4, 3, 5, 0.4), (1, 20, 4, 3, 7, 9.0), (1, 30, 4, 3, 7, 0.1)]
+    for least, want in [
+        (one + 0.4, {(10, 20), (10, 30)}),
+        (one + 0.1, {(10, 20), (10, 30), (20, 30)}),
+        (one + 0.41, set()),
+    ]:
+        found = cand._head_pairs(heads_table(spark, rows), least).collect()
+        assert {tuple(r) for r in found} == want
+
+
+@pytest.mark.parametrize("weight", ["flat", "typed"])
+def test_dense_hubs_list_only_what_could_reach_the_cut(spark, weight):
+    rng = random.Random(8)
+    rows = [
+        (hub, user, rng.choice([0, 4, 8, 512, 1024, 1 << 20]))
+        for user in range(300)
+        for hub in sorted(rng.sample(range(200), 60))
+    ]
+    sizes = collections.Counter(hub for hub, *_ in rows)
+    rows = [(*r, sizes[r[0]]) for r in rows]
+    every = brute.pairs([r[:3] for r in rows], 0.0, weight)
+    least = round(sorted(score for score, _ in every.values())[-40], 3)
+    want = {p: found for p, found in every.items() if round(found[0], 6) >= least}
+    assert 30 < len(want) < 50
+    members = as_table(spark, rows)
+    same_pairs(cand.pair_scores(members, min_score=least, weight=weight, hub_degree=10), want)
+    hubs = cand._bounded(members, weight, len(rows))
+    heads = stored(cand._hub_heads(hubs, least, len(rows)), "heads")
+    listed = {tuple(r) for r in cand._head_pairs(heads, least, weight).collect()}
+    together = heads.select("mid_id", "member_id").collect()
+    by_hub = collections.defaultdict(list)
+    for hub, user in together:
+        by_hub[hub].append(user)
+    met = {(min(a, b), max(a, b)) for m in by_hub.values() for a in m for b in m if a != b}
+    # All that reach the cut, no pair that its bound rules out, and far fewer than meet.
+    assert {p[:2] for p in want} <= listed <= met
+    head = {(r.mid_id, r.member_id): r for r in heads.collect()}
+    weights = collections.Counter()
+    for u, v, m, d, b in brute.wedges([r[:3] for r in rows]):
+        if (m, u) in head and (m, v) in head:
+            weights[u, v] += brute.weight(b, weight) / math.log(d)
+    ends = {r.member_id: (r.last_slot, r.tail) for r in head.values()}
+    bound = {p: w + min(ends[p[0]], ends[p[1]])[1] for p, w in weights.items()}
+    assert listed == {p for p, w in bound.items() if w >= least - cand.SLACK}
+    assert len(listed) < len(met) / 2
 
 
 def test_counts_stop_at_7(spark):

@@ -21,7 +21,7 @@ def edges(spark):
 
 @pytest.fixture(scope="module")
 def wide(spark, edges):
-    return recommendation.wide_pairs(edges, fixtures.profiles(spark, DIR), catalog.SETTINGS)
+    return recommendation.wide_pairs(edges, fixtures.all_profiles(spark, DIR), catalog.SETTINGS)
 
 
 @pytest.fixture(scope="module")
