@@ -4,9 +4,9 @@ Every pair that shares a neighbour gets 1/ln(group size) per shared neighbour
 (times a relation weight), and only pairs that reach ``min_score`` are kept.
 
 Groups are treated by size.  Small groups are enumerated by a self-join and
-reduced per pair.  In groups of more than ``hub_degree`` members the pairs are
-never enumerated as such, as they grow with the square of the group while each
-adds next to nothing.  Their part is exact all the same:
+reduced per pair.  In groups of more than ``hub_degree`` members pairs grow with
+the square of the group while each adds next to nothing, so as few of them are
+enumerated as can be.  Their part is exact all the same:
 
 * A pair that meets in small groups can gain from hubs at most what the
   poorer of its two users has in hubs altogether.  Pairs that fall short of
@@ -19,6 +19,9 @@ adds next to nothing.  Their part is exact all the same:
   All else it shares lies in the tail of the user whose head ends first, so
   that tail's total bounds the rest, and the same aggregate drops the pair
   unless both together reach the cut.  Only survivors are looked up in full.
+* Where heads make up most of the hubs, as when many users share many hubs of
+  about one size, that would look up nearly all pairs.  There all wedges of the
+  hubs are summed at once, block by block; the number of wedges decides.
 """
 
 from __future__ import annotations
@@ -52,6 +55,8 @@ HUB_DEGREE = 1_000
 WEDGES_PER_TASK = 5_000_000
 # Members of one hub that meet in one task when hubs are paired up.
 BLOCK_SIZE = 2_000
+# Hubs are summed in full unless their heads have that many times fewer wedges.
+FULL_FACTOR = 8
 # Hubs of about the same size are told apart by a hash into this many slots.
 SLOTS_PER_SIZE = 64
 # A bound may miss the cut by this much before it counts as below it, which
@@ -189,52 +194,67 @@ def _hub_heads(hubs: DataFrame, min_score: float, n_members: int) -> DataFrame:
     )
 
 
-def _head_pairs(
-    heads: DataFrame, min_score: float, weight: str = "flat", block_size: int = BLOCK_SIZE
+def _block_wedges(
+    rows: DataFrame, sizes: DataFrame, n_rows: int, n_wedges: float, block_size: int, *more: str
 ) -> DataFrame:
-    """(user1, user2) of the pairs in the stored ``heads`` that could reach the cut.
+    """Wedges (user1, user2, degree, bucket) of groups of any size, plus columns ``more``.
 
     A group is cut into blocks and each two blocks meet in a task of their own, so that
     one huge group is spread over many tasks; there are as many tasks as the wedges need.
-    A pair's weights in its heads are summed map-side, next to the most that it can have
-    in tails, and it leaves with that sum if both fall short.
     """
-    sizes = count_rows(heads, "mid_id")
-    look = sizes.selectExpr("sum(n_rows) AS n", "sum(double(n_rows) * n_rows / 2) AS w").first()
-    parallel = heads.sparkSession.sparkContext.defaultParallelism
-    tasks = max(parallel, int((look["w"] or 0) // WEDGES_PER_TASK) + 1)
-    hot = hot_keys(sizes, "mid_id", total=look["n"])
-    placed = salted_join(_prepared(heads), sizes, ["mid_id"], hot, ["member_id"])
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(parallel, int(n_wedges // WEDGES_PER_TASK) + 1)
+    hot = hot_keys(sizes, "mid_id", total=n_rows)
+    placed = salted_join(_prepared(rows), sizes, ["mid_id"], hot, ["member_id"])
     n_blocks = F.ceil(F.col("n_rows") / block_size).cast("int")
     placed = placed.withColumn("n_blocks", n_blocks).withColumn(
         "block", F.pmod(F.xxhash64("member_id"), "n_blocks").cast("int")
     )
-    shared = ["mid_id", "member_id", "mask", "main", "full", "last_slot", "tail"]
     low = placed.select(
-        *shared,
-        "degree",
+        "*",
         F.col("block").alias("i"),
         F.explode(F.sequence("block", F.col("n_blocks") - 1)).alias("j"),
     )
     high = placed.select(
-        *shared,
+        "*",
         F.explode(F.sequence(F.lit(0), "block")).alias("i"),
         F.col("block").alias("j"),
     )
     cell = ["mid_id", "i", "j"]
-    met = (
+    return (
         low.repartition(tasks, *cell).alias("a").join(high.alias("b"), cell)
         .where("a.member_id <> b.member_id and (i < j or a.member_id < b.member_id)")
         .selectExpr(
             "least(a.member_id, b.member_id) AS user1",
             "greatest(a.member_id, b.member_id) AS user2",
-            "degree",
+            "a.degree",
             f"{BUCKET_OF_A_AND_B} AS bucket",
-            """CASE WHEN a.last_slot < b.last_slot THEN a.tail
-                    WHEN b.last_slot < a.last_slot THEN b.tail
-                    ELSE least(a.tail, b.tail) END AS tail""",
+            *more,
         )
     )
+
+
+def _squares(sizes: DataFrame) -> tuple[int, float]:
+    """Rows of all groups, and about how many wedges they have."""
+    return tuple(
+        x or 0
+        for x in sizes.selectExpr("sum(n_rows)", "sum(double(n_rows) * n_rows / 2)").first()
+    )
+
+
+def _head_pairs(
+    heads: DataFrame, min_score: float, weight: str = "flat", block_size: int = BLOCK_SIZE
+) -> DataFrame:
+    """(user1, user2) of the pairs in the stored ``heads`` that could reach the cut.
+
+    A pair's weights in its heads are summed map-side, next to the most that it can have
+    in tails, and it leaves with that sum if both fall short.
+    """
+    sizes = count_rows(heads, "mid_id")
+    tail = """CASE WHEN a.last_slot < b.last_slot THEN a.tail
+                   WHEN b.last_slot < a.last_slot THEN b.tail
+                   ELSE least(a.tail, b.tail) END AS tail"""
+    met = _block_wedges(heads, sizes, *_squares(sizes), block_size, tail)
     sums = met.groupBy("user1", "user2").agg(
         F.sum(wedge_weight(weight)).alias("sure"), F.max("tail").alias("tail")
     )
@@ -325,11 +345,18 @@ def _totals_with_hubs(
         "small_group_pairs",
     )
     keys = from_small.where("in_hubs > 0").select("user1", "user2")
+    found = None
     if not in_hubs.where(F.col("in_hubs") >= min_score - SLACK).isEmpty():
         heads = stored(_hub_heads(hubs, min_score, n_members), "hub_heads")
-        reach = _head_pairs(heads, min_score, weight)
-        keys = stored(keys.union(reach).distinct(), "hub_pairs")
-    from_hubs = _reduce(_wedges_of(keys, hubs), weight)
+        sizes = count_rows(hubs, "mid_id")
+        n_rows, n_wedges = _squares(sizes)
+        if n_wedges <= FULL_FACTOR * _squares(count_rows(heads, "mid_id"))[1]:
+            plain = hubs.select("mid_id", "member_id", "mask", "degree")
+            found = _block_wedges(plain, sizes, n_rows, n_wedges, BLOCK_SIZE)
+        else:
+            reach = _head_pairs(heads, min_score, weight)
+            keys = stored(keys.union(reach).distinct(), "hub_pairs")
+    from_hubs = _reduce(_wedges_of(keys, hubs) if found is None else found, weight)
     sums = [F.sum(c).alias(c) for c in ["score", *COUNT_COLUMNS]]
     return from_small.drop("in_hubs").unionByName(from_hubs).groupBy("user1", "user2").agg(*sums)
 

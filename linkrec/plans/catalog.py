@@ -278,15 +278,25 @@ def pair_scores(spark, sf_dir):
     return cand.pair_scores(members, hub_degree=HUB_DEGREE).select(*PAIR_KEY, "score")
 
 
-@query
-def hub_pair_scores(spark, sf_dir):
-    """Pairs that reach a higher cut in hubs alone: every group is one."""
-    edges = stored(fx.edges(spark, sf_dir, fx.STAR), "star_edges")
+def _hub_pairs(spark: SparkSession, sf_dir: str, who: str) -> DataFrame:
+    edges = stored(fx.edges(spark, sf_dir, who), "star_edges")
     members = stored(graph.group_members(edges, n_edges=edges.count()), "star_members")
     scored = cand.pair_scores(members, min_score=STAR_SCORE, hub_degree=STAR_DEGREE)
     return scored.select(*PAIR_KEY, "score", "packed")
 
 
+@query
+def hub_pair_scores(spark, sf_dir):
+    """Pairs that reach a higher cut in hubs alone: every group is one, of about one size."""
+    return _hub_pairs(spark, sf_dir, fx.STAR)
+
+
+@query
+def fame_pair_scores(spark, sf_dir):
+    """The same where some hubs are far larger than others."""
+    return _hub_pairs(spark, sf_dir, fx.FAME)
+
+
 @query
 def typed_pair_scores(spark, sf_dir):
     members = _members(spark, sf_dir)

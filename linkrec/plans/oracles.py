@@ -74,6 +74,7 @@ FRIEND = """CASE WHEN l_partkey % 23 = 0 THEN l_suppkey % 4
          WHEN l_partkey % 3 = 0 THEN (o_custkey // 10) * 10 + l_partkey % 12
          ELSE (o_custkey // 40) * 40 + l_partkey % 60 END"""
 STAR = "10000000 + l_partkey % 200"
+FAME = "20000000 + (l_partkey % 1000) * (l_partkey % 1000) * (l_partkey % 1000) // 5000000"
 
 
 def _raw(friend: str) -> str:
@@ -356,6 +357,10 @@ ORACLES: dict[str, str] = {
         _pairs(friend=STAR, least=2.5),
         f"SELECT user1, user2, score, {_int(_PACKED, 'packed')} FROM pairs",
     ),
+    "fame_pair_scores": _with(
+        _pairs(friend=FAME, least=2.5),
+        f"SELECT user1, user2, score, {_int(_PACKED, 'packed')} FROM pairs",
+    ),
     "typed_pair_scores": _with(
         _pairs(_typed("bucket")), "SELECT user1, user2, score FROM pairs"
     ),

@@ -32,6 +32,8 @@ FRIEND = """CASE WHEN l_partkey % 23 = 0 THEN l_suppkey % 4
                  ELSE (o_custkey div 40) * 40 + l_partkey % 60 END"""
 # One of 200 people that everybody lists some of, so that all groups grow with the data.
 STAR = "10000000 + l_partkey % 200"
+# The same with a few who are listed far more often than the others.
+FAME = "20000000 + (l_partkey % 1000) * (l_partkey % 1000) * (l_partkey % 1000) div 5000000"
 
 
 def raw_edges(spark: SparkSession, sf_dir: str, who: str = FRIEND) -> DataFrame:
