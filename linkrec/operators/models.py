@@ -14,11 +14,12 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrec.operators.features import FEATURE_SETS
 from linkrec.operators.labels import BASE, ENSEMBLE
+from linkrec.storage import fresh_path, stored
 
 # The classifiers' parameters.
 LOGISTIC = {"fitIntercept": False, "regParam": 0.0, "maxIter": 100, "tol": 1e-6}
@@ -28,6 +29,9 @@ MAX_CATEGORIES = 5
 # and more nodes are split per pass over the data.
 TREE_GROWTH = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
 
+# Leaves of a tree at most.
+MAX_LEAVES = 40_000
+
 STACKED_SCORES = ["p_aa", "p_type", "p_user"]
 STACKED = "p_stacked"
 
@@ -44,11 +48,10 @@ def logistic_regression(**changed) -> Estimator:
     return LogisticRegression(**{**LOGISTIC, **changed})
 
 
-def decision_tree(min_leaf_share: float = 0.0) -> Estimator:
+def decision_tree() -> Estimator:
     """Index features of few values as categories, then grow a tree.
 
-    The tree lives on the driver.  ``min_leaf_share`` (say 1e-5) bounds its
-    number of leaves where the data would otherwise grow it without limit.
+    The tree lives on the driver; ``fit`` bounds its number of leaves.
     """
     indexer = VectorIndexer(
         inputCol="features",
@@ -57,7 +60,7 @@ def decision_tree(min_leaf_share: float = 0.0) -> Estimator:
         handleInvalid="keep",
     )
     tree = DecisionTreeClassifier(
-        featuresCol="indexed_features", minWeightFractionPerNode=min_leaf_share, **TREE, **TREE_GROWTH
+        featuresCol="indexed_features", **TREE, **TREE_GROWTH
     )
     return Pipeline(stages=[indexer, tree])
 
@@ -71,23 +74,34 @@ STRATEGY: dict[str, Callable[[], Estimator]] = {
 }
 
 
-def bounded_rows(training: DataFrame, max_rows: int | None) -> DataFrame:
-    """About ``max_rows`` rows, chosen by a hash of the pair, so any run takes the same.
+def with_leaf_budget(estimator: Estimator, n_rows: int, max_leaves: int) -> Estimator:
+    """``estimator`` with no more than ``max_leaves`` leaves in any tree, on all rows.
 
-    A model's size then has a bound, whatever the data's.  None takes all rows.
+    A leaf gets at least an equal share of the rows, so there cannot be more.  As long as
+    that share is below the tree's own least number of rows per node, nothing changes.
     """
-    n = training.count() if max_rows else 0
-    if not max_rows or n <= max_rows:
-        return training
-    chance = F.pmod(F.xxhash64("user1", "user2", F.lit("fit")), F.lit(1 << 31))
-    return training.where(chance < int((1 << 31) * max_rows / n))
+    share = -(-n_rows // max_leaves)
+    if isinstance(estimator, Pipeline):
+        stages = [with_leaf_budget(e, n_rows, max_leaves) for e in estimator.getStages()]
+        return Pipeline(stages=stages)
+    if estimator.hasParam("minInstancesPerNode"):
+        least = max(share, estimator.getOrDefault("minInstancesPerNode"))
+        return estimator.copy({estimator.getParam("minInstancesPerNode"): least})
+    return estimator
 
 
 def fit(
-    training: DataFrame, columns: list[str], estimator: Estimator, max_rows: int | None = None
+    training: DataFrame,
+    columns: list[str],
+    estimator: Estimator,
+    max_leaves: int | None = MAX_LEAVES,
 ) -> PipelineModel:
-    """Assemble ``columns`` into a vector and fit on ``label``."""
-    training = bounded_rows(training, max_rows)
+    """Assemble ``columns`` into a vector and fit on ``label``, on all rows.
+
+    ``max_leaves`` bounds what a tree takes on the driver; None leaves it unbounded.
+    """
+    if max_leaves is not None:
+        estimator = with_leaf_budget(estimator, training.count(), max_leaves)
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
     rows = with_label_values(training.select("label", *columns))
     return Pipeline(stages=[assembler, estimator]).fit(rows)
@@ -118,7 +132,7 @@ class StackedModel:
 def fit_base(
     wide: DataFrame,
     strategy: dict[str, Callable[[], Estimator]] | None = None,
-    max_rows: int | None = None,
+    max_leaves: int | None = MAX_LEAVES,
 ) -> dict[str, PipelineModel]:
     """One model per feature set, on the base split.
 
@@ -130,7 +144,7 @@ def fit_base(
         fits = {
             name: pool.submit(
                 inheritable_thread_target(training.sparkSession)(fit),
-                training, columns, chosen[name](), max_rows,
+                training, columns, chosen[name](), max_leaves,
             )
             for name, columns in FEATURE_SETS.items()
         }
@@ -140,17 +154,93 @@ def fit_base(
 def fit_stacked(
     wide: DataFrame,
     strategy: dict[str, Callable[[], Estimator]] | None = None,
-    max_rows: int | None = None,
+    max_leaves: int | None = MAX_LEAVES,
 ) -> StackedModel:
     """Base models on the base split, the model over their scores on the
     ensemble split.  ``wide`` should be a stored table, as it is read often."""
     chosen = {**STRATEGY, **(strategy or {})}
-    model = StackedModel(fit_base(wide, strategy, max_rows), None)
+    model = StackedModel(fit_base(wide, strategy, max_leaves), None)
     scored = model.add_base_scores(wide.where(F.col("split") == ENSEMBLE))
-    model.stacked = fit(scored, STACKED_SCORES, chosen["stacked"](), max_rows)
+    model.stacked = fit(scored, STACKED_SCORES, chosen["stacked"](), max_leaves)
     return model
 
 
+# -- what a tree is made of ---------------------------------------------------
+
+
+def tree_nodes(model: PipelineModel) -> DataFrame:
+    """The nodes of a fitted tree, as a stored table.
+
+    (id, feature, threshold, categories, left_id, right_id, n0, n1, gain): a row goes left
+    if its feature is at most the threshold or, for a categorical feature, one of the
+    categories that go left.  Leaves have no feature.  n0 and n1 count the training rows of
+    either class that reach the node; ``gain`` is what the split takes off Gini impurity.
+    """
+    tree = model.stages[-1].stages[-1]
+    spark = SparkSession.active()
+    path = fresh_path(spark, "tree")
+    tree.write().save(path)
+    cut = "split.leftCategoriesOrThreshold"
+    number = "split.numCategories"
+    return spark.read.parquet(f"{path}/data").selectExpr(
+        "id",
+        "if(leftChild >= 0, split.featureIndex, null) AS feature",
+        f"if(leftChild >= 0 and {number} < 0, {cut}[0], null) AS threshold",
+        f"if(leftChild >= 0 and {number} >= 0, {cut}, null) AS categories",
+        "if(leftChild >= 0, leftChild, null) AS left_id",
+        "if(leftChild >= 0, rightChild, null) AS right_id",
+        "bigint(impurityStats[0]) AS n0",
+        "bigint(impurityStats[1]) AS n1",
+        "if(leftChild >= 0, gain, null) AS gain",
+    )
+
+
+def paths(model: PipelineModel, rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., label, id): every node that each of ``rows`` passes, root to leaf.
+
+    Rows go down level by level, joined with the nodes, which are few next to them.
+    """
+    indexed = rows
+    for stage in [model.stages[0], *model.stages[-1].stages[:-1]]:
+        indexed = stage.transform(indexed)
+    level = stored(
+        indexed.select(
+            *keys, "label", vector_to_array("indexed_features").alias("x"), F.lit(0).alias("id")
+        ),
+        "level",
+    )
+    passed = level.select(*keys, "label", "id")
+    inner = nodes.where("feature is not null").select(
+        "id", "feature", "threshold", "categories", "left_id", "right_id"
+    )
+    while True:
+        value = F.expr("x[feature]")
+        left = F.when(F.col("categories").isNull(), value <= F.col("threshold")).otherwise(
+            F.array_contains("categories", value)
+        )
+        below = level.join(inner, "id").select(
+            *keys, "label", "x", F.when(left, F.col("left_id")).otherwise(F.col("right_id")).alias("id")
+        )
+        level = stored(below, "level")
+        if level.isEmpty():
+            return passed
+        passed = passed.union(level.select(*keys, "label", "id"))
+
+
+def recounted(nodes: DataFrame, passed: DataFrame) -> DataFrame:
+    """``nodes`` with (m0, m1, own_gain) counted anew from the ``paths`` of the training rows."""
+    counts = passed.groupBy("id").agg(
+        F.sum(F.expr("int(label = 0)")).alias("m0"), F.sum(F.expr("int(label = 1)")).alias("m1")
+    )
+    gini = lambda a, b: f"(1 - pow({a} / ({a} + {b}), 2) - pow({b} / ({a} + {b}), 2))"
+    side = lambda s: counts.selectExpr(f"id AS {s}_id", f"m0 AS {s}0", f"m1 AS {s}1")
+    gain = f"""{gini('m0', 'm1')} - ((left0 + left1) * {gini('left0', 'left1')}
+        + (right0 + right1) * {gini('right0', 'right1')}) / (m0 + m1) AS own_gain"""
+    joined = nodes.join(counts, "id", "left")
+    joined = joined.join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
+    return joined.selectExpr(*nodes.columns, "m0", "m1", gain)
+
+
 def merge_scores(labeled: DataFrame, *scores: DataFrame) -> DataFrame:
     """Join scores that were stored apart to the labels by pair."""
     for score in scores:

@@ -570,17 +570,28 @@ def tree_scores(spark, sf_dir):
     wide = _wide(spark, sf_dir)
     base, scored = _base_split(wide), wide
     for name in ("type", "user"):
-        model = models.fit(
-            base, feat.FEATURE_SETS[name], models.decision_tree(), SETTINGS.max_fit_rows
-        )
+        model = models.fit(base, feat.FEATURE_SETS[name], models.decision_tree())
         scored = models.add_score(model, scored, f"p_{name}")
     return scored.select(*PAIR_KEY, "label", "p_type", "p_user")
 
 
+@query
+def tree_audit(spark, sf_dir):
+    """Every node of both trees next to counts and gains from the rows that reach it."""
+    base = stored(_base_split(_wide(spark, sf_dir)), "base_split")
+    rows = []
+    for name in ("type", "user"):
+        model = models.fit(base, feat.FEATURE_SETS[name], models.decision_tree())
+        nodes = models.tree_nodes(model)
+        told = models.recounted(nodes, models.paths(model, base, nodes, PAIR_KEY))
+        rows.append(told.drop("categories").withColumn("tree", F.lit(name)))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def stacked_scores(spark, sf_dir):
     wide = _wide(spark, sf_dir)
-    model = models.fit_stacked(labels.train_pairs(wide), max_rows=SETTINGS.max_fit_rows)
+    model = models.fit_stacked(labels.train_pairs(wide))
     held = labels.train_pairs(wide).where(F.col("split") == labels.VALIDATION)
     return model.transform(held).select(*PAIR_KEY, "label", *models.STACKED_SCORES, models.STACKED)
 
@@ -588,7 +599,7 @@ def stacked_scores(spark, sf_dir):
 @query
 def validation_report(spark, sf_dir):
     wide = _wide(spark, sf_dir)
-    model = models.fit_stacked(labels.train_pairs(wide), max_rows=SETTINGS.max_fit_rows)
+    model = models.fit_stacked(labels.train_pairs(wide))
     return run.validate(model, wide)
 
 

@@ -23,7 +23,7 @@ from linkrec.operators.labels import (
     with_split,
     without_friends,
 )
-from linkrec.operators.models import STACKED, StackedModel, fit_stacked
+from linkrec.operators.models import MAX_LEAVES, STACKED, StackedModel, fit_stacked
 from linkrec.operators.recommend import TOP_K, both_directions, for_holdout, top_k
 from linkrec.storage import kept, stored
 
@@ -37,8 +37,8 @@ class Settings:
     count_close_family: bool = True
     reference_ms: int = REFERENCE_MS
     k: int = TOP_K
-    # Most labelled pairs that each model is fitted on; None takes all.
-    max_fit_rows: int | None = 2_000_000
+    # Leaves of a tree at most, as it lives on the driver; None sets no bound.
+    max_leaves: int | None = MAX_LEAVES
     # Bins of the F curve in validation; 0 keeps every distinct score.
     num_bins: int = 0
     # Where members and pairs are kept for later runs; None keeps neither.
@@ -47,9 +47,7 @@ class Settings:
 
 # Settings that repeat the known quirks: close family is not counted, and
 # account ages are counted to the far date.
-PARITY = Settings(
-    count_close_family=False, reference_ms=REFERENCE_MS_PARITY, max_fit_rows=None, num_bins=100
-)
+PARITY = Settings(count_close_family=False, reference_ms=REFERENCE_MS_PARITY, num_bins=100)
 
 
 def _fingerprint(edges: DataFrame, *settings: object) -> str:
@@ -131,7 +129,7 @@ def recommend(
     """
     s = settings or Settings()
     wide = wide_pairs(stored(edges, "edges"), profiles, s)
-    model = fit_stacked(train_pairs(wide), strategy, s.max_fit_rows)
+    model = fit_stacked(train_pairs(wide), strategy, s.max_leaves)
     report = validate(model, wide, s.num_bins).first()
     if report is None:
         raise ValueError("no validation pairs to choose a threshold from")

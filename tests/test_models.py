@@ -1,7 +1,9 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from linkrec.functions.ids import HOLDOUT_MODULUS, HOLDOUT_REMAINDER
@@ -122,10 +124,46 @@ def test_kept_tables_are_never_stale(edges, tmp_path, change):
         assert sorted(map(tuple, again.collect())) == sorted(map(tuple, fresh.collect()))
 
 
-def test_rows_to_fit_are_bounded(wide):
-    some = models.bounded_rows(wide, 100)
-    assert 0 < some.count() < 160 < wide.count()
-    assert sorted(some.collect()) == sorted(models.bounded_rows(wide, 100).collect())
+def test_a_leaf_budget_bounds_the_tree_on_all_rows(wide):
+    base = stored(wide.where(F.col("split") == labels.BASE), "base")
+    columns = features.PROFILE_FEATURES
+    assembler = VectorAssembler(inputCols=columns, outputCol="features")
+    rows = models.with_label_values(base.select("label", *columns))
+    plain = Pipeline(stages=[assembler, models.decision_tree()]).fit(rows)
+    shape = lambda m: m.stages[-1].stages[-1].toDebugString.split("\n", 1)[1]
+    # Where the budget does not bind it is the tree that Spark grows by itself.
+    assert shape(models.fit(base, columns, models.decision_tree())) == shape(plain)
+    leaves = (plain.stages[-1].stages[-1].numNodes + 1) // 2
+    for budget in (1, 4, leaves // 2):
+        small = models.fit(base, columns, models.decision_tree(), budget)
+        tree = small.stages[-1].stages[-1]
+        assert 1 <= (tree.numNodes + 1) // 2 <= budget
+        root = models.tree_nodes(small).where("id = 0").first()
+        assert root.n0 + root.n1 == base.count()
+    free = models.fit(base, columns, models.decision_tree(), None)
+    assert shape(free) == shape(plain)
+
+
+@pytest.mark.parametrize("name", ["type", "user"])
+def test_nodes_and_gains_are_those_of_the_rows(wide, name):
+    base = stored(wide.where(F.col("split") == labels.BASE), "base")
+    model = models.fit(base, features.FEATURE_SETS[name], models.decision_tree())
+    nodes = models.tree_nodes(model)
+    passed = stored(models.paths(model, base, nodes, ["user1", "user2"]), "paths")
+    told = models.recounted(nodes, passed).collect()
+    assert len(told) == model.stages[-1].stages[-1].numNodes > 1
+    for r in told:
+        assert (r.n0, r.n1) == (r.m0, r.m1)
+        if r.left_id is None:
+            assert r.own_gain is None and r.n0 + r.n1 >= 50
+        else:
+            assert r.own_gain == pytest.approx(r.gain, abs=1e-9)
+    # A row's leaf gives its score.
+    leaves = nodes.where("feature is null").select("id", (F.col("n1") / (F.col("n0") + F.col("n1"))).alias("q"))
+    scored = models.add_score(model, base, "p").join(passed.drop("label"), ["user1", "user2"])
+    scored = scored.join(leaves, "id")
+    assert scored.count() == base.count()
+    assert scored.where("abs(p - q) > 1e-12").count() == 0
 
 
 def test_suggestions_keep_the_rules(spark, edges, wide, stacked):

@@ -9,7 +9,7 @@ from linkrec.plans.catalog import QUERIES
 from linkrec.plans.oracles import ORACLES
 
 DIR = "/root/testdata/sf0.001"
-NO_SQL = {"tree_scores", "stacked_scores", "validation_report", "recommend_end_to_end"}
+NO_SQL = {"tree_audit", "tree_scores", "stacked_scores", "validation_report", "recommend_end_to_end"}
 
 
 @pytest.fixture(scope="module")
