@@ -48,10 +48,11 @@ def logistic_regression(**changed) -> Estimator:
     return LogisticRegression(**{**LOGISTIC, **changed})
 
 
-def decision_tree() -> Estimator:
+def decision_tree(min_leaf_share: float = 0.0) -> Estimator:
     """Index features of few values as categories, then grow a tree.
 
-    The tree lives on the driver; ``fit`` bounds its number of leaves.
+    The tree lives on the driver; ``fit`` bounds its number of leaves, and so does
+    ``min_leaf_share`` (say 1e-5), the least share of all rows in a leaf.
     """
     indexer = VectorIndexer(
         inputCol="features",
@@ -60,7 +61,10 @@ def decision_tree() -> Estimator:
         handleInvalid="keep",
     )
     tree = DecisionTreeClassifier(
-        featuresCol="indexed_features", **TREE, **TREE_GROWTH
+        featuresCol="indexed_features",
+        minWeightFractionPerNode=min_leaf_share,
+        **TREE,
+        **TREE_GROWTH,
     )
     return Pipeline(stages=[indexer, tree])
 
