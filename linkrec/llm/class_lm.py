@@ -161,13 +161,27 @@ def _joined(told) -> bytes:
 TOLD = "block long, bucket int, data binary, v long, n long"
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, led by that width."""
+    top = int(counts.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _counts(told) -> np.ndarray:
+    """What ``packed_counts`` of the buckets tell, in the order of the block's words."""
+    parts = [x["data"] for x in sorted(told, key=lambda x: x["bucket"])]
+    each = [np.frombuffer(p, f"<u{p[0]}", offset=1).astype(np.int64) for p in parts]
+    return np.concatenate(each)
+
+
 def _by_block(told: DataFrame, name: str) -> DataFrame:
     kept = told.where("block is not null").groupBy("block")
     return kept.agg(F.collect_list(F.struct("bucket", "data")).alias(name))
 
 
 def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
-    """TOLD rows: the count of each word of a block in all that teaches, as u32.
+    """TOLD rows: the count of each word of a block in all that teaches, packed.
 
     A row without a block has the number of distinct words (v) and of tokens (n).
     """
@@ -195,7 +209,7 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
         out, at = [], 0
         for part in raw:
             end = at + len(part) // 8
-            out.append(np.minimum(total[at:end], (1 << 32) - 1).astype("<u4").tobytes())
+            out.append(packed_counts(total[at:end]))
             at = end
         rows = table.num_rows
         return pa.table(
@@ -379,7 +393,7 @@ def _scores(blocks: DataFrame, matrix: np.ndarray, v: int, n: int, weight: float
     def rows(given):
         for d in given:
             view = BlockView(d)
-            count = np.frombuffer(_joined(d["seen"]), "<u4").astype(np.float64)[view.tokens]
+            count = _counts(d["seen"]).astype(np.float64)[view.tokens]
             own = view.classes(d["told"]).astype(np.int64)[view.tokens]
             base = (count + 0.5) / below
             known = count > 0
