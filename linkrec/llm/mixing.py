@@ -25,6 +25,8 @@ BLOCK = 16
 ROWS_PER_TASK = 50_000
 ALPHA = 0.7
 PARTS = 1000
+# The schedule is worked out by the driver, which is fit for this many sources.
+MAX_SOURCES = 100_000
 
 
 def tempered_weights(
@@ -95,6 +97,7 @@ def mix(
     alpha: float = ALPHA,
     parts: int = PARTS,
     rows_per_task: int = ROWS_PER_TASK,
+    max_sources: int = MAX_SOURCES,
 ) -> DataFrame:
     """(doc_id, source, place, slot, in_mix), a row per row of ``df``.
 
@@ -108,8 +111,10 @@ def mix(
     ``weights`` are positive whole numbers; without them, shares go with
     count ** ``alpha``.  Sources not named in ``weights`` are not scheduled: slot is null,
     in_mix false.  A null source is the source ''.  Rows of a null key are ordered by
-    their place in the input; repeated rows are ordered one after the other.  Sources and
-    their counts are held by the driver; all else is spread by source and hash.
+    their place in the input; repeated rows are ordered one after the other.  Sources,
+    their counts and one period of slots are held by the driver and sent to all tasks, so
+    more than ``max_sources`` of them, or weights that sum up to more than twice that, are
+    refused; all else is spread by source and hash.
     """
     keyed = stored(
         df.select(
@@ -119,14 +124,18 @@ def mix(
         .withColumn("order", F.xxhash64(F.coalesce(F.col("doc_id"), F.col("row_no")))),
         "keys",
     )
-    counts = {r["source"]: r["n"] for r in keyed.groupBy("source").agg(
-        F.count("*").alias("n")
-    ).collect()}
+    found = keyed.groupBy("source").agg(F.count("*").alias("n")).limit(max_sources + 1)
+    counts = {r["source"]: r["n"] for r in found.collect()}
+    if len(counts) > max_sources:
+        raise ValueError(f"more than {max_sources} sources: group them before mixing")
     if weights is None:
         weights = tempered_weights(counts, alpha, parts) if counts else {}
     if any(w < 1 or w != int(w) for w in weights.values()):
         raise ValueError("weights are positive whole numbers")
-    slots, period = pfair_period(weights), sum(weights.values())
+    period = sum(weights.values())
+    if period > 2 * max(max_sources, PARTS):
+        raise ValueError("the weights sum up to more slots than the driver is to hold")
+    slots = pfair_period(weights)
     ends = []
     for s, own in slots.items():
         turn, at = divmod(-(-counts.get(s, 0) // block), weights[s])
@@ -140,7 +149,7 @@ def mix(
     number = F.floor(F.col("place") / block)
     turn, at = F.floor(number / F.col("weight")), F.pmod(number, F.col("weight")).cast("int")
     slot = turn * period + F.get("slots", at)
-    # The table holds ``period`` slots, which the weights bound.
+    # The table holds ``period`` slots, which is bounded above.
     return (
         ranked.join(F.broadcast(table), "source", "left")
         .withColumn("slot", slot.cast("long"))
