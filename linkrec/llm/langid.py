@@ -33,35 +33,56 @@ def letters(text: str) -> bytes:
 
 def fit_dictionaries(
     df: DataFrame,
-    doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
     docs_per_language: int = 400,
-    piece: int = 400,
     dictionary_bytes: int = 65_536,
     max_languages: int = 256,
 ) -> dict[str, bytes]:
     """Raw-content dictionaries from a bounded sample of labelled rows.
 
-    The sample is bounded by the parameters: of the ``max_languages`` most frequent
-    labels, the ``docs_per_language`` rows with the smallest hash of their key give up to
-    ``piece`` letters each.  Rows without text or label teach nothing.
+    Of the ``max_languages`` most frequent labels, the ``docs_per_language`` texts with the
+    smallest hash each give a piece from a place among their letters that the hash chooses.
+    Pieces are an even share of ``dictionary_bytes``, so that every sampled text teaches; a
+    shorter text gives all its letters.  Equal texts of a label teach once.  Rows without
+    label, or without a letter anywhere in their text, teach nothing.
     """
-    rows = df.where(named(text).isNotNull() & named(lang).isNotNull()).select(
-        named(lang).alias("lang"),
-        F.xxhash64(named(doc_id)).alias("order"),
-        F.substring(named(text), 1, 2 * piece).alias("piece"),
+    rows = df.where(named(text).rlike(r"\p{L}") & named(lang).isNotNull()).select(
+        named(lang).cast("string").alias("lang"),
+        named(text).alias("text"),
+        F.xxhash64(named(text)).alias("order"),
+    )
+    counts = rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("order").alias("different")
+    )
+    learned = counts.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    # Twice the texts wanted pass this, so that no group is much larger than the sample.
+    shares = df.sparkSession.createDataFrame(
+        [(r["lang"], 2.0 * docs_per_language / max(1, r["different"])) for r in learned],
+        "lang string, share double",
+    )
+    low = F.col("order") / F.lit(2.0**64) + 0.5 <= F.col("share")
+    few = rows.join(F.broadcast(shares), "lang").where(low).drop("share")  # max_languages rows
+    clean = F.trim(F.regexp_replace(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+", " "))
+    # Bytes are cut on the driver; no piece has more letters than bytes.
+    room = F.floor(F.lit(dictionary_bytes) / F.least(F.lit(docs_per_language), "n"))
+    spare = F.greatest(F.lit(0), F.length("clean") - F.col("room"))
+    start = F.pmod(F.xxhash64("order"), spare + 1) + 1
+    own = Window.partitionBy("lang")
+    sample = (
+        few.dropDuplicates(["lang", "order"])
+        .withColumn("place", F.row_number().over(own.orderBy("order")))
+        .withColumn("n", F.count("*").over(own))
+        .where(F.col("place") <= docs_per_language)
+        .select("lang", "place", "order", clean.alias("clean"), room.cast("int").alias("room"))
+        .withColumn("piece", F.substr("clean", start.cast("int"), F.col("room")))
+        .drop("clean", "order")
     )
-    rows = rows.where(F.col("piece").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    learned = [r["lang"] for r in counts.collect()]
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "piece"))
-    sample = rows.withColumn("place", place).where(F.col("place") <= docs_per_language)
-    parts: dict[str, list[bytes]] = {k: [] for k in learned}
+    parts: dict[str, list[bytes]] = {r["lang"]: [] for r in learned}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"])):
-        if r["lang"] in parts:
-            parts[r["lang"]].append(letters(r["piece"])[:piece])
-    return {k: b" ".join(v)[:dictionary_bytes] for k, v in sorted(parts.items())}
+        cut = letters(r["piece"])[: max(1, r["room"] - 1)]  # and a space between pieces
+        parts[r["lang"]].append(cut.decode(errors="ignore").encode())
+    return {k: b" ".join(v) for k, v in sorted(parts.items())}
 
 
 class Classifier:
