@@ -147,19 +147,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _TOP = """
 WITH x AS (
-  SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) AS v
+  SELECT vec_id, row_number() OVER () AS row_no,
+    list_transform(embedding, lambda c: floor(1024 * c::double)::hugeint) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint AS score
-  FROM x q JOIN x c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+  SELECT q.vec_id AS query_id, q.row_no, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS score
+  FROM x q JOIN x c ON q.vec_id % 100 = 0 AND c.row_no <> q.row_no AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id)::int AS rank
   FROM s
 )
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+SELECT query_id, rank, vec_id, score::bigint AS score FROM r WHERE rank <= 10
 """
 
 _EXACT = r"""
