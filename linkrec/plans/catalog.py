@@ -606,3 +606,13 @@ def validation_report(spark, sf_dir):
 @query
 def recommend_end_to_end(spark, sf_dir):
     return run.recommend(fx.edges(spark, sf_dir), fx.all_profiles(spark, sf_dir), SETTINGS)
+
+
+@query
+def recommend_text_to_text(spark, sf_dir):
+    """The whole run on lines in files; the lines that it writes, read back."""
+    lists, profiles, lines = (fresh_path(spark, n) for n in ("lists", "profiles", "lines"))
+    fx.adjacency_text(spark, sf_dir).write.text(lists)
+    fx.profile_text(spark, sf_dir).write.text(profiles)
+    run.recommend_text(spark, lists, profiles, lines, SETTINGS)
+    return spark.read.text(lines).select(F.col("value").alias("line"))

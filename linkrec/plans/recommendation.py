@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from hashlib import sha256
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkrec.functions.profiles import REFERENCE_MS, REFERENCE_MS_PARITY
 from linkrec.operators.candidates import HUB_DEGREE, MIN_SCORE, pair_scores
-from linkrec.operators.evaluate import auc_roc, best_threshold, fbeta_curve
+from linkrec.operators.evaluate import BETA, auc_roc, best_threshold, fbeta_curve
 from linkrec.operators.features import with_features
-from linkrec.operators.graph import group_members
+from linkrec.operators.graph import MIN_DEGREE, MIN_FRIENDS, flatten, group_members
 from linkrec.operators.labels import (
+    SPLIT_SEED,
+    SPLIT_WEIGHTS,
     VALIDATION,
     label_pairs,
     test_pairs,
@@ -24,12 +26,22 @@ from linkrec.operators.labels import (
     without_friends,
 )
 from linkrec.operators.models import MAX_LEAVES, STACKED, StackedModel, fit_stacked
-from linkrec.operators.recommend import TOP_K, both_directions, for_holdout, top_k
-from linkrec.storage import kept, stored
+from linkrec.operators.recommend import (
+    TOP_K,
+    both_directions,
+    for_holdout,
+    suggestion_lists,
+    top_k,
+)
+from linkrec.sources import text
+from linkrec.storage import kept, stored, temporary_tables
 
 
 @dataclass
 class Settings:
+    # Owners who list fewer people, and people listed by fewer owners, make no pairs.
+    min_friends: int = MIN_FRIENDS
+    min_degree: int = MIN_DEGREE
     min_score: float = MIN_SCORE
     weight: str = "flat"
     hub_degree: int = HUB_DEGREE
@@ -39,6 +51,11 @@ class Settings:
     k: int = TOP_K
     # Leaves of a tree at most, as it lives on the driver; None sets no bound.
     max_leaves: int | None = MAX_LEAVES
+    # Shares of the base models, the stacked model and validation, and the seed of the split.
+    split_weights: list[float] = field(default_factory=lambda: list(SPLIT_WEIGHTS))
+    split_seed: int = SPLIT_SEED
+    # Recall counts beta times as much as precision where the threshold is chosen.
+    beta: float = BETA
     # Bins of the F curve in validation; 0 keeps every distinct score.
     num_bins: int = 0
     # Where members and pairs are kept for later runs; None keeps neither.
@@ -67,13 +84,15 @@ def candidate_pairs(edges: DataFrame, settings: Settings | None = None) -> DataF
     spark = edges.sparkSession
     of_members = of_pairs = ""
     if s.folder is not None:
-        of_members = "-" + _fingerprint(edges, s.inversion)
+        of_members = "-" + _fingerprint(edges, s.inversion, s.min_friends, s.min_degree)
         of_pairs = f"{of_members}-" + sha256(
             repr((s.min_score, s.weight, s.count_close_family)).encode()
         ).hexdigest()[:16]
 
     def build_members() -> DataFrame:
-        return group_members(edges, inversion=s.inversion, n_edges=edges.count())
+        return group_members(
+            edges, s.min_friends, s.min_degree, inversion=s.inversion, n_edges=edges.count()
+        )
 
     def build_pairs() -> DataFrame:
         scored = pair_scores(
@@ -94,16 +113,17 @@ def wide_pairs(
     """Labelled pairs with all features and their split, as a stored table."""
     s = settings or Settings()
     labeled = stored(label_pairs(candidate_pairs(edges, s), edges), "labeled_pairs")
-    return stored(with_split(with_features(labeled, profiles, s.reference_ms)), "wide_pairs")
+    wide = with_features(labeled, profiles, s.reference_ms)
+    return stored(with_split(wide, s.split_weights, s.split_seed), "wide_pairs")
 
 
 def validate(
-    model: StackedModel, wide: DataFrame, num_bins: int = 0
+    model: StackedModel, wide: DataFrame, num_bins: int = 0, beta: float = BETA
 ) -> DataFrame:
     """One row (threshold, fbeta, auc) from the validation split."""
     held = train_pairs(wide).where(F.col("split") == VALIDATION)
     scored = stored(model.transform(held).select("label", STACKED), "validation")
-    best = best_threshold(fbeta_curve(scored, STACKED, num_bins=num_bins))
+    best = best_threshold(fbeta_curve(scored, STACKED, beta, num_bins))
     return best.withColumn("auc", auc_roc(scored, STACKED).scalar())
 
 
@@ -130,7 +150,31 @@ def recommend(
     s = settings or Settings()
     wide = wide_pairs(stored(edges, "edges"), profiles, s)
     model = fit_stacked(train_pairs(wide), strategy, s.max_leaves)
-    report = validate(model, wide, s.num_bins).first()
+    report = validate(model, wide, s.num_bins, s.beta).first()
     if report is None:
         raise ValueError("no validation pairs to choose a threshold from")
     return suggest(model, wide, report["threshold"], s.k)
+
+
+def recommend_text(
+    spark: SparkSession,
+    adjacency: str,
+    profiles: str,
+    target: str,
+    settings: Settings | None = None,
+    strategy: dict[str, Callable[[], Estimator]] | None = None,
+    on_bad: str = "fail",
+) -> None:
+    """From folders of friend lists and of profiles to a new folder of gzip lines.
+
+    Each line has a held-out user and the friends suggested, best first, joined by tabs;
+    users without suggestions have none.  The last line of a profile counts.  ``on_bad``
+    says what becomes of lines that do not parse.  What is stored on the way is removed at
+    the end, after a failure as well, but for tables in ``settings.folder``.
+    """
+    with temporary_tables(spark):
+        edges = flatten(text.read_adjacency(spark, adjacency, on_bad))
+        known = text.read_profiles(spark, profiles, on_bad)
+        latest = text.latest_profiles(known, "line_order")
+        ranked = recommend(edges, latest, settings, strategy)
+        text.write_recommendations(suggestion_lists(ranked), target)
