@@ -540,6 +540,25 @@ def auc_roc(spark, sf_dir):
     return auc.select(F.round("auc", 6).alias("auc"))
 
 
+def _per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with ``mean``, a score of all decimals: the score over the kinds of relation."""
+    counted = feat.with_relation_counts(_labeled(spark, sf_dir))
+    kinds = " + ".join(feat.RELATION_FEATURES)
+    return stored(counted.selectExpr("label", f"score / (1 + {kinds}) AS mean"), "per_kind")
+
+
+@query
+def fbeta_curve_exact(spark, sf_dir):
+    """The curve over scores that differ in any decimal."""
+    return _rounded(ev.fbeta_curve(_per_kind(spark, sf_dir), "mean", digits=None))
+
+
+@query
+def auc_exact(spark, sf_dir):
+    auc = ev.auc_roc(_per_kind(spark, sf_dir), "mean", digits=None)
+    return auc.select(F.round("auc", 9).alias("auc"))
+
+
 # -- models ----------------------------------------------------------------
 
 

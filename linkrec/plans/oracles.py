@@ -216,15 +216,22 @@ def _curve(beta: float) -> str:
     FROM totals"""
 
 
-TOTALS = f"""{LABELED},
-totals AS (
-  SELECT score AS threshold,
+def _totals(source: str, score: str) -> str:
+    return f"""totals AS (
+  SELECT {score} AS threshold,
     cast(sum(sum(label)) OVER down AS BIGINT) AS tp,
     cast(sum(sum(1 - label)) OVER down AS BIGINT) AS fp,
     cast(sum(label) AS BIGINT) AS own_tp, cast(sum(1 - label) AS BIGINT) AS own_fp,
     sum(sum(label)) OVER () AS p, sum(sum(1 - label)) OVER () AS q,
     row_number() OVER down AS n, count(*) OVER () AS n_all
-  FROM labeled GROUP BY score WINDOW down AS (ORDER BY score DESC))"""
+  FROM {source} GROUP BY {score} WINDOW down AS (ORDER BY {score} DESC))"""
+
+
+TOTALS = f"{LABELED},\n{_totals('labeled', 'score')}"
+_KINDS = _RELATION_FEATURES.replace(", ", " + ")
+EXACT_TOTALS = f"""{LABELED},
+per_kind AS (SELECT label, score / (1 + {_KINDS}) AS mean FROM labeled),
+{_totals("per_kind", "mean")}"""
 _POINT = """threshold, tp, fp, round("precision", 6) AS "precision", round(recall, 6) AS recall,
   round(fbeta, 6) AS fbeta"""
 
@@ -478,6 +485,14 @@ ORACLES: dict[str, str] = {
         """SELECT round(sum(own_fp * (tp - own_tp + tp) / 2.0) / any_value(p * q), 6) AS auc
         FROM totals""",
     ),
+    "fbeta_curve_exact": _with(
+        f"{EXACT_TOTALS}, curve AS ({_curve(2.0)})", f"SELECT {_POINT} FROM curve"
+    ),
+    "auc_exact": _with(
+        EXACT_TOTALS,
+        """SELECT round(sum(own_fp * (tp - own_tp + tp) / 2.0) / any_value(p * q), 9) AS auc
+        FROM totals""",
+    ),
     "lr_scores": _with(
         _FITTED,
         """SELECT user1, user2, label, score, round(1 / (1 + exp(-w * score)), 6) AS p_aa

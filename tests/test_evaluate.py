@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -28,7 +29,7 @@ def brute_curve(rows, beta):
 
 @pytest.mark.parametrize("beta", [2.0, 0.5])
 def test_curve_equals_brute_force(spark, monkeypatch, beta):
-    monkeypatch.setattr(ev, "BIN_SIZE", 50_000)  # some 60 bins
+    monkeypatch.setattr(ev, "BIN_SIZE", 5)  # some 50 bins
     rows, df = scored(spark)
     want = brute_curve(rows, beta)
     got = {r["threshold"]: tuple(r)[1:] for r in ev.fbeta_curve(df, "p", beta).collect()}
@@ -67,3 +68,39 @@ def test_ties_in_f_take_the_higher_threshold(spark):
     df = spark.createDataFrame([(0.9, 1.0), (0.5, 0.0), (0.4, 0.0)], "p double, label double")
     curve = df.selectExpr("p AS threshold", "1D AS fbeta")
     assert ev.best_threshold(curve).first()["threshold"] == 0.9
+
+
+@pytest.mark.parametrize("top", [1e-9, 1e12])
+def test_scores_that_differ_in_any_decimal(spark, monkeypatch, top):
+    monkeypatch.setattr(ev, "BIN_SIZE", 20)
+    rows, df = scored(spark, 400, top, digits=30)
+    rows += [(-top, 1.0), (0.0, 0.0), (rows[0][0], 1.0)]
+    df = spark.createDataFrame(rows, "p double, label double")
+    curve = ev.fbeta_curve(df, "p", digits=None).collect()
+    want = brute_curve(rows, 2.0)
+    assert {r["threshold"]: tuple(r)[1:3] for r in curve} == {t: w[:2] for t, w in want.items()}
+    ones = [p for p, label in rows if label]
+    zeros = [p for p, label in rows if not label]
+    wins = sum((a > b) + (a == b) / 2 for a in ones for b in zeros)
+    got = ev.auc_roc(df, "p", digits=None).first()["auc"]
+    assert got == pytest.approx(wins / len(ones) / len(zeros), abs=1e-12)
+
+
+def test_bins_hold_about_as_many_scores_each(spark, monkeypatch):
+    monkeypatch.setattr(ev, "BIN_SIZE", 100)
+    rows = [(math.exp(random.Random(i).gauss(0, 9)), 1.0) for i in range(2000)]
+    counts = ev.score_counts(spark.createDataFrame(rows, "p double, label double"), "p", None)
+    sizes = [r["count"] for r in ev.in_ranges(counts).groupBy("bin").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 160
+    monkeypatch.setattr(ev, "MAX_BINS", 4)
+    assert ev.in_ranges(counts).select("bin").distinct().count() == 4
+
+
+def test_scores_that_are_missing_or_no_number(spark, monkeypatch):
+    monkeypatch.setattr(ev, "BIN_SIZE", 2)
+    nan = float("nan")
+    rows = [(None, 1.0), (nan, 0.0), (nan, 1.0), (0.5, 1.0), (0.25, 0.0), (0.125, 1.0), (0.0, 0.0)]
+    df = spark.createDataFrame(rows, "p double, label double")
+    got = ev.fbeta_curve(df, "p", digits=None).orderBy(F.desc("threshold")).collect()
+    assert [(r["tp"], r["fp"]) for r in got] == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3)]
+    assert ev.fbeta_curve(df.limit(0), "p").count() == 0

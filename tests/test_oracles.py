@@ -9,7 +9,14 @@ from linkrec.plans.catalog import QUERIES
 from linkrec.plans.oracles import ORACLES
 
 DIR = "/root/testdata/sf0.001"
-NO_SQL = {"tree_audit", "tree_scores", "stacked_scores", "validation_report", "recommend_end_to_end"}
+NO_SQL = {
+    "tree_audit",
+    "tree_scores",
+    "stacked_scores",
+    "validation_report",
+    "recommend_end_to_end",
+    "recommend_text_to_text",
+}
 
 
 @pytest.fixture(scope="module")
