@@ -82,9 +82,9 @@ def adjacency_parse(spark, sf_dir):
     return graph.flatten(text.parse_adjacency(fx.adjacency_text(spark, sf_dir)))
 
 
-@query
-def adjacency_rejects(spark, sf_dir):
-    lines = fx.table(spark, sf_dir, "customer").select(
+def _mixed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line per customer, four kinds of which are no lists."""
+    return fx.table(spark, sf_dir, "customer").select(
         F.expr(
             """CASE c_custkey % 7
                  WHEN 0 THEN concat(c_custkey, '\t{}')
@@ -94,7 +94,28 @@ def adjacency_rejects(spark, sf_dir):
                  ELSE concat(c_custkey, '\t{(', c_custkey + 1, ',16),(7,3)}') END"""
         ).alias("value")
     )
-    return text.rejected_adjacency(lines)
+
+
+@query
+def adjacency_rejects(spark, sf_dir):
+    return text.rejected_adjacency(_mixed_lists(spark, sf_dir))
+
+
+@query
+def adjacency_sorted(spark, sf_dir):
+    """Whole and other lines of one pass: how many, and what is in them."""
+    lists, rejected = text.sorted_adjacency(_mixed_lists(spark, sf_dir))
+    sums = lists.select("user_id", F.explode("friends").alias("f")).agg(
+        F.lit("whole").alias("kind"),
+        F.count_distinct("user_id").alias("n_lines"),
+        F.sum("f.friend_id").alias("total"),
+    )
+    lengths = rejected.agg(
+        F.lit("rejected").alias("kind"),
+        F.count("*").alias("n_lines"),
+        F.sum(F.length("value").cast("bigint")).alias("total"),
+    )
+    return sums.union(lengths)
 
 
 @query

@@ -281,6 +281,12 @@ ORACLES: dict[str, str] = {
         WHEN 2 THEN 'u' || c_custkey || chr(9) || '{(5,16)}'
         ELSE c_custkey || '' END AS value
       FROM customer WHERE c_custkey % 7 < 4""",
+    "adjacency_sorted": """SELECT if(c_custkey % 7 < 4, 'rejected', 'whole') AS kind,
+        count(*) AS n_lines,
+        cast(sum(CASE c_custkey % 7 WHEN 0 THEN length(c_custkey || '') + 3
+          WHEN 1 THEN length(c_custkey || '') + 8 WHEN 2 THEN length(c_custkey || '') + 10
+          WHEN 3 THEN length(c_custkey || '') ELSE c_custkey + 8 END) AS BIGINT) AS total
+      FROM customer GROUP BY kind""",
     "profile_parse": _with(ALL_PROFILES, "SELECT * FROM all_profiles"),
     "profile_rejects": """SELECT CASE c_custkey % 5
         WHEN 0 THEN chr(9) || c_custkey || chr(9) || '9'

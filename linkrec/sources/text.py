@@ -2,7 +2,10 @@
 
 A line that does not parse stops the job.  With ``on_bad="skip"`` such lines are left
 out instead; an ``Observation`` counts them in the same pass, and ``rejected_*`` returns
-them.
+them.  ``sorted_*`` reads and parses once and writes both kinds side by side.
+
+In a session in which an ``Observation`` has been used, Spark 4.1 cannot fit trees any more
+("Task not serializable: ObservationManager"); ``sorted_*`` needs none.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from linkrec.functions.relations import normalize
 from linkrec.schemas import PROFILES
+from linkrec.storage import fresh_path, write_once
 
 # Fixed value: a list entry ends and the next begins with this pattern.
 ENTRY_BREAK = r"\),\("
@@ -35,6 +39,27 @@ def _whole_lines(parsed: DataFrame, on_bad: str, rejects: Observation | None) ->
     return parsed.where("is_whole")
 
 
+def _both_kinds(parsed: DataFrame, path: str | None) -> tuple[DataFrame, DataFrame]:
+    """Write ``parsed`` in one pass, parted by ``is_whole``: its whole rows, and other lines.
+
+    Whole rows leave their line out, other lines their fields.  A table that a run has
+    finished at ``path`` is read as it is.
+    """
+    spark = parsed.sparkSession
+    whole = F.col("is_whole")
+    fields = [c for c in parsed.columns if c not in ("value", "is_whole")]
+    kinds = parsed.select(
+        *[F.when(whole, F.col(c)).alias(c) for c in fields],
+        F.when(~whole, F.col("value")).alias("value"),
+        "is_whole",
+    )
+    if path is None:
+        path = fresh_path(spark, "lines")
+    write_once(kinds, path, ["is_whole"])
+    back = spark.read.schema(kinds.schema).parquet(path)
+    return back.where("is_whole").select(*fields), back.where("not is_whole").select("value")
+
+
 # -- friend lists ----------------------------------------------------------
 
 
@@ -64,11 +89,21 @@ def parse_adjacency(
 ) -> DataFrame:
     """``user<TAB>{(id,mask),(id,mask)}`` lines to (user_id, friends), with the
     noise bit of every mask cleared."""
+    return _clean_lists(_whole_lines(_parsed_adjacency(lines), on_bad, rejects))
+
+
+def _clean_lists(whole: DataFrame) -> DataFrame:
     clean = f"named_struct('friend_id', f.friend_id, 'mask', {normalize('f.mask')})"
-    whole = _whole_lines(_parsed_adjacency(lines), on_bad, rejects)
     return whole.selectExpr("user_id", f"transform(raw, f -> {clean}) AS friends")
 
 
+def sorted_adjacency(lines: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``parse_adjacency`` makes of whole lines, and ``rejected_adjacency``, from one
+    pass over ``lines``.  Both are stored, at ``path`` or in the shared folder."""
+    whole, rejected = _both_kinds(_parsed_adjacency(lines), path)
+    return _clean_lists(whole), rejected
+
+
 def rejected_adjacency(lines: DataFrame) -> DataFrame:
     """The lines ``parse_adjacency`` cannot read."""
     return _parsed_adjacency(lines).where("not is_whole").select("value")
@@ -92,8 +127,8 @@ def _parsed_profiles(lines: DataFrame) -> DataFrame:
     whole = F.lit(True)
     for f in PROFILES.fields:
         whole = whole & F.col(f.name).isNotNull()
-    has_user = F.ltrim("value").rlike(r"^[^\t]")
-    return lines.select("*", *columns).withColumn("is_whole", whole & has_user)
+    whole = whole & F.ltrim("value").rlike(r"^[^\t]")
+    return lines.select("*", *columns).withColumn("is_whole", F.coalesce(whole, F.lit(False)))
 
 
 def parse_profiles(
@@ -113,15 +148,19 @@ def rejected_profiles(lines: DataFrame) -> DataFrame:
     return _parsed_profiles(lines).where("not is_whole").select("value")
 
 
-def read_profiles(
-    spark: SparkSession, path: str, on_bad: str = "fail", rejects: Observation | None = None
-) -> DataFrame:
-    """Profile lines with ``line_order``, which grows along each file.
+def sorted_profiles(lines: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ``parse_profiles`` makes of whole lines, and ``rejected_profiles``, from one pass
+    over ``lines``.  Both are stored, at ``path`` or in the shared folder."""
+    return _both_kinds(_parsed_profiles(lines), path)
+
+
+def profile_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (``value``) with ``line_order``, which grows along each file.
 
     Blocks of one file may be read by different tasks, so the block's offset
     comes before the running number of the line within its task.
     """
-    lines = spark.read.text(path).select(
+    return spark.read.text(path).select(
         "value",
         F.struct(
             F.col("_metadata.file_path").alias("file"),
@@ -129,7 +168,13 @@ def read_profiles(
             F.monotonically_increasing_id().alias("line"),
         ).alias("line_order"),
     )
-    return parse_profiles(lines, on_bad, rejects)
+
+
+def read_profiles(
+    spark: SparkSession, path: str, on_bad: str = "fail", rejects: Observation | None = None
+) -> DataFrame:
+    """Profiles with the ``line_order`` of ``profile_lines``."""
+    return parse_profiles(profile_lines(spark, path), on_bad, rejects)
 
 
 def latest_profiles(profiles: DataFrame, order: str | list[str]) -> DataFrame:

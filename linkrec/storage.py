@@ -12,8 +12,10 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -110,6 +112,19 @@ def _is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def input_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, length, modificationTime) of the files under ``paths``, without reading them."""
+    listed = spark.read.format("binaryFile").load(list(paths))
+    return listed.select("path", "length", "modificationTime")
+
+
+def input_identity(spark: SparkSession, *paths: str) -> str:
+    """Stands for the files under ``paths``: where they are, how long, and since when."""
+    file = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    told = input_files(spark, *paths).agg(F.count("*"), F.sum("length"), F.sum(file)).first()
+    return sha256(repr((paths, tuple(told))).encode()).hexdigest()[:16]
+
+
 def kept(
     spark: SparkSession, name: str, build: Callable[[], DataFrame], folder: str | None = None
 ) -> DataFrame:

@@ -86,3 +86,62 @@ def test_settings_reach_their_steps(spark, tmp_path):
         chosen[beta] = best.threshold
     assert chosen[0.1] > chosen[8.0]
     edges.unpersist()
+
+
+def lines_of(folder):
+    files = sorted(Path(folder).glob("part-*.txt*"))
+    read = lambda f: (gzip.open if f.suffix == ".gz" else open)(f, "rt").read()
+    return [line for f in files for line in read(f).splitlines()]
+
+
+def test_a_killed_run_goes_on_from_its_last_table(spark, tmp_path, monkeypatch):
+    lists, profiles, whole, out, keep, bad = (
+        str(tmp_path / n) for n in ("lists", "profiles", "whole", "out", "keep", "bad")
+    )
+    noise = spark.createDataFrame([("no list",)], "value string")
+    fixtures.adjacency_text(spark, DIR).union(noise).write.text(lists)
+    fixtures.profile_text(spark, DIR).write.text(profiles)
+    recommendation.recommend_text(spark, lists, profiles, whole, SETTINGS, on_bad="skip")
+    safe = replace(SETTINGS, folder=keep)
+
+    def stop(*_, **__):
+        raise RuntimeError("killed")
+
+    def written():
+        return {p: p.stat().st_mtime_ns for p in Path(keep).rglob("*.parquet") if p.is_file()}
+
+    def go(target, settings=safe):
+        recommendation.recommend_text(
+            spark, lists, profiles, target, settings, on_bad="skip", rejected=bad
+        )
+
+    with monkeypatch.context() as m:
+        m.setattr(recommendation, "pair_scores", stop)
+        with pytest.raises(RuntimeError, match="killed"):
+            go(out)
+    first = written()
+    names = {p.relative_to(keep).parts[0].split("-")[0] for p in first}
+    assert names == {"inputs", "lists", "people", "edges", "profiles", "members"}
+    with monkeypatch.context() as m:
+        m.setattr(recommendation, "group_members", stop)
+        m.setattr(recommendation, "fit_stacked", stop)
+        with pytest.raises(RuntimeError, match="killed"):
+            go(out)
+    second = written()
+    assert first.items() < second.items()  # none is written again
+    with monkeypatch.context() as m:
+        m.setattr(recommendation, "pair_scores", stop)
+        m.setattr(recommendation, "with_features", stop)
+        go(out)
+        assert lines_of(out) == lines_of(whole) and written() == second
+        assert lines_of(f"{bad}/lists") == ["no list"] and lines_of(f"{bad}/profiles") == []
+        # Other settings and other files get tables of their own.
+        with pytest.raises(RuntimeError, match="killed"):
+            go(str(tmp_path / "other"), replace(safe, split_seed=5))
+        with pytest.raises(RuntimeError, match="killed"):
+            go(str(tmp_path / "other"), replace(safe, min_score=2.0))
+        (Path(profiles) / "more.txt").write_text("1\t5\n")
+        with pytest.raises(RuntimeError, match="killed"):
+            go(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="skip"):
+        recommendation.recommend_text(spark, lists, profiles, out, safe, rejected=bad)

@@ -125,3 +125,26 @@ def test_group_store(spark, tmp_path):
     assert sum(lists, []) == list(range(25))
     assert graph.explode_groups(groups).exceptAll(members).count() == 0
     assert graph.explode_groups(groups).count() == 25
+
+
+def test_both_kinds_of_lines_come_from_one_pass(spark, tmp_path):
+    source = tmp_path / "lines"
+    source.write_text("7\t{(8,17),(9,0)}\nx\t{(1,2)}\n\n5\t{(1,4)}\n")
+    lists, rejected = text.sorted_adjacency(spark.read.text(str(source)))
+    source.unlink()  # nothing is read again
+    rows = {r["user_id"]: [tuple(f) for f in r["friends"]] for r in lists.collect()}
+    assert rows == {7: [(8, 16), (9, 0)], 5: [(1, 4)]}
+    assert sorted(r["value"] for r in rejected.collect()) == ["", "x\t{(1,2)}"]
+
+    source.write_text("3\t5\n\t9\n3\tsoon\n3\t6\n")
+    people, bad = text.sorted_profiles(text.profile_lines(spark, str(source)))
+    source.unlink()
+    assert people.columns == ["line_order", *PROFILES.fieldNames()]
+    assert [r["create_ms"] for r in text.latest_profiles(people, "line_order").collect()] == [6]
+    assert sorted(r["value"] for r in bad.collect()) == ["\t9", "3\tsoon"]
+
+    none = lines(spark, "7\t{(8,16)}").limit(0)
+    assert [df.count() for df in text.sorted_adjacency(none)] == [0, 0]
+    spoilt = lines(spark, None, "bad")
+    assert [df.count() for df in text.sorted_adjacency(spoilt)] == [0, 2]
+    assert [df.count() for df in text.sorted_profiles(spoilt)] == [0, 2]
