@@ -523,6 +523,92 @@ def test_licenses(given, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def plain_scan(text):
+    """Labels, score, expressions' names and malformed lines, by looking everywhere."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(lower))
+    labels, covered = set(), set()
+    for i in range(len(w)):
+        best = ()
+        for table, is_base in ((licenses.BASE, True), (licenses.NOTICES, False)):
+            for phrase, label in table.items():
+                p = tuple(phrase.split())
+                if tuple(w[i : i + len(p)]) != p:
+                    continue
+                after = w[i + len(p)] if i + len(p) < len(w) else ""
+                if is_base:
+                    labels.add(label)
+                    covered |= set(range(i, i + len(p)))
+                elif not (p[-1][-1].isdigit() and re.fullmatch(r"\d{1,2}", after)):
+                    best = max(best, (len(p), label))
+        if best:
+            labels.add(best[1])
+            covered |= set(range(i, i + best[0]))
+    good, bad = [], []
+    tag = r"(?<![A-Za-z0-9\x80-\U0010ffff])spdx-license-identifier(?=[ \t]*:[ \t]*([^\r\n]*))"
+    for m in re.finditer(tag, text, re.I | re.A):
+        postfix = licenses.to_postfix(m[1])
+        fits = postfix and licenses.is_known(postfix)
+        (good if fits else bad).append(m[1])
+        if fits:
+            labels |= {t for t in postfix if t not in ("AND", "OR", "WITH")}
+    return ",".join(sorted(labels)), 1.0 if good else len(covered) / (len(covered) + 4), bad
+
+
+LICENSED = [
+    "SPDX-License-Identifier: the and that",
+    "SPDX-License-Identifier: see the file",
+    "// SPDX-License-Identifier: MIT/X11\nmore",
+    "// SPDX-license-identifier :\tGPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT\nMIT AND",
+    "SPDX-License-Identifier: MIT. SPDX-License-Identifier: ISC",
+    "SPDX-License-Identifier: LicenseRef-own OR mit\r\nSPDX-License-Identifier: (MIT",
+    "SPDX license identifier: MIT",
+    "xSPDX-License-Identifier: MIT",
+    "SPDX-License-Identifier:",
+    "SPDX-License-Identifier: mit WITH isc\nSPDX-License-Identifier: llvm-exception",
+    "Under the Mozilla Public License, version 1.1, or the Apache License 2.0, January 2004",
+    "Mozilla Public License version 1.7; GNU General Public License v2; MPL",
+    "GNU Lesser General Public License, all rights reserved, CC BY, cc by",
+    "Mozilla Public License version 2 2004",
+    "\u00e9 " * 400_000 + "\nSPDX-License-Identifier: zlib\n" + "mit license " * 100_000,
+]
+
+
+def test_license_labels_and_scores(spark, given, docs):
+    rows = list(enumerate(LICENSED))
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (given, docs, planted):
+        want = collections.Counter()
+        for key, text in texts_of(df):
+            if len(text) < 100_000:
+                labels, score, bad = plain_scan(text)
+                want[key, labels, round(score, 9), tuple(bad)] += 1
+        got = collections.Counter(
+            (r.doc_id, r.labels, round(r.score, 9), tuple(r.malformed))
+            for r in licenses.scan_licenses(df).where("n_words < 50000").collect()
+        )
+        assert got == want
+    by_id = {r.doc_id: r for r in licenses.scan_licenses(planted).collect()}
+    assert [by_id[i].labels for i in (0, 1, 2)] == ["", "", ""]
+    assert by_id[2].malformed == ["MIT/X11"] and by_id[2].permitted is False
+    assert by_id[3].labels == "classpath-exception-2.0,gpl-2.0-or-later,mit" and by_id[3].permitted
+    assert by_id[4].expressions == ["mit", "isc"]  # each tag is read from its own place
+    assert by_id[5].labels == "licenseref-own,mit" and by_id[5].malformed == ["(MIT"]
+    assert by_id[10].labels == "apache-2.0,mpl-1.1" and by_id[13].labels == "mpl-2.0"
+    assert by_id[11].labels == "gpl,gpl-2.0,mpl"
+    assert by_id[14].labels == "mit,zlib" and by_id[14].n_words == 600_004
+    assert len(licenses.NOTICES) > 200 and licenses.ALLOWED <= licenses.KNOWN
+
+
+def test_license_query(spark):
+    got = {r.doc_id: r for r in catalog.QUERIES["op10_licenses"](spark, SMALL).collect()}
+    want = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert got.keys() == {r.doc_id for r in want}
+    for r in want:
+        labels, score, _ = plain_scan(r.text or "")
+        assert (got[r.doc_id].labels, got[r.doc_id].score) == (labels, pytest.approx(score))
+
+
 @pytest.mark.parametrize(
     ("line", "postfix", "fine"),
     [
