@@ -4,7 +4,9 @@ Each word belongs to one class; a text's probability is the product over its tok
 class transition times word emission, mixed with the smoothed unigram so that every word
 has a chance.  Classes start from word endings and improve by exchange rounds: all words
 move at once to the class that makes their neighbours' classes most likely, given the
-class counts of the round before.
+class counts of the round before.  The class transitions after a round tell the likelihood
+of all that teaches; a round that lowers it is taken back, and rounds end when they gain
+little.
 
 Nothing of the vocabulary's size is ever in one place.  Tasks cut the corpus into blocks
 of about half a million tokens, written once: the distinct words of the block as hashes, and
@@ -31,7 +33,9 @@ from linkrec.llm.token_files import pack, unpack
 from linkrec.storage import fresh_path, stored
 
 CLASSES = 48
-ROUNDS = 2
+# Exchange rounds at most, and the least gain in nats a token for which another one is made.
+ROUNDS = 4
+LEAST_GAIN = 0.02
 # Share of the class model in the mixture with the unigram.
 WEIGHT = 0.8
 BLOCK_TOKENS = 1 << 19
@@ -321,6 +325,44 @@ def exchange(blocks: DataFrame, matrix: np.ndarray, buckets: int) -> DataFrame:
     return stored(asked.groupBy("bucket").applyInArrow(answer, TOLD), "classes")
 
 
+def mutual_information(matrix: np.ndarray) -> float:
+    """Nats that the class of a token tells of the next one's class, on average.
+
+    The log likelihood per token of all that teaches, under the counts as they are, is this
+    less the entropy of words, which no change of classes touches.
+    """
+    share = matrix / max(1.0, matrix.sum())
+    alone = np.outer(share.sum(axis=1), share.sum(axis=0))
+    some = share > 0
+    return float((share[some] * np.log(share[some] / alone[some])).sum())
+
+
+def fit_classes(
+    blocks: DataFrame,
+    classes: int = CLASSES,
+    rounds: int = ROUNDS,
+    buckets: int = 1,
+    least_gain: float = LEAST_GAIN,
+) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """The blocks with the classes of their words (``told``), the transitions between these,
+    and the mutual information at the start and after each round that was kept."""
+    now = blocks.withColumn("told", F.lit(None).cast("array<struct<bucket: int, data: binary>>"))
+    matrix = transitions(now, classes)
+    gained = [mutual_information(matrix)]
+    for _ in range(rounds):
+        told = exchange(now, matrix, buckets)
+        moved = blocks.join(_by_block(told, "told").hint("shuffle_hash"), "block")
+        after = transitions(moved, classes)
+        gain = mutual_information(after) - gained[-1]
+        if gain < 0:
+            break
+        now, matrix = moved, after
+        gained.append(gained[-1] + gain)
+        if gain < least_gain:
+            break
+    return now, matrix, gained
+
+
 def score_texts(
     df: DataFrame,
     held_out: Column,
@@ -330,6 +372,7 @@ def score_texts(
     rounds: int = ROUNDS,
     weight: float = WEIGHT,
     bucket_bytes: int = BUCKET_BYTES,
+    least_gain: float = LEAST_GAIN,
 ) -> DataFrame:
     """A row per row of ``df``, by a model of the rows that are not ``held_out``.
 
@@ -340,7 +383,9 @@ def score_texts(
     A word that training texts lack only has its share of the unigram, and leaves the
     context as it is.  Null and empty texts are an end token alone.  Null keys are kept;
     whether they are held out is up to ``held_out``.  Repeated rows are scored, and taught
-    from, each.  An empty table gives an empty result.
+    from, each.  An empty table gives an empty result.  There are at most ``rounds`` exchange
+    rounds; they end before with one that gains less than ``least_gain``.  A very long text is
+    cut into blocks that are scored apart.
     """
     if not 2 <= classes <= 127:
         raise ValueError("classes have to fit one byte, for either side")
@@ -354,11 +399,7 @@ def score_texts(
     counted = word_counts(blocks, buckets)
     total = counted.agg(F.sum("v").alias("v"), F.sum("n").alias("n")).first()
     v, n = total["v"] or 0, total["n"] or 0
-    now = blocks.withColumn("told", F.lit(None).cast("array<struct<bucket: int, data: binary>>"))
-    for _ in range(rounds):
-        told = exchange(now, transitions(now, classes), buckets)
-        now = blocks.join(_by_block(told, "told").hint("shuffle_hash"), "block")
-    matrix = transitions(now, classes)
+    now, matrix, _ = fit_classes(blocks, classes, rounds, buckets, least_gain)
     seen = _by_block(counted, "seen").hint("shuffle_hash")
     scored = _scores(now.join(seen, "block"), matrix, v, n, weight)
     return (

@@ -171,6 +171,75 @@ def test_class_model(given, docs, empty):
     assert class_lm.score_texts(empty, held).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_class_model_equals_brute_force(given, monkeypatch, rounds):
+    """Scores by word classes read from the blocks, with all counts made anew in Python."""
+    monkeypatch.setattr(class_lm, "BLOCK_TOKENS", 3_000)
+    n_classes, weight = 8, 0.8
+    held = common.held_out(F.col("doc_id"), 5, 1)
+    corpus = given.select("doc_id", "text", held.alias("held_out"))
+    blocks = class_lm.corpus_blocks(
+        corpus.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "held_out"), n_classes
+    )
+    buckets = 3
+    now, _, gained = class_lm.fit_classes(blocks, n_classes, rounds, buckets, least_gain=0.0)
+    assert gained == sorted(gained) and len(gained) > rounds // 2
+    of_hash = {}
+    for r in now.collect():
+        view = class_lm.BlockView(r.asDict(recursive=True))
+        of_hash |= zip(view.words.tolist(), view.classes(r["told"]).tolist())
+    hashes = class_lm.Words(n_classes)
+    own = lambda w: of_hash[hashes[w] if w else hashes.end]
+
+    docs = [(r.doc_id, r.held_out, (r.text or "").encode().lower().split() + [b""])
+            for r in corpus.collect()]
+    count = collections.Counter(w for _, out, d in docs if not out for w in d)
+    steps = collections.Counter(
+        (own(a), own(b)) for _, out, d in docs if not out for a, b in zip([b"", *d], d)
+    )
+    after = collections.Counter()
+    before = collections.Counter()
+    for (a, b), k in steps.items():
+        before[a] += k
+        after[b] += k
+    n = sum(count.values())
+    told = sum(k / n * math.log(k * n / before[a] / after[b]) for (a, b), k in steps.items())
+    assert gained[-1] == pytest.approx(told)
+    want = {}
+    for key, _, d in docs:
+        total, last = 0.0, 0
+        for w in d:
+            p = (1 - weight) * (count[w] + 0.5) / (n + 0.5 * (len(count) + 1))
+            if count[w]:
+                c = own(w)
+                follow = (steps[last, c] + 0.5) / (before[last] + 0.5 * n_classes)
+                p += weight * follow * count[w] / after[c]
+                last = c
+            total += math.log10(p)
+        want[key] = total
+    got = class_lm.score_texts(
+        given, held, classes=n_classes, rounds=rounds, weight=weight, least_gain=0.0
+    )
+    for r in got.collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
+def test_rounds_that_lose_are_taken_back(given, monkeypatch):
+    blocks = class_lm.corpus_blocks(
+        given.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out")),
+        8,
+    )
+    _, matrix, gained = class_lm.fit_classes(blocks, 8, rounds=0)
+    apart = np.eye(8) * matrix.sum() / 8
+    assert class_lm.mutual_information(apart) == pytest.approx(math.log(8))
+    assert class_lm.mutual_information(np.zeros((8, 8))) == 0
+    told = iter([matrix, np.ones((8, 8))])  # after a round no class tells anything
+    monkeypatch.setattr(class_lm, "transitions", lambda *_: next(told))
+    now, kept, after = class_lm.fit_classes(blocks, 8, rounds=5)
+    assert kept is matrix and after == gained
+    assert all(r["told"] is None for r in now.select("told").collect())
+
+
 def test_class_model_beats_the_unigram_on_held_out_texts(spark):
     # 1,000 documents; of the 200 of the smallest table most held-out words are unseen.
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
