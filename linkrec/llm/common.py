@@ -7,33 +7,14 @@ clashing columns of the input never matter.
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors of this application the package, once."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    if package.is_dir():  # else it runs from a shipped archive already
-        archive = Path(tempfile.mkdtemp(prefix="linkrec-")) / "linkrec.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for file in sorted(package.rglob("*.py")):
-                z.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
+from linkrec.shipping import ship_package
 
 def named(column: str) -> Column:
     """The column of exactly this name, dots and all."""

@@ -7,7 +7,7 @@ import pytest
 import brute
 from linkrec.functions import relations as rel
 from linkrec.operators import candidates as cand
-from linkrec.operators import graph, skew
+from linkrec.operators import cells, graph, skew
 from linkrec.operators.skew import count_rows, hot_keys, salted_join
 from linkrec.storage import stored
 
@@ -164,6 +164,39 @@ def test_dense_hubs_list_only_what_could_reach_the_cut(spark, monkeypatch, weigh
     assert len(listed) < len(met)
 
 
+@pytest.mark.parametrize("weight", ["flat", "typed"])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_cells_find_the_same_pairs(spark, monkeypatch, weight, repeated):
+    """Several blocks, tiles, and hubs taken at once; pairs that meet in small groups as well."""
+    monkeypatch.setattr(cand, "_cells_cost_less", lambda *sizes: True)
+    for name, n in [("BLOCK_ROWS", 300), ("TILE", 9), ("HUBS_AT_ONCE", 11), ("LISTED_AT_ONCE", 50)]:
+        monkeypatch.setattr(cells, name, n)
+    rows = random_members(9)
+    if repeated:
+        rows += [r for i, r in enumerate(rows) for _ in range(i % 3) if i % 5 == 0]
+    table = as_table(spark, rows)
+    plain = cand.pair_scores(table, min_score=4.0, weight=weight, hub_degree=1000)
+    want = sorted((*r[:2], round(r["score"], 5), *r[3:]) for r in plain.collect())
+    assert len(want) > 100
+    for hub_degree in (1, 12):
+        got = cand.pair_scores(table, min_score=4.0, weight=weight, hub_degree=hub_degree)
+        assert sorted((*r[:2], round(r["score"], 5), *r[3:]) for r in got.collect()) == want
+
+
+def test_many_users_in_all_hubs_are_worked_out_in_cells(spark, monkeypatch):
+    """No wedge is listed but those of pairs that reach the cut (18 million meet in hubs)."""
+    monkeypatch.setattr(cand, "MANY_WEDGES", 1_000_000)
+    listed = lambda *a, **k: pytest.fail("all wedges are listed")
+    monkeypatch.setattr(cand, "_block_wedges", listed)
+    rng = random.Random(1)
+    rows = [(h, u, 4, 0) for u in range(600) for h in rng.sample(range(200), 100)]
+    rows += [(h, 600, 4, 0) for h in range(100)] + [(h, 601, 4, 0) for h in range(90)]
+    sizes = collections.Counter(r[0] for r in rows)
+    rows = [(*r[:3], sizes[r[0]]) for r in rows]
+    got = cand.pair_scores(as_table(spark, rows), min_score=13.0, hub_degree=10)
+    assert [(r["user1"], r["user2"]) for r in got.collect()] == [(600, 601)]
+
+
 def test_counts_stop_at_7(spark):
     rows = [(mid, user, 1024, 2) for mid in range(9) for user in (1, 2)]
     r = cand.pair_scores(as_table(spark, rows)).first()
