@@ -65,6 +65,10 @@ FULL_FACTOR = 8
 # and the wedges below which it does not matter.
 CELL_PAIR, CELL_HUB, WEDGE = 20, 1, 1_000
 MANY_WEDGES = 50_000_000
+# Users in so few groups are not weighed against each other before their groups are looked up.
+FEW_GROUPS = 8
+# Bounds of what users have in hubs are rounded up to such parts, which shuffles as few bytes.
+BOUND_PARTS = 32
 # Hubs of about the same size are told apart by a hash into this many slots.
 SLOTS_PER_SIZE = 64
 # A bound may miss the cut by this much before it counts as below it, which
@@ -141,14 +145,34 @@ def wedge_counts(members: DataFrame) -> DataFrame:
     )
 
 
+def _paired() -> list[tuple[str, ...]]:
+    """The buckets two by two, as their counts share a long on the way."""
+    names = list(BUCKETS)
+    return [tuple(names[at : at + 2]) for at in range(0, len(names), 2)]
+
+
 def _reduce(wedge_rows: DataFrame, weight: str, *more: Column) -> DataFrame:
-    """Per pair: summed weight and wedges per bucket.  Combined map-side."""
-    counts = [
-        F.expr(f"sum(int(bucket = {code})) AS {count_name(b)}") for b, code in BUCKETS.items()
+    """Per pair: summed weight and wedges per bucket.  Combined map-side.
+
+    Two counts of up to 2^31 wedges of one pair go in a long, which halves what is shuffled.
+    """
+    sums = [
+        F.expr(
+            f"sum(CASE bucket {' '.join(f'WHEN {BUCKETS[b]} THEN {1 << 32 * at}L' for at, b in enumerate(two))}"
+            f" ELSE 0L END) AS counts{i}"
+        )
+        for i, two in enumerate(_paired())
     ]
-    return wedge_rows.groupBy("user1", "user2").agg(
-        F.sum(wedge_weight(weight)).alias("score"), *counts, *more
+    rows = wedge_rows.groupBy("user1", "user2").agg(
+        F.sum(wedge_weight(weight)).alias("score"), *sums, *more
     )
+    counts = [
+        f"{'shiftright' if at else ''}(counts{i}{', 32' if at else ' & 4294967295L'}) AS {count_name(b)}"
+        for i, two in enumerate(_paired())
+        for at, b in enumerate(two)
+    ]
+    left = [c for c in rows.columns if not c.startswith("counts")]
+    return rows.selectExpr(*left[:3], *counts, *left[3:])
 
 
 # -- hubs ------------------------------------------------------------------
@@ -292,23 +316,29 @@ def _wedges_of(keys: DataFrame, members: DataFrame) -> DataFrame:
     members = members.select("mid_id", "member_id", "mask", "degree")
     sizes = count_rows(members, "member_id", "n_groups")
     users = keys.select(F.explode(F.array("user1", "user2")).alias("user"))
+    most = sizes.agg(F.max("n_groups")).first()[0] or 0
     # A pair of a user becomes a row for each of their groups, so that many rows are weighed.
-    work = (
-        count_rows(users, "user")
-        .join(sizes.withColumnRenamed("member_id", "user"), "user")
-        .selectExpr("user", "n_rows * n_groups AS n_rows")
-    )
-    total = work.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
-    hot = hot_keys(work, "user", total=total)
-    for user in ("user1", "user2"):
-        named = sizes.withColumnsRenamed({"member_id": user, "n_groups": f"n_{user}"})
-        keys = salted_join(keys, named, [user], hot, ["user1", "user2"])
-    keys = keys.selectExpr(
-        "user1",
-        "user2",
-        "if(n_user1 <= n_user2, user1, user2) AS member_id",
-        "if(n_user1 <= n_user2, user2, user1) AS other_id",
-    )
+    if most <= FEW_GROUPS:
+        work = count_rows(users, "user").withColumn("n_rows", F.col("n_rows") * most)
+        hot = hot_keys(work, "user", total=2 * most * keys.count())
+        keys = keys.selectExpr("user1", "user2", "user1 AS member_id", "user2 AS other_id")
+    else:
+        work = (
+            count_rows(users, "user")
+            .join(sizes.withColumnRenamed("member_id", "user"), "user")
+            .selectExpr("user", "n_rows * n_groups AS n_rows")
+        )
+        total = work.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+        hot = hot_keys(work, "user", total=total)
+        for user in ("user1", "user2"):
+            named = sizes.withColumnsRenamed({"member_id": user, "n_groups": f"n_{user}"})
+            keys = salted_join(keys, named, [user], hot, ["user1", "user2"])
+        keys = keys.selectExpr(
+            "user1",
+            "user2",
+            "if(n_user1 <= n_user2, user1, user2) AS member_id",
+            "if(n_user1 <= n_user2, user2, user1) AS other_id",
+        )
     prepared = _prepared(members)
     one = prepared.selectExpr("member_id", "mid_id", "degree", "struct(mask, main, full) AS a")
     other = prepared.selectExpr("member_id AS other_id", "mid_id", "struct(mask, full) AS b")
@@ -358,7 +388,8 @@ def _totals_with_hubs(
     hubs = _bounded(hubs, weight, n_members)
     in_hubs = hubs.groupBy("member_id").agg(F.sum("bound").alias("in_hubs"))
     hot = hot_keys(count_rows(small, "member_id"), "member_id", total=n_members)
-    small = salted_join(small, in_hubs, ["member_id"], hot, ["mid_id"], "left").fillna(
+    rough = in_hubs.withColumn("in_hubs", F.ceil(F.col("in_hubs") * BOUND_PARTS) / BOUND_PARTS)
+    small = salted_join(small, rough, ["member_id"], hot, ["mid_id"], "left").fillna(
         0.0, ["in_hubs"]
     )
     from_small = stored(
@@ -384,18 +415,22 @@ def _totals_with_hubs(
             near = stored(_reduce(_with_bucket(near), weight), "near_pairs")
             # Others that meet in small groups as well are looked up.
             keys = stored(keys.join(near, ["user1", "user2"], "left_anti"), "hub_pairs")
-            from_hubs = near.unionByName(_reduce(_wedges_of(keys, hubs), weight))
+            from_small = from_small.drop("in_hubs").unionByName(near)
+            hub_wedges = _wedges_of(keys, hubs)
         elif in_full:
-            every = _block_wedges(plain, sizes, n_rows, n_wedges, BLOCK_SIZE)
-            from_hubs = _reduce(every, weight)
+            hub_wedges = _block_wedges(plain, sizes, n_rows, n_wedges, BLOCK_SIZE)
         else:
             reach = _head_pairs(heads, min_score, weight)
             keys = stored(keys.union(reach).distinct(), "hub_pairs")
-            from_hubs = _reduce(_wedges_of(keys, hubs), weight)
+            hub_wedges = _wedges_of(keys, hubs)
     else:
-        from_hubs = _reduce(_wedges_of(keys, hubs), weight)
+        hub_wedges = _wedges_of(keys, hubs)
+    # What small groups have summed up and wedges of hubs meet in one aggregate.
+    ones = [F.expr(f"bigint(bucket = {code})").alias(count_name(b)) for b, code in BUCKETS.items()]
+    each = hub_wedges.select("user1", "user2", wedge_weight(weight).alias("score"), *ones)
     sums = [F.sum(c).alias(c) for c in ["score", *COUNT_COLUMNS]]
-    return from_small.drop("in_hubs").unionByName(from_hubs).groupBy("user1", "user2").agg(*sums)
+    summed = from_small.drop("in_hubs").unionByName(each)
+    return summed.groupBy("user1", "user2").agg(*sums)
 
 
 def pair_scores(members: DataFrame, **options) -> DataFrame:
@@ -418,9 +453,33 @@ def pair_scores(members: DataFrame, **options) -> DataFrame:
     )
 
 
-def wedges_of_pairs(pairs: DataFrame, members: DataFrame, weight: str = "flat") -> DataFrame:
-    """Why each pair is a candidate: its shared neighbours, one row each."""
-    found = _wedges_of(pairs.select("user1", "user2"), members)
+def wedges_of_pairs(
+    pairs: DataFrame, members: DataFrame, weight: str = "flat", hub_degree: int = HUB_DEGREE
+) -> DataFrame:
+    """Why each pair is a candidate: its shared neighbours, one row each.
+
+    Where groups of up to ``hub_degree`` members have fewer wedges than the pairs' users have
+    groups to look up, their wedges are listed and joined with the pairs.  ``pairs`` and
+    ``members`` should be stored tables.
+    """
+    keys = pairs.select("user1", "user2")
+    in_small = F.col("degree") <= hub_degree
+    look = members.select(
+        F.count("*"),
+        F.approx_count_distinct("member_id"),
+        F.coalesce(F.sum(F.when(in_small, (F.col("degree") - 1) / 2)), F.lit(0.0)),
+    ).first()
+    n_members, n_users, n_wedges = look
+    if n_wedges <= keys.count() * n_members / max(1, n_users):
+        parallel = members.sparkSession.sparkContext.defaultParallelism
+        small = wedges(members.where(in_small), max(parallel, int(n_wedges // WEDGES_PER_TASK) + 1))
+        listed = small.withColumnsRenamed({"user1": "low", "user2": "high"})
+        named = keys.selectExpr("*", "least(user1, user2) AS low", "greatest(user1, user2) AS high")
+        found = listed.join(named, ["low", "high"]).drop("low", "high").unionByName(
+            _wedges_of(keys, members.where(~in_small))
+        )
+    else:
+        found = _wedges_of(keys, members)
     return found.withColumn("weight", wedge_weight(weight))
 
 

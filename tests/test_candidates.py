@@ -234,6 +234,36 @@ def test_wedges_of_given_pairs(spark):
     assert sorted(map(tuple, got)) == sorted(w for w in want if w[:2] in kept)
 
 
+@pytest.mark.parametrize("hub_degree", [12, 1000])
+def test_wedges_of_many_pairs_are_not_looked_up_user_by_user(spark, monkeypatch, hub_degree):
+    """Small groups are listed once, whichever way round pairs are given."""
+    rows = random_members(7)
+    rows += [r for i, r in enumerate(rows) for _ in range(i % 3) if i % 5 == 0]
+    members = as_table(spark, rows)
+    pairs = cand.pair_scores(members, min_score=1.0).selectExpr("user2 AS user1", "user1 AS user2")
+    keys = stored(pairs, "keys")
+    want = cand._wedges_of(keys, members).collect()
+    looked_up, look_up = [], cand._wedges_of
+    monkeypatch.setattr(
+        cand, "_wedges_of", lambda k, m: looked_up.append(m.count()) or look_up(k, m)
+    )
+    got = cand.wedges_of_pairs(keys, members, hub_degree=hub_degree)
+    assert looked_up == [sum(r[3] > hub_degree for r in rows)] and len(want) > 1000
+    got = got.select("user1", "user2", "mid_id", "degree", "bucket").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_counts_share_longs_on_the_way(spark):
+    """Two counts in a long: a row that leaves a task has four longs, not eight."""
+    rows = [(mid, user, mask, 3) for mid, mask in enumerate([4, 1024, 512, 0, 256, 1 << 20] * 3)
+            for user in (1, 2, 3)]
+    reduced = cand._reduce(cand.wedges(as_table(spark, rows)), "flat")
+    assert str(reduced._jdf.queryExecution().executedPlan()).count("partial_sum") == 5
+    want = brute.pairs([r[:3] for r in rows], 0.0)
+    got = {(r["user1"], r["user2"]): tuple(r[c] for c in rel.COUNT_COLUMNS) for r in reduced.collect()}
+    assert got == {pair: counts for pair, (_, counts) in want.items()}
+
+
 def test_groups_are_joined_where_they_lie(spark):
     """The self-join shuffles each side once, by group, and nothing more."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
