@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkrec.llm import bpe, common, exact_dedup, jaccard, langid, mixing
 from linkrec.storage import stored
 
-ROW = "__row"  # a name that no table of ours has
+ROW, FILE = "__row", "__file"  # names that no table of ours has
 
 
 def row_hash() -> Column:
@@ -79,12 +80,42 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(stored(places, "places"), ROW).orderBy("__at").select(*docs.columns)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``position``: each row's place, from 0, in the order it was written in.
+
+    A sorted table keeps its order in the numbers of its files and the rows in these.  Rows
+    that are not read from files have places that only rise in the order of the partitions.
+    """
+    try:
+        placed = docs.select(
+            "*", F.col("_metadata.file_name").alias(FILE), F.col("_metadata.row_index").alias(ROW)
+        )
+    except AnalysisException:
+        return docs.withColumn("position", F.monotonically_increasing_id())
+    number = F.regexp_extract(FILE, r"^part-(\d+)", 1).try_cast("long")
+    before = Window.orderBy(number, FILE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(FILE)
+        .agg(F.count("*").alias("n"))  # a row per file
+        .select(FILE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("position"))
+    )
+    return placed.join(F.broadcast(starts), FILE).select(
+        *docs.columns, (F.col("position") + F.col(ROW)).alias("position")
+    )
+
+
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, decoded_sha256): ids of each text, and what they decode to."""
+    """(doc_id, position, n_tokens, token_ids, decoded_sha256): ids of each text, their place
+    in the mix, and what they decode to.
+
+    Training reads the rows by ``position``, which is the order of the schedule.
+    """
     path = import_module("public_tokenizers").path("byte_bpe_50k.json")
-    decoded = bpe.encode(docs, path, decoded=True)
+    keyed = in_written_order(docs).withColumn(ROW, F.struct("doc_id", "position"))
+    decoded = bpe.encode(keyed, path, doc_id=ROW, decoded=True)
     return decoded.select(
-        "doc_id",
+        "doc_id.doc_id",
+        "doc_id.position",
         F.floor(F.octet_length("token_ids") / 4).alias("n_tokens"),
         "token_ids",
         F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),

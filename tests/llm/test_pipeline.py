@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkrec.llm import langid, mixing
+from linkrec.storage import stored
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -76,6 +77,21 @@ def test_mixing_keeps_every_row_in_the_order_of_the_schedule(spark):
     assert at > 900
 
 
+def test_encoded_rows_have_their_place_in_the_mix(spark):
+    rows = [(i, f"text {i}", "ab"[i % 3 == 0]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mixing sources"](spark, docs, SMALL)
+    order = [r.doc_id for r in mixed.collect()]
+    got = stages["BPE encoding"](spark, stored(mixed, "mixed"), SMALL)
+    places = {r.position: r.doc_id for r in got.collect()}
+    assert [places[i] for i in range(600)] == order
+    # Without the mix the places are others.
+    plain = stages["BPE encoding"](spark, stored(docs, "plain"), SMALL)
+    assert [r.doc_id for r in plain.orderBy("position").collect()] != order
+    assert stages["BPE encoding"](spark, docs, SMALL).count() == 600
+
+
 def test_rejected_texts_go(spark):
     docs = spark.createDataFrame([(1, "123 !!!"), (2, None)], "doc_id long, text string")
     assert langid.drop_rejected(docs, {"en": b"the of and", "fr": b"le la les"}).count() == 0
