@@ -40,6 +40,8 @@ LEAST_GAIN = 0.02
 WEIGHT = 0.8
 BLOCK_TOKENS = 1 << 19
 REMEMBERED = 200_000
+# Words of a bucket whose neighbours' classes are laid out at once.
+WORDS_AT_ONCE = 4_096
 BUCKET_BYTES = 8 << 20
 END = 0  # the class of the end token, which no word can have
 
@@ -289,16 +291,23 @@ def exchange(blocks: DataFrame, matrix: np.ndarray, buckets: int) -> DataFrame:
         words = packed.from_bytes(b"".join(raw))
         found, place = np.unique(words, return_inverse=True)
         join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
-        entry = np.repeat(place, join("sizes", "<u2"))
-        context = np.bincount(
-            entry * 2 * classes + join("near", np.uint8),
-            weights=join("counts", "<u4"),
-            minlength=len(found) * 2 * classes,
-        ).reshape(-1, 2 * classes)
-        left, right = context[:, :classes], context[:, classes:]
-        gain = left @ follow + right @ follow.T - left.sum(axis=1, keepdims=True) * weight
-        gain[:, END] = -np.inf
-        best = np.argmax(gain, axis=1).astype(np.uint8)
+        entry = np.repeat(place, join("sizes", "<u2")).astype(np.int32)
+        order = np.argsort(entry, kind="stable")
+        entry, near, counts = entry[order], join("near", np.uint8)[order], join("counts", "<u4")[order]
+        best = np.empty(len(found), np.uint8)
+        # Some words at a time, as each has a row of all classes on either side.
+        for a in range(0, len(found), WORDS_AT_ONCE):
+            n = min(WORDS_AT_ONCE, len(found) - a)
+            lo, hi = np.searchsorted(entry, [a, a + n])
+            context = np.bincount(
+                (entry[lo:hi].astype(np.int64) - a) * 2 * classes + near[lo:hi],
+                weights=counts[lo:hi],
+                minlength=n * 2 * classes,
+            ).reshape(-1, 2 * classes)
+            left, right = context[:, :classes], context[:, classes:]
+            gain = left @ follow + right @ follow.T - left.sum(axis=1, keepdims=True) * weight
+            gain[:, END] = -np.inf
+            best[a : a + n] = np.argmax(gain, axis=1)
         end = (found & np.uint64(255)) == END
         best[end] = END
         told, out, at = best[place], [], 0
