@@ -475,9 +475,8 @@ def wedges_of_pairs(
         small = wedges(members.where(in_small), max(parallel, int(n_wedges // WEDGES_PER_TASK) + 1))
         listed = small.withColumnsRenamed({"user1": "low", "user2": "high"})
         named = keys.selectExpr("*", "least(user1, user2) AS low", "greatest(user1, user2) AS high")
-        found = listed.join(named, ["low", "high"]).drop("low", "high").unionByName(
-            _wedges_of(keys, members.where(~in_small))
-        )
+        looked_up = _wedges_of(keys, members.where(~in_small))
+        found = listed.join(named, ["low", "high"]).select(looked_up.columns).unionByName(looked_up)
     else:
         found = _wedges_of(keys, members)
     return found.withColumn("weight", wedge_weight(weight))
