@@ -315,3 +315,51 @@ def test_salted_join_equals_plain_join(spark, monkeypatch, how, total):
 def test_small_tables_are_joined_plainly(spark):
     counts = count_rows(spark.range(10).withColumnRenamed("id", "k"), "k")
     assert hot_keys(counts, "k", total=10) is None
+
+
+@pytest.mark.parametrize("per_task", [5_000_000, 40])
+@pytest.mark.parametrize("mode", ["flat", "typed"])
+def test_few_hubs_meet_as_arrays(spark, monkeypatch, mode, per_task):
+    """Users in few hubs, some repeated; none of them, or many, are busy."""
+    monkeypatch.setattr(cand, "WEDGES_PER_TASK", per_task)
+    monkeypatch.setattr(cand, "HOT_SHARE", 1_000)
+    looked_up = []
+    plainly = cand._wedges_of
+    monkeypatch.setattr(cand, "_wedges_of", lambda *a: looked_up.append(1) or plainly(*a))
+    rng = random.Random(8)
+    rows = [r[:3] for r in random_members(8, users=40, hubs=0)]
+    for user in range(40):
+        rows += [(hub, user, rng.choice([0, 256])) for hub in range(3) if rng.random() < 0.8]
+    rows += [r for r in rows if r[0] == 0 and r[1] % 9 == 0]
+    size = collections.Counter(mid for mid, _, _ in rows)
+    rows = [(m, u, t, size[m]) for m, u, t in rows]
+    assert min(size[h] for h in range(3)) > 20 > max(n for m, n in size.items() if m > 2)
+    cut = 2.0  # more than anyone has in hubs alone
+    got = cand.pair_scores(as_table(spark, rows), min_score=cut, weight=mode, hub_degree=20)
+    found = {
+        (r["user1"], r["user2"]): (r["score"], tuple(r[c] for c in rel.COUNT_COLUMNS))
+        for r in got.collect()
+    }
+    want = {
+        k: v for k, v in brute.pairs([r[:3] for r in rows], cut, mode).items() if k[0] != k[1]
+    }
+    assert len(want) > 20 and found.keys() == want.keys()
+    for k, (score, counts) in want.items():
+        assert found[k][0] == pytest.approx(score, abs=1e-6) and found[k][1] == counts
+    assert bool(looked_up) == (per_task == 40)
+
+
+def test_wedges_are_listed_after_the_shuffle(spark):
+    """Two shuffles, of members and of groups' rests: no wedge is a row of either."""
+    plan = cand._small_sums(as_table(spark, random_members(6)), 4, "flat")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 2
+    assert text.index("HashAggregate") < text.index("posexplode") < text.index("Exchange hash")
+
+
+def test_missing_masks_and_ids_count_as_they_did(spark):
+    rows = [(1, 1, None, 3), (1, 2, 4, 3), (1, None, 4, 3), (None, 1, 4, 2), (None, 2, 4, 2)]
+    (pair,) = cand.pair_totals(as_table(spark, rows), min_score=0.5).collect()
+    assert (pair["user1"], pair["user2"]) == (1, 2)
+    assert pair["score"] == pytest.approx(1 / math.log(3), abs=1e-6)
+    assert all(pair[c] == 0 for c in rel.COUNT_COLUMNS)
