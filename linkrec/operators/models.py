@@ -29,6 +29,9 @@ MAX_CATEGORIES = 5
 # and more nodes are split per pass over the data.
 TREE_GROWTH = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
 
+# Levels of a tree that rows go down before they are stored.
+LEVELS = 5
+
 # Leaves of a tree at most.
 MAX_LEAVES = 40_000
 
@@ -202,33 +205,36 @@ def tree_nodes(model: PipelineModel) -> DataFrame:
 def paths(model: PipelineModel, rows: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., label, id): every node that each of ``rows`` passes, root to leaf.
 
-    Rows go down level by level, joined with the nodes, which are few next to them.
+    Rows go down LEVELS levels at a time, joined with the nodes, which are few next to them.
     """
     indexed = rows
     for stage in [model.stages[0], *model.stages[-1].stages[:-1]]:
         indexed = stage.transform(indexed)
-    level = stored(
-        indexed.select(
-            *keys, "label", vector_to_array("indexed_features").alias("x"), F.lit(0).alias("id")
-        ),
-        "level",
+    level = indexed.select(
+        *keys, "label", vector_to_array("indexed_features").alias("x"), F.lit(0).alias("id")
     )
     passed = level.select(*keys, "label", "id")
     inner = nodes.where("feature is not null").select(
         "id", "feature", "threshold", "categories", "left_id", "right_id"
     )
+    value = F.expr("get(x, feature)")
+    left = F.when(F.col("categories").isNull(), value <= F.col("threshold")).otherwise(
+        F.array_contains("categories", value)
+    )
+    # A row at a leaf finds no inner node, and from there on has none.
+    below = F.when(left, F.col("left_id")).otherwise(F.col("right_id"))
     while True:
-        value = F.expr("x[feature]")
-        left = F.when(F.col("categories").isNull(), value <= F.col("threshold")).otherwise(
-            F.array_contains("categories", value)
-        )
-        below = level.join(inner, "id").select(
-            *keys, "label", "x", F.when(left, F.col("left_id")).otherwise(F.col("right_id")).alias("id")
-        )
-        level = stored(below, "level")
+        for at in range(LEVELS):
+            steps = [f"id{i}" for i in range(at)]
+            level = level.join(inner, "id", "left").select(
+                *keys, "label", "x", *steps, F.col("id").alias(f"id{at}"), below.alias("id")
+            )
+        seen = F.array_compact(F.array(*[f"id{i}" for i in range(1, LEVELS)], "id"))
+        walked = stored(level.select(*keys, "label", "x", "id", seen.alias("seen")), "level")
+        passed = passed.union(walked.select(*keys, "label", F.explode("seen")))
+        level = walked.where("id is not null").drop("seen")
         if level.isEmpty():
             return passed
-        passed = passed.union(level.select(*keys, "label", "id"))
 
 
 def recounted(nodes: DataFrame, passed: DataFrame) -> DataFrame:

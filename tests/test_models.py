@@ -166,6 +166,19 @@ def test_nodes_and_gains_are_those_of_the_rows(wide, name):
     assert scored.where("abs(p - q) > 1e-12").count() == 0
 
 
+def test_rows_go_down_several_levels_per_stored_table(spark, wide, monkeypatch):
+    base = stored(wide.where(F.col("split") == labels.BASE), "base")
+    model = models.fit(base, features.PROFILE_FEATURES, models.decision_tree())
+    nodes = models.tree_nodes(model)
+    tables = []
+    monkeypatch.setattr(models, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    passed = models.paths(model, base, nodes, ["user1", "user2"])
+    depth = model.stages[-1].stages[-1].depth
+    assert depth > 1 and len(tables) == max(1, depth // models.LEVELS + 1)
+    assert passed.where("id = 0").count() == base.count()
+    assert passed.where("id is null").count() == 0
+
+
 def test_suggestions_keep_the_rules(spark, edges, wide, stacked):
     report = recommendation.validate(stacked, wide).first()
     assert 0.0 < report["fbeta"] <= 1.0
