@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkrec.functions.relations import invert
 from linkrec.operators.skew import count_rows, hot_keys, salted_join
+from linkrec.storage import stored
 
 # Smallest friend list and smallest group that take part.
 MIN_FRIENDS = 2
@@ -46,17 +47,22 @@ def _lone_edges(edges: DataFrame) -> DataFrame:
 
 
 def active_owner_edges(
-    edges: DataFrame, min_friends: int = MIN_FRIENDS, n_edges: int | None = None
+    edges: DataFrame,
+    min_friends: int = MIN_FRIENDS,
+    n_edges: int | None = None,
+    lone: DataFrame | None = None,
 ) -> DataFrame:
     """Edges of owners who list at least ``min_friends``.
 
-    Here and below ``n_edges`` may give the number of edges if it is known.
+    Here and below ``n_edges`` may give the number of edges if it is known, as it is of a
+    stored table, and ``lone`` the ``_lone_edges``.
     """
     if min_friends == 2:
         # The rows to drop are known by both ids.  Joining on both spreads
         # even a giant list evenly and keeps the partitioning that merging
         # duplicates has left.
-        return edges.join(_lone_edges(edges), ["user_id", "friend_id"], "left_anti")
+        lone = _lone_edges(edges) if lone is None else lone
+        return edges.join(lone, ["user_id", "friend_id"], "left_anti")
     sizes = count_rows(edges, "user_id")
     owners = sizes.where(F.col("n_rows") >= min_friends).select("user_id")
     hot = hot_keys(sizes, "user_id", total=n_edges)
@@ -87,11 +93,11 @@ def with_degree(
     return salted_join(reversed_edges, kept, ["mid_id"], hot, ["member_id"])
 
 
-def _active_degrees(edges: DataFrame) -> DataFrame:
+def _active_degrees(edges: DataFrame, lone: DataFrame) -> DataFrame:
     """Group sizes over active owners: all edges less the lone ones, so that
     the join which drops those need not be run twice."""
     listed = edges.selectExpr("friend_id AS mid_id", "1L AS n")
-    lone = _lone_edges(edges).selectExpr("friend_id AS mid_id", "-1L AS n")
+    lone = lone.selectExpr("friend_id AS mid_id", "-1L AS n")
     return listed.union(lone).groupBy("mid_id").agg(F.sum("n").alias("degree"))
 
 
@@ -102,9 +108,16 @@ def group_members(
     inversion: str = "canonical",
     n_edges: int | None = None,
 ) -> DataFrame:
-    """members(mid_id, member_id, mask, degree): the groups in flat form."""
-    active = reverse_edges(active_owner_edges(edges, min_friends, n_edges), inversion)
-    degrees = _active_degrees(edges) if min_friends == 2 else None
+    """members(mid_id, member_id, mask, degree): the groups in flat form.
+
+    Of a stored table the lone edges, which are asked for twice, are found once and stored;
+    as long as they are few, Spark then drops them without a shuffle of all edges.
+    """
+    lone = _lone_edges(edges) if min_friends == 2 else None
+    if lone is not None and n_edges is not None:
+        lone = stored(lone, "lone_edges")
+    active = reverse_edges(active_owner_edges(edges, min_friends, n_edges, lone), inversion)
+    degrees = _active_degrees(edges, lone) if lone is not None else None
     return with_degree(active, min_degree, n_edges, degrees)
 
 

@@ -298,6 +298,17 @@ def test_group_members(spark):
     assert rows == [(9, 1, 8, 2), (9, 2, 8, 2)]
 
 
+def test_lone_edges_are_found_once(spark):
+    rows = [(1, 2, 4), (1, 3, 4), (2, 3, 8), (3, 1, 2), (3, 2, 2), (4, 2, 1), (4, None, 1), (None, 2, 1)]
+    edges = stored(spark.createDataFrame(rows, "user_id long, friend_id long, mask int"), "edges")
+    found = graph.group_members(edges, n_edges=edges.count())
+    assert sorted(map(str, found.collect())) == sorted(map(str, graph.group_members(edges).collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Only group sizes are left to work out, and so few lone edges need no shuffle of the edges.
+    assert plan.count("Aggregate [user_id") == 0
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString().split("LeftAnti")[0]
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 @pytest.mark.parametrize("total", [None, 1000])
 def test_salted_join_equals_plain_join(spark, monkeypatch, how, total):
