@@ -35,6 +35,12 @@ LEVELS = 5
 # Leaves of a tree at most.
 MAX_LEAVES = 40_000
 
+# Trees are grown on rows that stand for several equal ones, each for at most one in so many
+# of all: Spark looks for thresholds in a sample of rows, which none of them is to sway.
+WEIGHT_PARTS = 200_000
+# Only where so many times fewer rows are left.
+MERGE_FACTOR = 2
+
 STACKED_SCORES = ["p_aa", "p_type", "p_user"]
 STACKED = "p_stacked"
 
@@ -97,6 +103,48 @@ def with_leaf_budget(estimator: Estimator, n_rows: int, max_leaves: int) -> Esti
     return estimator
 
 
+def _tree_of(estimator: Estimator) -> DecisionTreeClassifier | None:
+    """The tree that ``estimator`` grows, if that is all it learns but for indexed features."""
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    plain = all(isinstance(e, VectorIndexer) for e in stages[:-1])
+    tree = stages[-1] if stages and plain else None
+    if not isinstance(tree, DecisionTreeClassifier) or tree.isDefined(tree.weightCol):
+        return None
+    return tree
+
+
+def with_merged_rows(
+    estimator: Estimator, rows: DataFrame, n_rows: int | None
+) -> tuple[Estimator, DataFrame]:
+    """``estimator`` and ``rows``, with equal rows merged and weighed where that grows the
+    same tree from far fewer.
+
+    A node's classes are weighed rather than counted, so its least number of rows becomes a
+    least share of the weight.  Weights are whole numbers, which sum up exactly.
+    """
+    tree, most = _tree_of(estimator), (n_rows or 0) // WEIGHT_PARTS
+    if tree is None or most < 2 or 2 * tree.getMinInstancesPerNode() > n_rows:
+        return estimator, rows
+    different = rows.agg(F.approx_count_distinct(F.xxhash64(*rows.columns))).first()[0]
+    if (different + n_rows / most) * MERGE_FACTOR > n_rows:
+        return estimator, rows
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    parts = f"transform(sequence(0L, (n - 1) div {most}), i -> double(least({most}, n - i * {most})))"
+    merged = counted.select(*rows.columns, F.explode(F.expr(parts)).alias("weight"))
+    # Half a row less, as the product with the weight of all may be rounded.
+    share = (tree.getMinInstancesPerNode() - 0.5) / n_rows
+    weighed = tree.copy(
+        {
+            tree.weightCol: "weight",
+            tree.minInstancesPerNode: 1,
+            tree.minWeightFractionPerNode: max(share, tree.getMinWeightFractionPerNode()),
+        }
+    )
+    if isinstance(estimator, Pipeline):
+        weighed = Pipeline(stages=[*estimator.getStages()[:-1], weighed])
+    return weighed, stored(merged, "merged_rows")
+
+
 def fit(
     training: DataFrame,
     columns: list[str],
@@ -107,11 +155,14 @@ def fit(
 
     ``max_leaves`` bounds what a tree takes on the driver; None leaves it unbounded.
     """
+    rows, n_rows = training.select("label", *columns), None
+    if max_leaves is not None or _tree_of(estimator) is not None:
+        n_rows = training.count()
     if max_leaves is not None:
-        estimator = with_leaf_budget(estimator, training.count(), max_leaves)
+        estimator = with_leaf_budget(estimator, n_rows, max_leaves)
+    estimator, rows = with_merged_rows(estimator, rows, n_rows)
     assembler = VectorAssembler(inputCols=columns, outputCol="features")
-    rows = with_label_values(training.select("label", *columns))
-    return Pipeline(stages=[assembler, estimator]).fit(rows)
+    return Pipeline(stages=[assembler, estimator]).fit(with_label_values(rows))
 
 
 def add_score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:

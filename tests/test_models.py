@@ -144,6 +144,42 @@ def test_a_leaf_budget_bounds_the_tree_on_all_rows(wide):
     assert shape(free) == shape(plain)
 
 
+def test_equal_rows_are_merged_and_grow_the_same_tree(spark, monkeypatch):
+    # Few enough for Spark to take thresholds from all rows; each comes up to nine times.
+    rows = spark.range(1_800).selectExpr(
+        "double(pmod(xxhash64(id, 1), 10) < id % 7) AS label",
+        "id % 7 AS few", "id % 11 AS some", "id % 457 / 7D AS many",
+        "explode(sequence(1, 1 + id % 9)) AS i",
+    ).drop("i")
+    columns, n_rows = ["few", "some", "many"], rows.count()
+    assert 4 * 1_800 < n_rows <= 10_000
+    shape = lambda m: m.stages[-1].stages[-1].toDebugString.split("\n", 1)[1]
+    budgets = (1, 5, models.MAX_LEAVES, None)
+    plain = [models.fit(rows, columns, models.decision_tree(), b) for b in budgets]
+    assert plain[-1].stages[-1].stages[-1].numNodes > 50
+    tables = []
+    monkeypatch.setattr(models, "stored", lambda df, n: tables.append(stored(df, n)) or tables[-1])
+    monkeypatch.setattr(models, "WEIGHT_PARTS", n_rows // 3)
+    monkeypatch.setattr(models, "MERGE_FACTOR", 1)
+    merged = [models.fit(rows, columns, models.decision_tree(), b) for b in budgets]
+    # A single leaf holds all rows, so its budget leaves nothing to merge for.
+    assert len(tables) == len(budgets) - 1
+    told = tables[0].agg(F.sum("weight"), F.max("weight"), F.count("*")).first()
+    assert told[:2] == (n_rows, 3) and told[2] < n_rows
+    assert [shape(m) for m in merged] == [shape(m) for m in plain]
+    nodes = [sorted(models.tree_nodes(m[-1]).collect(), key=str) for m in (plain, merged)]
+    assert nodes[0] == nodes[1]
+
+
+def test_rows_that_differ_and_other_classifiers_are_not_merged(wide, monkeypatch):
+    base = stored(wide.where(F.col("split") == labels.BASE), "base")
+    monkeypatch.setattr(models, "WEIGHT_PARTS", 10)
+    monkeypatch.setattr(models, "stored", lambda *_: pytest.fail("merged"))
+    by_pair = base.select("label", F.xxhash64("user1", "user2").cast("double").alias("x"))
+    models.fit(by_pair, ["x"], models.decision_tree())
+    models.fit(base, features.RELATION_FEATURES, models.logistic_regression())
+
+
 @pytest.mark.parametrize("name", ["type", "user"])
 def test_nodes_and_gains_are_those_of_the_rows(wide, name):
     base = stored(wide.where(F.col("split") == labels.BASE), "base")
