@@ -219,6 +219,8 @@ def fit_stacked(
     chosen = {**STRATEGY, **(strategy or {})}
     model = StackedModel(fit_base(wide, strategy, max_leaves), None)
     scored = model.add_base_scores(wide.where(F.col("split") == ENSEMBLE))
+    # A fit reads its rows several times, and each would be scored anew.
+    scored = stored(scored.select("label", *STACKED_SCORES), "base_scores")
     model.stacked = fit(scored, STACKED_SCORES, chosen["stacked"](), max_leaves)
     return model
 

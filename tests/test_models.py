@@ -180,6 +180,15 @@ def test_rows_that_differ_and_other_classifiers_are_not_merged(wide, monkeypatch
     models.fit(base, features.RELATION_FEATURES, models.logistic_regression())
 
 
+def test_stacked_fit_reads_scores_that_are_stored_once(wide, monkeypatch):
+    read = []
+    fit = models.fit
+    monkeypatch.setattr(models, "fit", lambda rows, *a: read.append(rows) or fit(rows, *a))
+    models.fit_stacked(labels.train_pairs(wide))
+    plan = read[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "base_scores" in read[-1].inputFiles()[0]
+
+
 @pytest.mark.parametrize("name", ["type", "user"])
 def test_nodes_and_gains_are_those_of_the_rows(wide, name):
     base = stored(wide.where(F.col("split") == labels.BASE), "base")
