@@ -1,7 +1,9 @@
 import collections
+import itertools
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 import brute
@@ -197,6 +199,85 @@ def test_many_users_in_all_hubs_are_worked_out_in_cells(spark, monkeypatch):
     assert [(r["user1"], r["user2"]) for r in got.collect()] == [(600, 601)]
 
 
+def packed_piece(rows, weight, number=0):
+    """Memberships (mid, user, mask, degree) as a task gets them."""
+    main = lambda m: next((b for b in rel.BUCKET_PRIORITY if b in {brute.MAIN[x] for x in brute.MAIN if m & x}), None)
+    full = [brute.full(r[2]) for r in rows]
+    columns = {
+        "piece": pa.array([number] * len(rows), pa.int32()),
+        "block": pa.array([number] * len(rows), pa.int32()),
+        "mid_id": [r[0] for r in rows],
+        "member_id": [r[1] for r in rows],
+        "degree": [r[3] for r in rows],
+        "mask": pa.array([r[2] for r in rows], pa.int32()),
+        "main": pa.array([brute.code(main(r[2])) for r in rows], pa.int32()),
+        "full": pa.array([sum(rel.BUCKETS[b] for b in f) for f in full], pa.int32()),
+        "root": [math.sqrt(max([brute.weight(b, weight) for b in f], default=1.0)) for f in full],
+    }
+    return cells._pack(pa.table(columns))
+
+
+@pytest.mark.parametrize("weight", ["flat", "typed"])
+@pytest.mark.parametrize("repeated", [False, True])
+@pytest.mark.parametrize("table_size, share", [(0, 0.0), (1 << 24, 0.0), (1 << 24, 0.2)])
+def test_tiles_are_left_early_without_loss(monkeypatch, weight, repeated, table_size, share):
+    """Many tiles and steps of the product, in the process of the test."""
+    for name, n in [("TILE", 9), ("HUBS_AT_ONCE", 5), ("LISTED_AT_ONCE", 50), ("SENT_AT_ONCE", 7)]:
+        monkeypatch.setattr(cells, name, n)
+    monkeypatch.setattr(cells, "TABLE_SIZE", table_size)
+    monkeypatch.setattr(cells, "LISTED_SHARE", share)
+    rows = random_members(10)
+    if repeated:
+        rows += [r for i, r in enumerate(rows) for _ in range(i % 3) if i % 5 == 0]
+    degree = {r[0]: r[3] for r in rows}
+    want = collections.defaultdict(float)
+    counts = collections.defaultdict(collections.Counter)
+    for m, group in itertools.groupby(sorted(rows), lambda r: r[0]):
+        for (_, u, x, _), (_, v, y, _) in itertools.combinations(list(group), 2):
+            if u != v:
+                bucket = brute.combine(x, y)
+                want[u, v] += brute.weight(bucket, weight) / math.log(degree[m])
+                counts[u, v][bucket] += 1
+    pieces = [
+        cells._unpack(packed_piece([r for r in rows if r[1] % 3 == k], weight).to_pylist()[0])
+        for k in range(3)
+    ]
+    cut = sorted(want.values())[len(want) // 2]
+    work = cells._Cell(cut, weight)
+    hubs = cells._Hubs.of(pieces[:2])
+    held = cells._Side(pieces[:2], hubs)
+    found = [r for b in work.pairs(held, held, hubs) for r in b.to_pylist()]
+    found += [r for b in work.pairs(held, cells._Side(pieces[2:], hubs), hubs) for r in b.to_pylist()]
+    rest = cells._Hubs.of(pieces[2:])
+    alone = cells._Side(pieces[2:], rest)
+    found += [r for b in work.pairs(alone, alone, rest) for r in b.to_pylist()]
+    got = {(r["user1"], r["user2"]): r for r in found}
+    assert len(got) == len(found) and {p for p, s in want.items() if s >= cut} <= got.keys()
+    for pair, r in got.items():
+        assert r["score"] == pytest.approx(want[pair]) and r["score"] >= cut * 0.999
+        assert {b: n for b in rel.BUCKETS if (n := r[rel.count_name(b)])} == {
+            b: n for b, n in counts[pair].items() if b
+        }
+
+
+def test_memberships_travel_in_a_few_bytes():
+    """Not in one row of many megabytes, which every block sends to all others."""
+    rng = random.Random(2)
+    rows = [(h, u, rng.choice([0, 4, 1024]), 900) for u in range(1_000) for h in rng.sample(range(200), 50)]
+    row = packed_piece(rows, "flat").to_pylist()[0]
+    sent = sum(len(x) for x in row.values() if isinstance(x, bytes))
+    assert sent < 3 * len(rows)
+
+
+def test_near_pairs_leave_as_one_row_in_pieces(spark, monkeypatch):
+    """However much two users share, and although their block comes in several rows."""
+    monkeypatch.setattr(cells, "PIECE_ROWS", 100)
+    rows = [(hub, user, 4, 30) for hub in range(40) for user in range(30)]
+    found = cells.near_pairs(as_table(spark, rows), len(rows), 30, 5.0).collect()
+    assert len(found) == len({(r.user1, r.user2) for r in found}) == 435
+    assert all(r.n_close_family == 40 and r.score == pytest.approx(40 / math.log(30)) for r in found)
+
+
 def test_counts_stop_at_7(spark):
     rows = [(mid, user, 1024, 2) for mid in range(9) for user in (1, 2)]
     r = cand.pair_scores(as_table(spark, rows)).first()
