@@ -32,8 +32,8 @@ TREE_GROWTH = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB":
 # Levels of a tree that rows go down before they are stored.
 LEVELS = 5
 
-# Leaves of a tree at most.
-MAX_LEAVES = 40_000
+# Leaves of a tree at most; None leaves that to the classifier's own parameters.
+MAX_LEAVES: int | None = None
 
 # Trees are grown on rows that stand for several equal ones, each for at most one in so many
 # of all: Spark looks for thresholds in a sample of rows, which none of them is to sway.
@@ -60,8 +60,9 @@ def logistic_regression(**changed) -> Estimator:
 def decision_tree(min_leaf_share: float = 0.0) -> Estimator:
     """Index features of few values as categories, then grow a tree.
 
-    The tree lives on the driver; ``fit`` bounds its number of leaves, and so does
-    ``min_leaf_share`` (say 1e-5), the least share of all rows in a leaf.
+    The tree lives on the driver.  It has as many leaves as the rows give, at least 50 rows
+    each; ``min_leaf_share`` (say 1e-5), the least share of all rows in a leaf, bounds them if
+    asked to, and so does ``max_leaves`` of ``fit``.
     """
     indexer = VectorIndexer(
         inputCol="features",
@@ -153,7 +154,7 @@ def fit(
 ) -> PipelineModel:
     """Assemble ``columns`` into a vector and fit on ``label``, on all rows.
 
-    ``max_leaves`` bounds what a tree takes on the driver; None leaves it unbounded.
+    ``max_leaves``, if given, bounds what a tree takes on the driver.
     """
     rows, n_rows = training.select("label", *columns), None
     if max_leaves is not None or _tree_of(estimator) is not None:

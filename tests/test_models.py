@@ -144,6 +144,16 @@ def test_a_leaf_budget_bounds_the_tree_on_all_rows(wide):
     assert shape(free) == shape(plain)
 
 
+def test_a_leaf_needs_no_more_rows_where_there_are_many(spark):
+    """55 of 2.4 million rows are told apart like 55 of 2,400."""
+    for n_rows in (2_400, 2_400_000):
+        rows = spark.range(n_rows).selectExpr("double(id < 55) AS label", "double(id < 55) AS x")
+        model = models.fit(rows, ["x"], models.decision_tree())
+        leaves = models.tree_nodes(model).where("feature is null").orderBy("n1").collect()
+        assert [(r.n0, r.n1) for r in leaves] == [(n_rows - 55, 0), (0, 55)]
+    assert recommendation.Settings().max_leaves is None
+
+
 def test_equal_rows_are_merged_and_grow_the_same_tree(spark, monkeypatch):
     # Few enough for Spark to take thresholds from all rows; each comes up to nine times.
     rows = spark.range(1_800).selectExpr(
